@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmill.llm import mixing, quality as quality_rules
+from tabmill.llm import mixing, simhash
+from tabmill.llm import quality as quality_rules
 from tabmill.llm.text import bounded_sample, read
 
 
@@ -20,8 +21,13 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix}
+    return {"op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op6_simhash_groups": op6_simhash_groups}
 
 
 def oracle_sql() -> dict[str, str]:
