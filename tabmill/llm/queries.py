@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmill.llm import mixing, simhash
+from tabmill.llm import mixing, pii, simhash
 from tabmill.llm import quality as quality_rules
 from tabmill.llm.text import bounded_sample, read
 
@@ -26,8 +26,13 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op6_simhash_groups": op6_simhash_groups}
+    return {"op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op6_simhash_groups": op6_simhash_groups, "op9_personal_data": op9_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
