@@ -7,9 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmill.llm import mixing, pii, simhash
+from tabmill.llm import mixing, pii, simhash, toxicity
 from tabmill.llm import quality as quality_rules
-from tabmill.llm.text import bounded_sample, read
+from tabmill.llm.text import bounded_sample, in_fold, read
+
+
+def fitted_toxicity(docs: DataFrame, labels: DataFrame) -> dict:
+    return toxicity.fit(docs, labels, where=~in_fold(F.col("doc_id"), 5, 0))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fitted_toxicity(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +43,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op6_simhash_groups": op6_simhash_groups, "op9_personal_data": op9_personal_data}
+    return {"op1_toxicity": op1_toxicity, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op6_simhash_groups": op6_simhash_groups, "op9_personal_data": op9_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
