@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabmill.llm.text import SPACE, words
+from tabmill.llm.text import words
 
 #: Cells of both multinomials. The model is this many doubles, whatever the input's size.
 BUCKETS = 8192
@@ -28,16 +28,15 @@ THRESHOLD = -0.4
 SYMBOLS = "#*$%&|<>"
 
 
-def _bucket(*parts: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+def ending_cells(w: Column, buckets: int) -> Column:
+    """The cells of a document's words' endings, from its array of words."""
+    return F.transform(w, lambda x: F.pmod(F.xxhash64(F.right(x, F.lit(3))), F.lit(buckets)).cast("int"))
 
 
-def ngram_cells(w: Column, n_words: Column, buckets: int) -> Column:
-    """The cells of a document's n-grams, from its array of words."""
-    ends = F.transform(w, lambda x: F.right(x, F.lit(3)))
-    one = F.transform(ends, lambda e: _bucket(e, buckets=buckets))
-    pair = F.transform(F.sequence(F.lit(1), n_words - 1), lambda i: _bucket(F.right(F.get(w, i - 1), F.lit(3)), F.right(F.get(w, i), F.lit(3)), buckets=buckets))
-    return F.concat(one, F.when(n_words > 1, pair).otherwise(F.array().cast("array<int>")))
+def with_pairs(ends: Column, buckets: int) -> Column:
+    """The cells of the endings and those of successive endings, from ending_cells()."""
+    last = F.greatest(F.size(ends) - 1, F.lit(0))
+    return F.concat(ends, F.zip_with(F.slice(ends, F.lit(1), last), F.slice(ends, F.lit(2), last), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
@@ -46,9 +45,9 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior
     docs: doc_id, text; all rows count. trusted: doc_id; its size must be bounded, as it is broadcast.
     """
     ids = F.broadcast(trusted.select(F.col("doc_id").alias("_good")).distinct())
-    seen = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.size("w").alias("n"))
+    seen = docs.select("doc_id", ending_cells(words(F.col("text")), buckets).alias("ends"))
     seen = seen.join(ids, F.col("doc_id") == F.col("_good"), "left")
-    seen = seen.select(F.explode(ngram_cells(F.col("w"), F.col("n"), buckets)).alias("cell"), F.lit(1).alias("raw"), F.col("_good").isNotNull().cast("int").alias("good"))
+    seen = seen.select(F.explode(with_pairs(F.col("ends"), buckets)).alias("cell"), F.lit(1).alias("raw"), F.col("_good").isNotNull().cast("int").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("cell"), F.lit(0).alias("raw"), F.lit(0).alias("good"))
     cells = seen.unionByName(every).groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("good").alias("target"))
     one = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "raw", "target"))).alias("c"), F.sum("raw").alias("r"), F.sum("target").alias("t"))
@@ -72,11 +71,12 @@ def base_rules(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", text.alias("text"), words(text).alias("w"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select("doc_id", "text", "w", F.size("w").alias("n"), lines.alias("lines"))
-    windows = F.when(F.col("n") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(2), F.greatest(F.col("n"), F.lit(3)) - 1), lambda i: F.xxhash64(F.get("w", i - 2), F.get("w", i - 1), F.get("w", i))))
+    d = d.select("doc_id", "text", "w", F.size("w").alias("n"), lines.alias("lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("hw"))
+    more = F.greatest(F.col("n") - 2, F.lit(0))
+    windows = F.zip_with(F.zip_with(F.slice("hw", F.lit(1), more), F.slice("hw", F.lit(2), more), lambda a, b: F.xxhash64(a, b)), F.slice("hw", F.lit(3), more), lambda a, b: F.xxhash64(a, b))
     d = d.select(
         "doc_id", "w", "n", windows.alias("h"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
@@ -88,7 +88,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base measures, base_failed, mean_ratio and kept. See the module's text for the cases."""
     d = base_rules(docs)
-    d = d.select("*", ngram_cells(F.col("w"), F.col("n"), buckets).alias("cells"), fit_ratio(docs, trusted, buckets, prior).scalar().alias("model"))
+    d = d.select("*", ending_cells(F.col("w"), buckets).alias("ends")).select("*", with_pairs(F.col("ends"), buckets).alias("cells"), fit_ratio(docs, trusted, buckets, prior).scalar().alias("model"))
     total = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.get("model", c))
     mean = F.when(F.size("cells") > 0, total / F.size("cells")).otherwise(F.lit(0.0))
     d = d.select("doc_id", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", mean.alias("mean_ratio"))
