@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabmill.llm.text import words
+from tabmill.llm.text import shared_table, words
 
 #: Words in a block.
 BLOCK = 32
@@ -34,6 +34,8 @@ PASSES = 3
 CELLS = 1024
 SEED = 42
 ROUNDS = 12
+#: Slots that one row stands for before they are made.
+RUN = 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -119,7 +121,10 @@ def block_uses(plan: DataFrame, block: int, shard: int, passes: int) -> DataFram
     d = running_total(draw(plan, block, shard), ["source_no"], ["shard"], "count", "first", F.floor(F.col("shard") / 256))
     blocks = plan.select(F.col("source_no").alias("_s"), F.col("blocks"))
     d = d.join(blocks, F.col("source_no") == F.col("_s")).where("blocks > 0")
-    d = d.select("source_no", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("slot"))
+    # in runs of RUN slots, so that the slots are made in many tasks however few shards there are
+    d = d.withColumn("end", F.col("first") + F.col("count"))
+    d = d.select("source_no", "blocks", "first", "end", F.explode(F.sequence(F.floor(F.col("first") / RUN), F.floor((F.col("end") - 1) / RUN))).alias("run"))
+    d = d.repartition("source_no", "run").select("source_no", "blocks", F.explode(F.sequence(F.greatest("first", F.col("run") * RUN), F.least("end", (F.col("run") + 1) * RUN) - 1)).alias("slot"))
     d = d.withColumn("turn", F.floor(F.col("slot") / F.col("blocks"))).where(F.col("turn") < passes)
     return d.select("source_no", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("source_no"), F.col("turn")).alias("block_no")).groupBy("source_no", "block_no").agg(F.count("*").alias("uses"))
 
@@ -136,7 +141,8 @@ def mix_parts(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int
     Parts: source_no, doc_id, size, _h, first_word, block_no, uses, part (words of the document in the block), lead (its
     words before them). A document of size 0 has one row, of part 0. thin: sized(docs).
     """
-    plan = targets(thin.select("source", "size"), weights, passes).withColumn("blocks", F.ceil(F.col("source_size") / block))
+    thin = shared_table(thin, "sizes")
+    plan = shared_table(targets(thin.select("source", "size"), weights, passes).withColumn("blocks", F.ceil(F.col("source_size") / block)), "sources")
     known = plan.select(F.col("source").alias("_source"), "source_no")
     d = thin.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
     d = d.withColumn("_order", F.xxhash64(F.lit(SEED), F.col("doc_id")))
@@ -144,7 +150,8 @@ def mix_parts(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int
     last = F.col("first_word") + F.greatest(F.col("size"), F.lit(1)) - 1
     d = d.select("source_no", "doc_id", "size", "_h", "first_word", F.explode(F.sequence(F.floor(F.col("first_word") / block), F.floor(last / block))).alias("block_no"))
     uses = block_uses(plan, block, shard, passes).select(F.col("source_no").alias("_s"), F.col("block_no").alias("_b"), "uses")
-    d = d.join(uses, (F.col("source_no") == F.col("_s")) & (F.col("block_no") == F.col("_b")), "left").drop("_s", "_b")
+    # both sides grow with the words, whatever their estimated size says: never a broadcast
+    d = d.join(uses.hint("merge"), (F.col("source_no") == F.col("_s")) & (F.col("block_no") == F.col("_b")), "left").drop("_s", "_b")
     start = F.greatest(F.col("first_word"), F.col("block_no") * block)
     end = F.least(F.col("first_word") + F.col("size"), (F.col("block_no") + 1) * block)
     d = d.withColumn("uses", F.coalesce("uses", F.lit(0))).withColumn("part", end - start).withColumn("lead", start - F.col("first_word"))
@@ -161,6 +168,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     return d.join(facts, F.col("source_no") == F.col("_s")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _in_pass(p: int) -> Column:
+    return F.filter("used", lambda x: x.uses >= p)
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard: int = SHARD, passes: int = PASSES) -> DataFrame:
     """The mix as documents (the columns of documents): for each pass, of each document the words in blocks that are used in it.
 
@@ -169,7 +180,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block
     """
     parts, _ = mix_parts(sized(docs), weights, block, shard, passes)
     used = parts.where("size > 0 and uses > 0").groupBy("doc_id", "_h", "first_word", "size").agg(F.array_sort(F.collect_list(F.struct("lead", "part", "uses"))).alias("used"))
-    used = used.select("doc_id", "_h", "size", F.explode(F.array(*(F.filter("used", lambda x, p=p: x.uses >= p) for p in range(1, passes + 1)))).alias("used")).where(F.size("used") > 0)
+    used = used.select("doc_id", "_h", "size", F.explode(F.array(*(_in_pass(p) for p in range(1, passes + 1)))).alias("used")).where(F.size("used") > 0)
     used = used.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "used", (F.aggregate("used", F.lit(0).cast("long"), lambda a, x: a + x.part) == F.col("size")).alias("whole"))
     h = F.xxhash64(F.lit(SEED), F.col("text"), F.col("source"), F.col("lang"))
     text = docs.select("doc_id", "text", "lang", "source").withColumn("_h", h).groupBy("doc_id", "_h").agg(*(F.first(c).alias(c) for c in ("text", "lang", "source")))
