@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmill.llm import mixing, pii, simhash, toxicity
+from tabmill.llm import mixing, packing, pii, simhash, toxicity
 from tabmill.llm import quality as quality_rules
 from tabmill.llm.text import bounded_sample, in_fold, read
 
@@ -32,6 +32,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -43,7 +47,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op6_simhash_groups": op6_simhash_groups, "op9_personal_data": op9_personal_data}
+    return {"op1_toxicity": op1_toxicity, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op5_mixture_packing": op5_mixture_packing, "op6_simhash_groups": op6_simhash_groups, "op9_personal_data": op9_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
