@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmill.llm import mixing, packing, pii, simhash, toxicity
+from tabmill.llm import langmodel, mixing, packing, pii, simhash, toxicity
 from tabmill.llm import quality as quality_rules
 from tabmill.llm.text import bounded_sample, in_fold, read
 
@@ -23,6 +23,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = langmodel.fit_and_score(read(spark, sf_dir, "documents").select("doc_id", "text"), in_fold(F.col("doc_id"), 7, 2))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = bounded_sample(read(spark, sf_dir, "labels"), "quality", {1: quality_rules.TRUSTED})
     return quality_rules.quality(read(spark, sf_dir, "documents"), trusted)
@@ -47,7 +52,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op5_mixture_packing": op5_mixture_packing, "op6_simhash_groups": op6_simhash_groups, "op9_personal_data": op9_personal_data}
+    return {"op1_toxicity": op1_toxicity, "op2_language_model": op2_language_model, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op5_mixture_packing": op5_mixture_packing, "op6_simhash_groups": op6_simhash_groups, "op9_personal_data": op9_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
