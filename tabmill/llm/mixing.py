@@ -124,7 +124,9 @@ def block_uses(plan: DataFrame, block: int, shard: int, passes: int) -> DataFram
     # in runs of RUN slots, so that the slots are made in many tasks however few shards there are
     d = d.withColumn("end", F.col("first") + F.col("count"))
     d = d.select("source_no", "blocks", "first", "end", F.explode(F.sequence(F.floor(F.col("first") / RUN), F.floor((F.col("end") - 1) / RUN))).alias("run"))
-    d = d.repartition("source_no", "run").select("source_no", "blocks", F.explode(F.sequence(F.greatest("first", F.col("run") * RUN), F.least("end", (F.col("run") + 1) * RUN) - 1)).alias("slot"))
+    # a number of partitions is named because these few rows stand for many: otherwise they'd be merged into one task
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartition(parts, "source_no", "run").select("source_no", "blocks", F.explode(F.sequence(F.greatest("first", F.col("run") * RUN), F.least("end", (F.col("run") + 1) * RUN) - 1)).alias("slot"))
     d = d.withColumn("turn", F.floor(F.col("slot") / F.col("blocks"))).where(F.col("turn") < passes)
     return d.select("source_no", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("source_no"), F.col("turn")).alias("block_no")).groupBy("source_no", "block_no").agg(F.count("*").alias("uses"))
 

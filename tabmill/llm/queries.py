@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmill.llm import langmodel, mixing, packing, pii, simhash, toxicity
+from tabmill.llm import ann, histogram, htmltext, langmodel, mixing, packing, pii, simhash, toxicity
 from tabmill.llm import quality as quality_rules
 from tabmill.llm.text import bounded_sample, in_fold, read
 
@@ -46,13 +46,25 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.histogram(read(spark, sf_dir, "documents"))
+
+
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find(docs, pii.fit(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language_model": op2_language_model, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op5_mixture_packing": op5_mixture_packing, "op6_simhash_groups": op6_simhash_groups, "op9_personal_data": op9_personal_data}
+    return {"op1_toxicity": op1_toxicity, "op2_language_model": op2_language_model, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op5_mixture_packing": op5_mixture_packing, "op6_simhash_groups": op6_simhash_groups, "op7_token_counts": op7_token_counts, "op8_nearest_vectors": op8_nearest_vectors, "op9_personal_data": op9_personal_data, "op10_page_text": op10_page_text}
 
 
 def oracle_sql() -> dict[str, str]:
