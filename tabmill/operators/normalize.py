@@ -74,7 +74,7 @@ def bucket_edges(rows: DataFrame, n_buckets: int, max_y: int = 5_000_000) -> Dat
     at, last = F.col("rank"), m * n_buckets - 1
     # which edges a value is beside: the extremes, and those where a bucket starts with it or ends with it
     beside = F.array_compact(F.array(F.when(at == 0, 0), F.when(at == last, n_buckets), F.when((at > 0) & (at % m == 0), F.floor(at / m)), F.when((at < last) & ((at + 1) % m == 0), F.floor((at + 1) / m))))
-    edges = ranked.where((at % m == 0) | ((at + 1) % m == 0)).select(F.explode(beside).cast("int").alias("edge"), "z")
+    edges = ranked.where((at % m == 0) | ((at + 1) % m == 0)).select(F.explode(beside).alias("edge"), "z").withColumn("edge", F.col("edge").cast("int"))
     edges = edges.groupBy("edge").agg(F.avg("z").alias("at"))
     nxt = Window.orderBy("edge")
     return edges.select(F.col("edge").alias("bucket"), F.col("at").alias("lo"), F.lead("at").over(nxt).alias("hi")).where("hi is not null")

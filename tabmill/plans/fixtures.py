@@ -75,7 +75,7 @@ def document_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOCUMENTS_SQL = """
-words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\t-\\r ]+'), x -> x <> '') AS w, n_chars, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)),
+words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\t-\\r ]+'), lambda x: x <> '') AS w, n_chars, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)),
 docs AS (SELECT doc_id AS row_id, n_chars, len(w) AS n_words, CAST(len(list_distinct(w)) AS DOUBLE) / nullif(len(w), 0) AS uniq_ratio, lang, source, quality, toxic, doc_id % 2 = 0 AS is_context FROM words)"""
 
 

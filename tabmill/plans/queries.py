@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
     def keep(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = (f"WITH {','.join(ctes)} " if ctes else "") + sql
+            ORACLES[name] = (f"WITH RECURSIVE {','.join(ctes)} " if ctes else "") + sql
         return f
 
     return keep
@@ -172,8 +172,8 @@ EDGES = """
 zz AS (SELECT e.dataset_id, dataset_pos, row_idx, (value - m) / (s + 1e-8) AS z FROM ev e JOIN datasets USING (dataset_id) JOIN (SELECT dataset_id, avg(value) AS m, stddev_samp(value) AS s FROM ev GROUP BY dataset_id) USING (dataset_id)),
 cut AS (SELECT z FROM zz QUALIFY row_number() OVER (ORDER BY dataset_pos, row_idx) <= (SELECT count(*) - count(*) % 10 FROM zz)),
 ranked AS (SELECT z, row_number() OVER (ORDER BY z) - 1 AS r, count(*) OVER () // 10 AS m FROM cut),
-edge AS (SELECT 0 AS k, min(z) AS at FROM cut UNION ALL SELECT 10, max(z) FROM cut UNION ALL SELECT CAST(k AS INTEGER), avg(z) FROM ranked JOIN range(1, 10) g(k) ON r = m * k - 1 OR r = m * k GROUP BY k),
-edges AS (SELECT k AS bucket, at AS lo, lead(at) OVER (ORDER BY k) AS hi FROM edge QUALIFY hi IS NOT NULL)"""
+edge AS (SELECT 0 AS k, min(z) AS z FROM cut UNION ALL SELECT 10, max(z) FROM cut UNION ALL SELECT CAST(k AS INTEGER), avg(z) FROM ranked JOIN range(1, 10) g(k) ON r = m * k - 1 OR r = m * k GROUP BY k),
+edges AS (SELECT k AS bucket, z AS lo, lead(z) OVER (ORDER BY k) AS hi FROM edge QUALIFY hi IS NOT NULL)"""
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -212,8 +212,8 @@ def s14(spark, sf_dir):
 # ---- batch plans
 
 POINTER = """
-ptr AS (SELECT * FROM (WITH RECURSIVE p(batch_no, at) AS (SELECT CAST(0 AS BIGINT), CAST(3 AS BIGINT) UNION ALL
-       SELECT batch_no + 1, CASE WHEN at + 7 >= (SELECT count(*) FROM datasets) THEN 0 ELSE at + 7 END FROM p WHERE batch_no < 2 * ((SELECT count(*) FROM datasets) // 5) - 1) SELECT * FROM p))"""
+ptr(batch_no, place) AS (SELECT CAST(0 AS BIGINT), CAST(3 AS BIGINT) UNION ALL SELECT batch_no + 1, CASE WHEN place + 7 >= (SELECT count(*) FROM datasets) THEN 0 ELSE place + 7 END
+       FROM ptr WHERE batch_no < 2 * ((SELECT count(*) FROM datasets) // 5) - 1)"""
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
@@ -222,12 +222,12 @@ def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     return B.batch_plan(spark, n, 7, n // 5, epochs=2, start=3), datasets, n
 
 
-@query("b1_b2_b3_batch_plan", "SELECT batch_no, batch_no // ((SELECT count(*) FROM datasets) // 5) AS epoch, dataset_pos FROM ptr JOIN datasets ON dataset_pos >= at AND dataset_pos < at + 7", (EV, POINTER))
+@query("b1_b2_b3_batch_plan", "SELECT batch_no, batch_no // ((SELECT count(*) FROM datasets) // 5) AS epoch, dataset_pos FROM ptr JOIN datasets ON dataset_pos >= place AND dataset_pos < place + 7", (EV, POINTER))
 def b123(spark, sf_dir):
     return _plan(spark, sf_dir)[0].select("batch_no", "epoch", "dataset_pos")
 
 
-@query("b4_batch_facts", "SELECT batch_no, count(*) AS n_tables, max(n_features) AS max_features, max(n_rows) AS max_rows, arg_min(split_index, dataset_pos) AS split_index FROM ptr JOIN datasets ON dataset_pos >= at AND dataset_pos < at + 7 GROUP BY batch_no", (EV, POINTER))
+@query("b4_batch_facts", "SELECT batch_no, count(*) AS n_tables, max(n_features) AS max_features, max(n_rows) AS max_rows, arg_min(split_index, dataset_pos) AS split_index FROM ptr JOIN datasets ON dataset_pos >= place AND dataset_pos < place + 7 GROUP BY batch_no", (EV, POINTER))
 def b4(spark, sf_dir):
     plan, datasets, _ = _plan(spark, sf_dir)
     return B.batch_facts(plan, datasets)
@@ -479,7 +479,7 @@ def a2(spark, sf_dir):
     return out.select("dataset_id", "row_idx", F.transform("output", lambda v: F.round(v, 6)).alias("logits"))
 
 
-@query("a3_a4_softmax_argmax", "SELECT row_id, round(exp(x[1] - list_max(x[1:10])) / list_sum(list_transform(x[1:10], v -> exp(v - list_max(x[1:10])))), 6) AS p0, CAST(list_position(x[1:10], list_max(x[1:10])) - 1 AS INTEGER) AS prediction FROM emb", (EMB.split("cells AS")[0].rstrip().rstrip(","),))
+@query("a3_a4_softmax_argmax", "SELECT row_id, round(exp(x[1] - list_max(x[1:10])) / list_sum(list_transform(x[1:10], lambda v: exp(v - list_max(x[1:10])))), 6) AS p0, CAST(list_position(x[1:10], list_max(x[1:10])) - 1 AS INTEGER) AS prediction FROM emb", (EMB.split("cells AS")[0].rstrip().rstrip(","),))
 def a34(spark, sf_dir):
     e = X.embedding_task(spark, sf_dir).withColumn("proba", softmax(F.slice("x", 1, 10)))
     return e.select("row_id", r6(F.get("proba", F.lit(0))).alias("p0"), argmax(F.col("proba")).alias("prediction"))
@@ -658,11 +658,11 @@ def v3(spark, sf_dir):
     return V.class_distribution(X.event_rows(spark, sf_dir)).withColumn("percent", r6("percent"))
 
 
-@query("v4_centroids", "SELECT dataset_id, y, count(*) AS n, round(avg(x0), 5) AS x0_mean, round(avg(x1), 5) AS x1_mean, max(k) AS n_classes FROM ev JOIN (SELECT dataset_id, count(DISTINCT y) AS k FROM ev GROUP BY dataset_id) USING (dataset_id) GROUP BY dataset_id, y", (EV,))
+@query("v4_centroids", "SELECT dataset_id, y, count(*) AS n, round(avg(x0), 9) AS x0_mean, round(avg(x1), 9) AS x1_mean, max(k) AS n_classes FROM ev JOIN (SELECT dataset_id, count(DISTINCT y) AS k FROM ev GROUP BY dataset_id) USING (dataset_id) GROUP BY dataset_id, y", (EV,))
 def v4(spark, sf_dir):
     rows = X.event_rows(spark, sf_dir)
     d = V.class_centroids(rows).join(V.classes_per_table(rows), "dataset_id")
-    return d.select("dataset_id", "y", "n", F.round("x0_mean", 5).alias("x0_mean"), F.round("x1_mean", 5).alias("x1_mean"), "n_classes")
+    return d.select("dataset_id", "y", "n", F.round("x0_mean", 9).alias("x0_mean"), F.round("x1_mean", 9).alias("x1_mean"), "n_classes")
 
 
 # ---- synthetic tables, one for each of the events' users
