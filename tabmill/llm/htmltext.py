@@ -19,6 +19,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tabmill.llm.text import others
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base param source track area".split())
@@ -288,7 +290,7 @@ def page_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages' columns but html, with page_text and n_lines (those that aren't empty)."""
-    rest = [c for c in pages.columns if c != html]
+    rest = others(pages, html, "page_text", "n_lines")
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

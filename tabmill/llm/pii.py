@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabmill.llm.text import others
+
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
 LABELS = len(KINDS) + 1
@@ -254,10 +256,11 @@ def _text(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, model: dict[str, np.ndarray], rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """docs' columns but text, with n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans and n_added."""
-    rest = [c for c in docs.columns if c != "text"]
     kinds = dict(docs.dtypes)
     fields = [*((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())]
 
+    rest = others(docs, "text", *(n for n, _ in fields))
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []

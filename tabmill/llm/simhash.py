@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabmill.llm.graph import components
-from tabmill.llm.text import shared_table
+from tabmill.llm.text import others, shared_table
 
 BUDGET = 3
 #: Words in a shingle here; the contract of this operator names three.
@@ -58,7 +58,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs' columns but text, and fp."""
-    rest = [c for c in docs.columns if c != "text"]
+    rest = others(docs, "text", "fp", "component_id", "root")
     kinds = dict(docs.dtypes)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fp = pa.array([fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), fp], names=[*rest, "fp"])
 
-    return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(add, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", fp long")
+    return docs.select(*rest, F.col("text").cast("binary").alias("text")).mapInArrow(add, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", fp long")
 
 
 def _masks(step: int) -> list[list[int]]:

@@ -20,6 +20,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def others(df: DataFrame, *made: str) -> list[str]:
+    """df's columns but for these names, in any case: what an operator makes takes the place of a column of its name."""
+    return [c for c in df.columns if c.lower() not in made]
+
+
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """True if crc32 of the id's text leaves this remainder; a null id never does."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))

@@ -5,7 +5,8 @@ its beginnings (4 to 6 characters) are counted by the documents' labels, and a w
 forms is tied to that label beyond chance. The field (states: clean, toxic) is trained on windows of those documents: hashed
 weights for a word's form, beginnings and endings, and transition weights, by gradient ascent on the exact likelihood. Scoring
 takes every word of every text: forward-backward marginals, from which a logistic function of the document's aggregates (the
-log odds that any word is toxic, and the expected number of toxic words) gives its score. Words are lower-cased and lose the
+log odds that any word is toxic, and the expected number of toxic words) gives its score. Words whose marginal is below
+`LEAST` don't count there, so that a long text's many small doubts don't add up. Words are lower-cased and lose the
 punctuation at their ends; nothing but the text enters a score.
 
 Cases: null and empty texts have no words and get the score of a document without toxic words. Rows that repeat and null ids
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabmill.llm.text import bounded_sample, shared_table
+from tabmill.llm.text import bounded_sample, others, shared_table
 
 #: Most labelled documents that are learned from, by label.
 SAMPLE = {1: 3000, 0: 6000}
@@ -31,6 +32,8 @@ SAMPLE = {1: 3000, 0: 6000}
 LEXICON = 4096
 #: Least log-likelihood ratio of a form's tie to the label.
 TIE = 10.0
+#: Least marginal of a word that counts for its document.
+LEAST = 0.2
 CELLS = 1 << 16
 FORMS = 8
 WINDOW = 24
@@ -224,6 +227,7 @@ class Scorer:
         """By text: log odds that any word is toxic, log of 1 + the expected number of toxic words."""
         out = np.empty((len(texts), 2))
         for k, p in enumerate(self.marginals(texts)):
+            p = p[p >= LEAST]
             none = np.log1p(-np.clip(p, 0, 1 - 1e-12)).sum()
             out[k] = np.clip(np.log(max(-np.expm1(none), 1e-12)) - none, -12, 12), np.log1p(p.sum())
         return out
@@ -278,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample:
 
 def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """docs' columns but text, with score and predicted."""
-    rest = [c for c in docs.columns if c != "text"]
+    rest = others(docs, "text", "score", "predicted")
     kinds = dict(docs.dtypes)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +296,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 def spans(docs: DataFrame, model: dict[str, np.ndarray], sure: float = 0.5) -> DataFrame:
     """docs' columns but text, with spans: (start, end) in bytes of each run of words whose marginal is `sure` or more."""
-    rest = [c for c in docs.columns if c != "text"]
+    rest = others(docs, "text", "spans")
     kinds = dict(docs.dtypes)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,8 +82,8 @@ def test_query_is_right(spark, sf):
 
 def test_odd_rows(spark):
     rows = [(1, None, None, None, 0), (2, "", "en", None, 0), (3, " \n", None, "a", 2), (4, "One two", None, "a", 7), (5, "one  TWO", "en", "b", 8), (6, "a b c " * 30_000, None, None, 180_000), (None, "one two", None, "a", 7), (4, "One two", None, "a", 7)]
-    d = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 fp_extra", "2 root_", "3 node")
-    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(d.select("doc_id", "text", "node")).collect())
+    d = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 fp", "2 root", "3 node")
+    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(d.select("doc_id", "text", "node", "fp", "root")).collect())
     assert got == [(0, 4), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (6, 6)]
     kept = simhash.first_of_each(spark.createDataFrame(rows, DOCS))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
