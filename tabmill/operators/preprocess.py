@@ -27,7 +27,7 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     aggs = []
     for k, c in enumerate(columns):
         v = present(df, c)
-        number = F.lit(None).cast("double") if dict(df.dtypes)[c].startswith(("timestamp", "date")) else to_number(F.when(v.isNotNull(), v.cast("int") if dict(df.dtypes)[c] == "boolean" else v))
+        number = F.lit(None).cast("double") if dict(df.dtypes)[c].startswith(("timestamp", "date")) else as_number(df, c)
         aggs += [F.count(v).alias(f"p{k}"), F.count_distinct(v).alias(f"d{k}"), F.count(number).alias(f"n{k}")]
     one = df.agg(*aggs)
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"p{k}").alias("n_present"), F.col(f"d{k}").alias("n_distinct"), F.col(f"n{k}").alias("n_numeric")) for k, c in enumerate(columns)))
@@ -35,6 +35,25 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*").withColumn("kind", kind)
 
 
+def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n_rows, n_present, kind: as column_profile(), but a column is constant if its least and largest values agree, so
+    that one pass without distinct counts will do."""
+    aggs = [F.count("*").alias("rows")]
+    for k, c in enumerate(columns):
+        v = present(df, c)
+        number = F.lit(None).cast("double") if dict(df.dtypes)[c].startswith(("timestamp", "date")) else as_number(df, c)
+        aggs += [F.count(v).alias(f"p{k}"), F.min(v).eqNullSafe(F.max(v)).alias(f"c{k}"), F.count(number).alias(f"n{k}")]
+    kind = lambda k: F.when(F.col(f"c{k}"), "dropped").when(F.col(f"p{k}") == F.col(f"n{k}"), "numeric").otherwise("categorical")
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col("rows").alias("n_rows"), F.col(f"p{k}").alias("n_present"), kind(k).alias("kind")) for k, c in enumerate(columns)))
+    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def as_number(df: DataFrame, name: str) -> Column:
+    """A column's numbers; true and false are 1 and 0."""
+    v = present(df, name)
+    return to_number(v.cast("int") if dict(df.dtypes)[name] == "boolean" else v)
+
+
 def ordinal_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, value, code, n: each column's distinct values in byte order, from 0."""
     values = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value")) for c in columns)))
@@ -67,7 +86,7 @@ class PreprocessorModel:
         return [*self.means, *(f"{c}_missing" for c in self.numeric_missing), *self.codes, *(f"{c}_missing" for c in self.categorical_missing)]
 
     def features(self, df: DataFrame) -> list[Column]:
-        number = {c: to_number(present(df, c).cast("int") if dict(df.dtypes)[c] == "boolean" else present(df, c)) for c in self.means}
+        number = {c: as_number(df, c) for c in self.means}
         code = {c: F.create_map(*(F.lit(x) for pair in m.items() for x in pair))[present(df, c).cast("string")] for c, m in self.codes.items()}
         out = [F.coalesce(v, F.lit(self.means[c])) for c, v in number.items()]
         out += [number[c].isNull().cast("double") for c in self.numeric_missing]
@@ -87,22 +106,22 @@ class TablePreprocessor:
         self.columns, self.max_categories = columns, max_categories
 
     def fit(self, df: DataFrame) -> PreprocessorModel:
-        facts = {r.column: r for r in column_profile(df, self.columns).collect()}
-        n = df.count()
+        facts = {r.column: r for r in column_kinds(df, self.columns).collect()}
         kind = {c: facts[c].kind for c in self.columns}
         numeric = [c for c in self.columns if kind[c] == "numeric"]
         categorical = [c for c in self.columns if kind[c] == "categorical"]
-        if wide := [c for c in categorical if facts[c].n_distinct > self.max_categories]:
-            raise ValueError(f"more than {self.max_categories} categories: {', '.join(wide)}")
-        means = df.agg(*(F.avg(to_number(present(df, c).cast("int") if dict(df.dtypes)[c] == "boolean" else present(df, c))).alias(f"m{k}") for k, c in enumerate(numeric))).first() if numeric else []
+        means = df.agg(*(F.avg(as_number(df, c)).alias(f"m{k}") for k, c in enumerate(numeric))).first() if numeric else []
         codes: dict[str, dict[str, float]] = {c: {} for c in categorical}
         fill: dict[str, float] = {}
         if categorical:
             table = ordinal_codes(df, categorical)
+            wide = table.groupBy("column").count().where(F.col("count") > self.max_categories).collect()
+            if wide:
+                raise ValueError(f"more than {self.max_categories} categories: {', '.join(r.column for r in wide)}")
             for r in table.orderBy("column", "code").collect():
                 codes[r.column][r.value] = r.code
             fill = {r.column: r.code for r in most_frequent(table).collect()}
-        short = lambda cs: [c for c in cs if facts[c].n_present < n]
+        short = lambda cs: [c for c in cs if facts[c].n_present < facts[c].n_rows]
         return PreprocessorModel(dict(zip(numeric, means, strict=True)), short(numeric), codes, fill, short(categorical), [c for c in self.columns if kind[c] == "dropped"])
 
 

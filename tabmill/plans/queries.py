@@ -288,7 +288,7 @@ def p6(spark, sf_dir):
 @query("p7_drop_constant", "SELECT row_id, round(num_null, 2) AS num_null, cat_null FROM mixed", (MIX,))
 def p7(spark, sf_dir):
     d = X.mixed_table(spark, sf_dir).select("row_id", "num_null", "cat_null", "const", "empty")
-    kind = {r.column: r.kind for r in P.column_profile(d, ["num_null", "cat_null", "const", "empty"]).collect()}
+    kind = {r.column: r.kind for r in P.column_kinds(d, ["num_null", "cat_null", "const", "empty"]).collect()}
     return d.drop(*(c for c, k in kind.items() if k == "dropped")).withColumn("num_null", F.round("num_null", 2))
 
 
