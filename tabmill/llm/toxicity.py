@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tabmill.llm.text import bounded_sample, others, shared_table
 
 #: Most labelled documents that are learned from, by label.
-SAMPLE = {1: 3000, 0: 6000}
+SAMPLE = {1: 2000, 0: 4000}
 #: Most forms that label words.
 LEXICON = 4096
 #: Least log-likelihood ratio of a form's tie to the label.
@@ -37,7 +37,7 @@ LEAST = 0.2
 CELLS = 1 << 16
 FORMS = 8
 WINDOW = 24
-WINDOWS = 3
+WINDOWS = 2
 CACHE = 200_000
 EDGE = b".,;:!?()[]{}<>\"'"
 
@@ -135,7 +135,7 @@ def _windows(known: set[bytes]):
             for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 w = tokens(text or b"")
                 hit = [k for k, x in enumerate(w) if label and not known.isdisjoint(forms(x))]
-                at = sorted({max(0, k - WINDOW // 2) for k in [*hit[: WINDOWS - 1], *(len(w) * j // WINDOWS for j in range(WINDOWS))]})[: 2 * WINDOWS]
+                at = sorted({max(0, k - WINDOW // 2) for k in [*hit[:WINDOWS], *(len(w) * j // WINDOWS for j in range(WINDOWS))]})[: 2 * WINDOWS]
                 got, marked = [w[a : a + WINDOW] for a in at if w[a : a + WINDOW]], set(hit)
                 if got:
                     y = [[int(a + k in marked) for k in range(len(g))] for a, g in zip([a for a in at if w[a : a + WINDOW]], got, strict=True)]
@@ -259,8 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample:
     known = lexicon(some)
     if not known:
         return {"ready": False}
-    got = some.mapInArrow(_windows(known), "w array<binary>, y array<int>").collect()
-    got = sorted(([bytes(x) for x in r.w], list(r.y)) for r in got)
+    got = some.mapInArrow(_windows(known), "w array<binary>, y array<int>").toArrow()
+    got = sorted(zip(got.column("w").to_pylist(), got.column("y").to_pylist(), strict=True))
     model = train_field([w for w, _ in got], [y for _, y in got])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
