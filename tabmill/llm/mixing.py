@@ -187,7 +187,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block
     h = F.xxhash64(F.lit(SEED), F.col("text"), F.col("source"), F.col("lang"))
     text = docs.select("doc_id", "text", "lang", "source").withColumn("_h", h).groupBy("doc_id", "_h").agg(*(F.first(c).alias(c) for c in ("text", "lang", "source")))
     d = text.join(used, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")))
-    d = d.withColumn("w", F.when(~F.col("whole"), words(F.col("text"))))
-    cut = F.array_join(F.flatten(F.transform("used", lambda x: F.slice("w", (x.lead + 1).cast("int"), x.part.cast("int")))), " ")
+    # the words are a lambda's argument, so that they are split once a document and not once a part
+    parts_of = lambda w: F.array_join(F.flatten(F.transform("used", lambda x: F.slice(w, (x.lead + 1).cast("int"), x.part.cast("int")))), " ")
+    cut = F.get(F.transform(F.array(words(F.col("text"))), parts_of), F.lit(0))
     d = d.select("doc_id", F.when(F.col("whole"), F.col("text")).otherwise(cut).alias("text"), "lang", "source")
     return d.withColumn("n_chars", F.length("text").cast("long"))
