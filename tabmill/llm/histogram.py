@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tabmill.llm import tokens
 from tabmill.llm.mixing import running_total
+from tabmill.llm.text import shared_table
 
 
 def lengths(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
@@ -34,7 +35,8 @@ def lengths(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
 def histogram(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
     """A row per length that occurs: length, n_docs, docs_at_least, tokens_at_least, truncated_total, total_docs, total_tokens,
     docs_up_to (the share of documents no longer)."""
-    h = lengths(docs, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs"))
+    # written, as the suffix sums read it several times and encoding is what costs
+    h = shared_table(lengths(docs, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")
     h = h.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("one", F.lit(0)).withColumn("down", -F.col("length"))
     for value, name in (("n_docs", "docs_above"), ("n_tokens", "tokens_above")):
         h = running_total(h, ["one"], ["down"], value, name, F.floor(F.col("down") / 4096))
