@@ -5,7 +5,11 @@ these, and numbers the cell they fall in along a Hilbert curve. Spark range-part
 that equal vectors don't make one partition large). Overlapping windows of neighbouring rows are compared, and what the curves
 find for a query is merged. That gives every query a lower bound of its k-th best cosine. An exact check follows: the first
 curve's order is cut into cells with a centre and a reach, and a query is compared with the cells that could still hold
-something as near. Candidates are reranked in double precision on the original vectors.
+something as near.
+
+Each comparison ranks in single precision first, and scores whatever lies within the error of that of the k-th best in double
+precision, on the original vectors, before it cuts to k. So near copies, however many, can't push each other out. Of identical
+vectors those with the k + 1 smallest ids are compared, since no other can be among a query's k nearest.
 
 The projections are drawn, not fitted, so nothing depends on a sample. On vectors without any structure few cells can be
 ruled out, and the check reads most rows for each query; on clustered ones it reads few.
@@ -17,13 +21,13 @@ gets all. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tabmill.llm.text import shared_table
 
@@ -35,10 +39,8 @@ WINDOW = 512
 CELL = 256
 #: Rows in a block of the exact check, and queries that are held against it at once.
 BLOCK, QUERIES = 16_384, 8192
-#: Single precision's doubt about a cosine.
-DOUBT = 2e-6
-#: Candidates beyond k that each comparison hands on, for near ties.
-SPARE = 3
+#: Pairs that are scored in double precision at once.
+PAIRS = 262_144
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -88,40 +90,71 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return d
 
 
-def _matrix(b: pa.RecordBatch) -> np.ndarray:
-    flat = b.column("u").flatten() if pa.types.is_list(b.column("u").type) else None
-    return np.frombuffer(b"".join(b.column("u").to_pylist()), "<f4").reshape(b.num_rows, -1) if flat is None else flat.to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+def _matrix(b: pa.RecordBatch | pa.Table, kind: str, dim: int) -> np.ndarray:
+    """Column u, the bytes of original vectors, as doubles scaled by powers of two: scores don't change, and stay finite."""
+    v = np.frombuffer(b"".join(b.column("u").to_pylist()), kind).reshape(b.num_rows, dim).astype(float)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
 
 
-def _best(ids: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the `keep` largest scores, ties (to 1e-7) by id."""
-    if len(score) > keep:
-        edge = np.partition(score, len(score) - keep)[len(score) - keep]
-        at = np.nonzero(score >= edge - 1e-7)[0]
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((ids[at], -np.round(score[at], 6)))][:keep]
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("near", pa.float64())])
-FOUND = "query_id long, id long, near double"
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products of rows, added from the first column to the last, as SQL does."""
+    s = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        s += a[:, j] * b[:, j]
+    return s
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
+def doubt(dim: int) -> float:
+    """No single-precision cosine of rounded unit vectors is further off than this, in whatever order it is summed."""
+    return (dim + 8) * 2.0**-23
 
 
-def _compare(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, keep: int, least: np.ndarray | None = None) -> list[tuple]:
-    out = []
-    for a in range(0, len(qid), 1024):
-        s = q[a : a + 1024] @ x.T
-        for k in range(len(s)):
-            row = s[k].astype(float)
-            row[ids == qid[a + k]] = -np.inf
-            at = _best(ids, row, keep)
-            at = at[row[at] >= (least[a + k] - DOUBT if least is not None else -2.0)]
-            out += [(int(qid[a + k]), int(ids[j]), float(row[j])) for j in at]
-    return out
+def _least_ids(ids: np.ndarray, v: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the `keep` smallest ids of each group of identical vectors."""
+    if len(ids) <= keep:
+        return np.arange(len(ids))
+    rows = np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel()  # -0.0 is 0.0
+    group = np.unique(rows, return_inverse=True)[1]
+    order = np.lexsort((ids, group))
+    start = np.concatenate([[True], np.diff(group[order]) != 0])
+    place = np.arange(len(ids)) - np.maximum.accumulate(np.where(start, np.arange(len(ids)), 0))
+    return np.sort(order[place < keep])
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("near", pa.float64())])
+FOUND = "query_id long, id long, near double"
+
+
+def _compare(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Each query's k nearest of these rows (q, x: scaled doubles; ids differ), but those that are surely below its `least`."""
+    if not len(qid):
+        return
+    on = _least_ids(ids, x, k + 1)
+    ids, x = ids[on], x[on]
+    order, off = np.argsort(ids), doubt(x.shape[1])
+    unit, norm = _unit(x).astype("<f4"), np.sqrt(_dot(x, x))
+    for a in range(0, len(qid), 256):
+        some, qs = qid[a : a + 256], q[a : a + 256]
+        s = _unit(qs).astype("<f4") @ unit.T
+        at = order[np.minimum(np.searchsorted(ids, some, sorter=order), len(ids) - 1)]
+        own = np.nonzero(ids[at] == some)[0]
+        s[own, at[own]] = -np.inf
+        bound = np.full(len(some), -3.0) if least is None else least[a : a + 256] - off
+        if len(ids) > k:
+            bound = np.maximum(bound, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k].astype(float) - 2 * off)
+        i, j = np.nonzero(s >= np.maximum(bound, -3.0)[:, None])
+        score, length = np.empty(len(i)), np.sqrt(_dot(qs, qs))
+        for p in range(0, len(i), PAIRS):
+            u, w = i[p : p + PAIRS], j[p : p + PAIRS]
+            score[p : p + PAIRS] = _dot(qs[u], x[w]) / (length[u] * norm[w])
+        best = np.lexsort((ids[j], -score, i))
+        i, j, score = i[best], j[best], score[best]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield pa.RecordBatch.from_arrays([pa.array(some[i[first]], pa.int64()), pa.array(ids[j[first]], pa.int64()), pa.array(score[first])], schema=_FOUND)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
@@ -130,15 +163,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVE
     size = d.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim, n = (size.dim, size["count"]) if size else (1, 0)
     d = d.where(F.size("v") == dim)
-    keep = k + SPARE
+    kind = "<f4" if vectors.select("embedding").schema[0].dataType == ArrayType(FloatType()) else "<f8"
 
     def keyed(which: list[int]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+                u = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
                 v = v / np.abs(v).max(1, keepdims=True)  # so that very large or small numbers stay finite
-                v = v / np.sqrt((v * v).sum(1, keepdims=True))
-                u = pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary())
+                v = _unit(v)
                 for c in which:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), pa.array(curve_keys(v, c)), b.column("id"), u], names=["curve", "key", "id", "u"])
 
@@ -155,15 +188,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVE
             a = 0
             while len(ids) - a >= window or (final and a < len(ids)):
                 own = slice(a, a + window)
-                if rows := _compare(ids[own][q[own]], x[own][q[own]], ids[own], x[own], keep):
-                    yield _batch(rows)
+                yield from _compare(ids[own][q[own]], x[own][q[own]], ids[own], x[own], k)
                 if final and a + window >= len(ids):
                     break
                 a += window // 2
             held = [(held[0][0], ids[a:], q[a:], x[a:])]
 
         for b in batches:
-            curve, ids, q, x = b.column("curve").to_numpy(), b.column("id").to_numpy(), np.array(b.column("is_query").to_pylist(), bool), _matrix(b)
+            curve, ids, q, x = b.column("curve").to_numpy(), b.column("id").to_numpy(), np.array(b.column("is_query").to_pylist(), bool), _matrix(b, kind, dim)
             for c in np.unique(curve):
                 on = curve == c
                 if held and held[0][0] != c:
@@ -196,30 +228,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVE
         if not a.num_rows or not b.num_rows:
             return _FOUND.empty_table()
         a = a.sort_by([("key", "ascending"), ("id", "ascending")])
-        whole = lambda t: np.frombuffer(b"".join(t.column("u").to_pylist()), "<f4").reshape(t.num_rows, dim)
-        ids, x, qid, q, least = a.column("id").to_numpy(), whole(a), b.column("id").to_numpy(), whole(b), b.column("least").to_numpy()
-        out: list[tuple] = []
+        ids, x, qid, q, least = a.column("id").to_numpy(), _matrix(a, kind, dim), b.column("id").to_numpy(), _matrix(b, kind, dim), b.column("least").to_numpy()
+        out: list[pa.RecordBatch] = []
         at = list(range(0, len(ids), CELL))
-        centre = np.stack([x[k : k + CELL].mean(0) for k in at])
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-        reach = np.array([np.arccos(np.clip((x[k : k + CELL] @ c).min(), -1, 1)) for k, c in zip(at, centre, strict=True)])
-        angle = np.arccos(np.clip(q @ centre.T, -1, 1))
+        unit, to = _unit(x), _unit(q)  # in doubles: the angle of a small cosine error is large where vectors are close
+        centre = np.stack([unit[c : c + CELL].mean(0) for c in at])
+        size = np.linalg.norm(centre, axis=1)
+        centre /= np.maximum(size, 1e-9)[:, None]
+        reach = np.array([np.arccos(np.clip((unit[p : p + CELL] @ c).min(), -1, 1)) if s > 1e-9 else np.pi for p, c, s in zip(at, centre, size, strict=True)])
+        angle = np.arccos(np.clip(to @ centre.T, -1, 1))
         could = np.cos(np.maximum(0, angle - reach)) >= least[:, None] - 1e-5
-        for k in range(0, len(qid), 256):  # queries that need the same cells are compared with these at once
-            some = slice(k, k + 256)
+        for p in range(0, len(qid), 256):  # queries that need the same cells are compared with these at once
+            some = slice(p, p + 256)
             cell = np.nonzero(could[some].any(0))[0]
             if len(cell):
                 on = np.concatenate([np.arange(at[c], min(at[c] + CELL, len(ids))) for c in cell])
-                out += _compare(qid[some], q[some], ids[on], x[on], keep, least[some])
-        return pa.Table.from_batches([_batch(out)]) if out else _FOUND.empty_table()
+                out += _compare(qid[some], q[some], ids[on], x[on], k, least[some])
+        return pa.Table.from_batches(out, _FOUND)
 
     exact = held.groupBy("block", "set").cogroup(queries.groupBy("block", "set")).applyInArrow(check, FOUND)
     both = first.unionByName(exact).groupBy("query_id", "id").agg(F.max("near").alias("near"))
-    ranked = both.withColumn("edge", F.nth_value("near", k).over(rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    near = ranked.where("edge is null or near >= edge - 1e-5").select("query_id", "id")
-    q = d.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    near = near.join(d.select("id", "v"), "id").join(q, "query_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = near.withColumn("score", dot("qv", "v") / (F.sqrt(dot("qv", "qv")) * F.sqrt(dot("v", "v"))))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return near.select("query_id", F.row_number().over(order).alias("rank"), F.col("id").alias("vec_id"), "score").where(F.col("rank") <= k)
+    return both.select("query_id", F.row_number().over(rank).alias("rank"), F.col("id").alias("vec_id"), F.col("near").alias("score")).where(F.col("rank") <= k)

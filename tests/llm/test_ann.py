@@ -55,3 +55,22 @@ def test_hilbert_neighbours():
     grid = np.array([(i, j) for i in range(16) for j in range(16)])
     path = grid[np.argsort(ann.hilbert(grid, 4))]
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_thousands_of_copies(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(7000, 64))
+    x[1000:3000] = x[1000] + rng.normal(size=(2000, 64)) * 3e-4  # near copies
+    x[3000:5000] = x[3000]  # exact ones
+    x[5000:6000] = x[5000] * 2.0 ** rng.integers(-3, 4, 1000)[:, None]  # copies but for their length
+    x[6000:7000] = x[6000] + rng.normal(size=(1000, 64)) * 1e-8
+    ids = rng.permutation(7000)
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    norm = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+    want = {}
+    for a, v in zip(ids, x, strict=True):
+        if a % 50 == 0:
+            s = np.cumsum(x * v, axis=1)[:, -1] / (norm[ids == a] * norm)
+            s[ids == a] = -2
+            want[a] = [(ids[j], s[j]) for j in np.lexsort((ids, -s))[:5]]
+    check(ann.search(d, F.col("id") % 50 == 0).collect(), want)
