@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 VOCABULARY = "byte_bpe_50k"
 END = 1
+#: tiktoken's pattern keeps its way back through a run of white space, and fails at about 1,000,000; longer runs than this go to
+#: the tokenizers file.
+RUN = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -20,6 +24,19 @@ def encoder(name: str = VOCABULARY):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def unlimited(name: str = VOCABULARY):
+    """The tokenizers file's encoder: slower, but for any text. Special tokens' strings are ordinary text, as in encoder()."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    found.encode_special_tokens = True
+    return found
+
+
 def encode(text: str | None, name: str = VOCABULARY) -> list[int]:
     """Ids of the text alone; none for null or empty."""
+    if text and len(text) > RUN and any(m.end() - m.start() > RUN for m in re.finditer(r"\s+", text)):
+        return unlimited(name).encode(text, add_special_tokens=False).ids
     return encoder(name).encode_ordinary(text) if text else []

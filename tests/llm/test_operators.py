@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabmill.llm import ann, histogram, langmodel, mixing, packing, pii, quality, queries, toxicity
+from tabmill.llm import ann, histogram, langmodel, mixing, packing, pii, quality, queries, tokens, toxicity
 from tabmill.llm.text import bounded_sample
 from tests.llm import plain
 
@@ -259,6 +259,11 @@ def check_pieces(rows, texts, length=2048):
     assert all(n <= length and n & (n - 1) == 0 for n in used.values())
 
 
+@pytest.mark.parametrize("text", ["one <|endoftext|> two", "a" + " " * 1_200_000 + "b", "\n" * 1_200_000, "a b\u00a0" * 1000 + "\u2003\t" * 600_000 + "\x1c" * 200_000 + "c"])
+def test_ids_are_those_of_the_tokenizers_file(text):
+    assert tokens.encode(text) == ids_of(text)
+
+
 def test_packing(spark, sf, docs):
     check_pieces(queries.op5_mixture_packing(spark, sf).collect(), {d.doc_id: d.text for d in docs})
 
