@@ -3,6 +3,8 @@
 The tree builder closes what HTML leaves open (paragraphs, list items, table parts), makes missing table bodies and rows, and
 ignores end tags that match nothing. Hidden are the head, scripts and the like, elements with the hidden attribute, closed
 dialogs and details, and what inline styles or simple rules of the page's own style sheets (tag, .class, #id) don't display.
+Such rules override each other as in a browser (importance, inline, selector, order); those under a condition count if it holds
+on a screen of 1280 by 800 pixels. Text in svg and math is text of its line.
 Blocks stand in lines of their own, paragraphs and the like apart by an empty line; list items get a dash or their number and
 an indent by depth; a table's cells are padded to columns; preformatted text keeps its spaces.
 
@@ -23,7 +25,7 @@ from tabmill.llm.text import others
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base param source track area".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link base param source track area".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset form hr address".split())
 BLOCK = APART | frozenset("html body div section article aside header footer nav main li dt dd tr caption figcaption legend details summary center menu dir hgroup search option optgroup".split())
 #: What a start tag closes, and where the search for it ends.
@@ -38,8 +40,17 @@ ENDS_P = (APART | {"div", "section", "article", "aside", "header", "footer", "na
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "template", "html"})
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?", re.S)
 ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: What svg and math hold but don't show.
+FOREIGN_UNSEEN = frozenset("defs symbol desc metadata clippath mask marker pattern lineargradient radialgradient annotation annotation-xml".split())
+CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+DECLARED = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*\Z", re.I)
+DISPLAY = re.compile(r"(?:none|contents|block|inline|run-in|flow|flow-root|flex|grid|list-item|ruby|table|inline-(?:block|flex|grid|table)|table-[a-z-]+|ruby-[a-z-]+|-webkit-[a-z-]+|initial|inherit|unset|revert)\Z")
+SCREEN = {"width": 1280.0, "height": 800.0}
+LENGTH = r"([0-9.]+)(px|em|rem)?"
+SIZE = re.compile(rf"(min-|max-)?(?:device-)?(width|height)\s*:\s*{LENGTH}")
+RANGE = re.compile(rf"(?:{LENGTH}\s*(<=?)\s*)?(width|height)\s*(?:([<>]=?|=)\s*{LENGTH})?")
+#: Conditions that hold on such a screen.
+HOLD = re.compile(r"orientation\s*:\s*landscape|prefers-color-scheme\s*:\s*light|prefers-reduced-motion\s*:\s*no-preference|(?:any-)?hover(?:\s*:\s*hover)?|(?:any-)?pointer(?:\s*:\s*fine)?|color|scripting\s*:\s*enabled")
 SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*\Z")
 SPACES = re.compile(r"[ \t\n\f\r]+")
 
@@ -51,26 +62,123 @@ class Node:
         self.tag, self.hidden, self.start, self.children = tag, hidden, start, []
 
 
-def style_rules(css: str) -> set[str]:
-    """The simple selectors that a style sheet doesn't display."""
-    found = set()
-    for names, body in RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-        if GONE.search(body):
-            found |= {n.strip().lower() for n in names.split(",") if SIMPLE.match(n.strip())}
-    return found
+def _pixels(number: str, unit: str | None) -> float:
+    try:
+        return float(number) * (16 if unit in ("em", "rem") else 1)
+    except ValueError:
+        return float("nan")
 
 
-def is_hidden(tag: str, attrs: dict[str, str], rules: set[str]) -> bool:
-    if tag in UNSEEN or "hidden" in attrs or (tag == "dialog" and "open" not in attrs) or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
+def _holds(condition: str) -> bool:
+    """One part of a media query."""
+    if condition in ("", "all", "screen"):
         return True
-    if "style" in attrs and GONE.search(attrs["style"]):
+    inner = condition.strip("() \t\n")
+    if m := SIZE.fullmatch(inner):
+        have, want = SCREEN[m.group(2)], _pixels(m.group(3), m.group(4))
+        return have >= want if m.group(1) == "min-" else have <= want if m.group(1) == "max-" else have == want
+    if m := RANGE.fullmatch(inner):
+        have, ok = SCREEN[m.group(4)], True
+        if m.group(1):
+            low = _pixels(m.group(1), m.group(2))
+            ok = low <= have if m.group(3) == "<=" else low < have
+        if m.group(5):
+            want = _pixels(m.group(6), m.group(7))
+            ok = ok and {"<": have < want, "<=": have <= want, ">": have > want, ">=": have >= want, "=": have == want}[m.group(5)]
+        return ok
+    return condition[:1] == "(" and bool(HOLD.fullmatch(inner))
+
+
+def on_screen(media: str) -> bool:
+    """True if a list of media queries holds on a screen."""
+    for q in media.lower().split(","):
+        q = q.strip()
+        turned = q.startswith("not ")
+        q = re.sub(r"^(?:not|only)\s+", "", q)
+        if any(all(_holds(c.strip()) for c in re.split(r"\band\b", part)) for part in re.split(r"\bor\b", q)) != turned:
+            return True
+    return False
+
+
+def _applies(rule: str) -> bool:
+    """True if what an at-rule encloses are rules that apply."""
+    name, rest = re.match(r"@([\w-]*)\s*(.*)", rule, re.S).groups()
+    if name.lower() == "media":
+        return on_screen(rest)
+    return name.lower() == "layer" or (name.lower() == "supports" and not rest.lower().startswith("not"))
+
+
+def declared(text: str) -> tuple[str, str, bool] | None:
+    """display or visibility, its value, and whether it's important; None for any other declaration."""
+    m = DECLARED.match(text)
+    if not m or (m.group(1).lower() == "display" and not all(map(DISPLAY.match, m.group(2).lower().split()))):
+        return None
+    return m.group(1).lower(), m.group(2).lower(), bool(m.group(3))
+
+
+def style_rules(css: str, rules: dict[str, dict[str, tuple]] | None = None) -> dict[str, dict[str, tuple]]:
+    """What a style sheet declares about simple selectors' display and visibility, added to earlier sheets' rules: by selector and
+    property (important, rank of the selector, order, value)."""
+    rules = {} if rules is None else rules
+    css = re.sub(r"<!--|-->", "", re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S))
+    order = sum(map(len, rules.values()))
+    within: list[list[str] | None] = []  # selectors of each open block; none for groups of rules, None if it doesn't apply
+    at = 0
+
+    def take(text: str) -> None:
+        nonlocal order
+        if within and within[-1] and (d := declared(text)):
+            for n in within[-1]:
+                order += 1
+                new = (d[2], {"#": 2, ".": 1}.get(n[0], 0), order, d[1])
+                own = rules.setdefault(n, {})
+                own[d[0]] = max(own.get(d[0], new), new)
+
+    order += max((v[2] for r in rules.values() for v in r.values()), default=0)
+    for m in CSS.finditer(css):
+        if (c := m.group()) not in "{};":
+            continue
+        text, at = css[at : m.start()].strip(), m.end()
+        if c == "{":
+            above = within[-1] if within else []
+            if above is None:
+                within.append(None)
+            elif text.startswith("@"):
+                within.append(above if _applies(text) else None)
+            else:
+                names = [n.strip().lower() for n in text.split(",") if SIMPLE.match(n.strip())]
+                within.append(None if above else names or None)
+            continue
+        take(text)
+        if c == "}" and within:
+            within.pop()
+    take(css[at:])
+    return rules
+
+
+def is_hidden(tag: str, attrs: dict[str, str], rules: dict[str, dict[str, tuple]]) -> bool:
+    if tag in UNSEEN or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
+        return True
+    found: dict[str, tuple] = {}
+    if rules:
+        for n in {tag, f"#{attrs.get('id', '').lower()}", *(f".{c}" for c in attrs.get("class", "").lower().split())}:
+            for k, v in rules.get(n, {}).items():
+                found[k] = max(found.get(k, v), v)
+    if "style" in attrs:
+        for j, text in enumerate(attrs["style"].split(";")):
+            if d := declared(text):
+                found[d[0]] = max(found.get(d[0], (False,)), (d[2], 3, j, d[1]))
+    if "display" not in found and ("hidden" in attrs or (tag == "dialog" and "open" not in attrs)):
         return True
-    return bool(rules) and (tag in rules or f"#{attrs.get('id', '').lower()}" in rules or any(f".{c}" in rules for c in attrs.get("class", "").lower().split()))
+    return ("display" in found and found["display"][3] == "none") or ("visibility" in found and found["visibility"][3] in ("hidden", "collapse"))
 
 
 def parse(html: str) -> Node:
     """The page's tree."""
-    rules = {r for css in re.findall(r"<style[^>]*>(.*?)(?:</style|\Z)", html, re.S | re.I) for r in style_rules(css)} if "<style" in html or "<STYLE" in html else set()
+    rules: dict[str, dict[str, tuple]] = {}
+    for raw, css in re.findall(r"<style\b([^>]*)>(.*?)(?:</style|\Z)", html, re.S | re.I) if re.search("<style", html, re.I) else []:
+        if on_screen({k.lower(): unescape(a or b or c or "") for k, a, b, c in ATTR.findall(raw)}.get("media", "")):
+            style_rules(css, rules)
     root = Node("html")
     stack, opened = [root], {"html": 1}
 
@@ -133,7 +241,12 @@ def parse(html: str) -> Node:
                 push("tbody")
             if tag != "tr" and stack[-1].tag in ("tbody", "thead", "tfoot"):
                 push("tr")
-        hidden = is_hidden(tag, attrs, rules)
+        foreign = opened.get("svg") or opened.get("math")
+        hidden = is_hidden(tag, attrs, rules) or bool(foreign and tag in FOREIGN_UNSEEN)
+        if (foreign or tag in ("svg", "math")) and raw.endswith("/") and tag not in VOID:
+            continue  # such an element is empty
+        if foreign and tag == "text":
+            text(" ")  # texts of a drawing stand apart
         if tag == "details" and "open" not in attrs:
             push("details", hidden, -1)
             continue

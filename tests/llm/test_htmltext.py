@@ -69,3 +69,29 @@ def test_odd_rows(spark):
     d = spark.createDataFrame([(1, None, "x"), (None, "", None), (2, "<p>a", "y"), (2, "<p>a", "y")], "page_id long, html string, tag string")
     assert sorted((r.page_id or 0, r.page_text, r.n_lines) for r in htmltext.extract(d).collect()) == [(0, "", 0), (1, "", 0), (2, "a", 1), (2, "a", 1)]
     assert htmltext.extract(d.limit(0)).count() == 0
+
+
+def styled(css, body):
+    return htmltext.page_text(f"<head><style>{css}</style></head><body>{body}").split()
+
+
+def test_rules_of_other_media_hide_nothing():
+    body = "<p class=nav>nav<p class=wide>wide<p class=c>c"
+    assert styled("@media print { .nav { display:none } } @media (max-width:600px) { .wide { display:none } } .c{display:none}", body) == ["nav", "wide"]
+    assert styled("@import url(x.css); @media screen and (min-width: 40em) { .nav { display:none } .wide{color:red} } .c{}", body) == ["wide", "c"]
+    assert styled("@media not print { .nav{display:none} } @supports (display:grid) { @media print { .c{display:none} } .wide{display:none} }", body) == ["c"]
+    assert styled("@media (width >= 600px) { .nav{display:none} } @media (400px <= width < 700px) { .c{display:none} } @keyframes x { from { visibility:hidden } }", body) == ["wide", "c"]
+    assert htmltext.page_text("<style media=print>p{display:none}</style><p>a") == "a"
+
+
+def test_rules_override_each_other():
+    assert styled(".a{display:none} .a{display:block} .b{display:block} .b{display:none}", "<p class=a>a<p class=b>b") == ["a"]
+    assert styled("#i{display:block} .a{display:none} p{display:none}", "<p class=a id=i>a<p>b<div class=a>c</div>") == ["a"]
+    assert styled(".a{display:none} .b{display:none !important}", "<p class=a style='display:block'>a<p class=b style='display:block'>b") == ["a"]
+    assert styled(".a{display:none; display:flexx} .b{display:block}", "<p class=a>a<p hidden class=b>b<p hidden>c<p style='display:none;display:block'>d") == ["b", "d"]
+    assert styled(".a{visibility:hidden} .a{display:block} .b{content:'}'; display:none} .c{color:red; .d{display:none}}", "<p class=a>a<p class=b>b<p class=c>c<p class=d>d") == ["c", "d"]
+
+
+def test_text_of_drawings_and_formulas():
+    assert htmltext.page_text("<p>x <svg><title>t</title><style>p{}</style><defs><text>no</text></defs><path d='M0 0'/><defs/><text>A</text><text>B</text></svg> y<svg/> z") == "x A B y z"
+    assert htmltext.page_text("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>tex</annotation></semantics></math> holds") == "so x=1 holds"
