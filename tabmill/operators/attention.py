@@ -1,7 +1,8 @@
 """In-context scoring: context rows answer for query rows. Collections of small tables by group, one large table by broadcast.
 
-A query row's answer depends on itself and its table's context alone, so query rows may be dealt in any way. The context of
-one table is held by every task; its size is checked against max_context first.
+A query row's answer depends on itself and its table's context alone, so query rows may be dealt in any way. attend_table()
+compares blocks of one table's context with sets of its query rows, and merges what they give, so neither side is bounded. For
+other scorers the context of one table is held by every task; its size is checked against max_context first.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabmill.functions import kernel
+from tabmill.sources.storage import written
 
 #: Most context rows of a table that is scored by broadcast.
 MAX_CONTEXT = 10_000
+#: Context rows of a block, and query rows of a set, that one task compares.
+PIECE = 4096
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -82,3 +86,47 @@ def score_table(queries: DataFrame, cx: np.ndarray, cy: np.ndarray, score: Score
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(out), pa.list_(pa.float64()))], names=[*b.schema.names, "output"])
 
     return queries.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in queries.columns), "output array<double>"]))
+
+
+def attend_table(context: DataFrame, queries: DataFrame, piece: int = PIECE) -> DataFrame:
+    """row_id, output: attention_scorer's class shares for the query rows of one table of any size. context: row_id, x, y (0, 1,
+    ...); queries: row_id, x. A row_id is one row."""
+    context = written(context.select(F.col("row_id"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y")), "context")
+    queries = written(queries.select("row_id", F.col("x").cast("array<double>").alias("x")), "queries")
+    n, top = context.agg(F.count("*"), F.max("y")).first()
+    if not n:
+        return queries.select("row_id", F.array(F.lit(float("nan"))).alias("output"))
+    classes, blocks, sets = int(top) + 1, -(-n // piece), max(1, -(-queries.count() // piece))
+    cells = context.select(F.posexplode("x").alias("k", "v")).withColumn("v", F.coalesce("v", F.lit(float("nan"))))
+    scale = cells.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")).orderBy("k").collect()
+    mean, std = np.array([r["mean"] for r in scale], float), np.array([r["std"] for r in scale], float)
+
+    def dealt(d: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        d = d.withColumn(own, F.pmod(F.xxhash64("row_id"), F.lit(parts)))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).withColumn(own, F.col(own).cast("int"))
+
+    a = dealt(context, "block", blocks, "set", sets).groupBy("block", "set")
+    b = dealt(queries, "set", sets, "block", blocks).groupBy("block", "set")
+    kind = queries.schema["row_id"].dataType.simpleString()
+
+    def part(c: pa.Table, q: pa.Table) -> pa.Table:
+        out = []
+        if c.num_rows and q.num_rows:
+            z = lambda v: np.clip((v - mean) / (std + kernel.EPSILON), -100, 100)
+            cx, qx, one = z(matrix(c.column("x"))), z(matrix(q.column("x"))), np.eye(classes)[c.column("y").to_numpy().astype(int)]
+            for at in range(0, len(qx), 512):
+                s = qx[at : at + 512] @ cx.T / np.sqrt(cx.shape[1])
+                most = s.max(1)
+                e = np.exp(s - most[:, None])
+                out.append((most, e.sum(1), e @ one))
+        most, total, votes = (np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0), np.zeros(0), np.zeros((0, classes)))
+        ids = q.column("row_id").combine_chunks()
+        return pa.table({"row_id": ids if out else ids.slice(0, 0), "most": most, "total": total, "votes": pa.array(list(votes), pa.list_(pa.float64()))})
+
+    found = a.cogroup(b).applyInArrow(part, f"row_id {kind}, most double, total double, votes array<double>")
+    found = written(found, "votes")
+    found = found.join(found.groupBy("row_id").agg(F.max("most").alias("all_most")), "row_id").withColumn("w", F.exp(F.col("most") - F.col("all_most")))
+    found = found.select("row_id", "w", "total", F.posexplode("votes").alias("class", "vote"))
+    found = found.groupBy("row_id", "class").agg((F.sum(F.col("vote") * F.col("w")) / F.sum(F.col("total") * F.col("w"))).alias("p"))
+    found = found.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("class", "p"))).alias("s"))
+    return found.select("row_id", F.col("s.p").alias("output"))

@@ -466,8 +466,7 @@ def a1(spark, sf_dir):
 @query("a1_one_table_attention", "SELECT row_id, class, round(p, 6) AS p FROM proba", (EMB,))
 def a1_one(spark, sf_dir):
     e = X.embedding_task(spark, sf_dir)
-    x, y = A.collect_context(e.where("is_context"))
-    out = A.score_table(e.where("not is_context"), x, y, A.attention_scorer(int(y.max()) + 1))
+    out = A.attend_table(e.where("is_context"), e.where("not is_context"))
     return out.select("row_id", F.posexplode("output").alias("class", "p")).withColumn("p", r6("p"))
 
 

@@ -275,3 +275,26 @@ def test_user_functions_and_hooks(spark, tmp_path):
     assert {x for s in seen for x in s if x[2] == 4} == {("r", 0, 4, 1.5), ("r", 1, 4, 5.5)}
     T.log_metrics(losses.select("run", F.col("batch_no").alias("epoch"), F.lit("loss").alias("name"), F.col("loss").alias("value")), str(tmp_path / "m"))
     assert T.metrics_view(spark, str(tmp_path / "m"), ["loss"]).count() == 8
+
+
+def test_one_table_has_no_largest_context(spark, tmp_path):
+    from tabmill.plans import queries as plans
+
+    rng = np.random.default_rng(0)
+    n = 24_000
+    x = rng.normal(size=(n, 16)).astype("f4")
+    x[:50] *= 30  # so that blocks' largest products differ by much
+    d = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, rng.integers(0, 3, n), strict=True))], "vec_id long, embedding array<float>, label int")
+    d.write.parquet(str(tmp_path / "embeddings.parquet"))
+    e = X.embedding_task(spark, str(tmp_path)).orderBy("row_id").collect()
+    on = np.array([r.is_context for r in e])
+    z, y = np.array([r.x for r in e], float), np.array([r.y for r in e])
+    assert on.sum() > A.MAX_CONTEXT
+    some = np.nonzero(~on)[0][::97]
+    want = A.attention_scorer(int(y[on].max()) + 1)(z[on], y[on], z[some])
+    got = {}
+    for r in plans.QUERIES["a1_one_table_attention"](spark, str(tmp_path)).collect():
+        got.setdefault(r.row_id, {})[r["class"]] = r.p
+    assert len(got) == (~on).sum()
+    for k, w in zip(some, want, strict=True):
+        assert np.allclose([got[e[k].row_id][c] for c in range(len(w))], w, atol=2e-6)
