@@ -95,10 +95,19 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, turn)
 
 
-def draw(plan: DataFrame, block: int, shard: int) -> DataFrame:
-    """source_no, shard, count: what each shard draws of each source. plan: targets() with `blocks`."""
-    one = plan.agg(F.array_sort(F.collect_list(F.struct("source_no", "target"))).alias("s"), F.sum("target").alias("all"))
-    one = one.where("all > 0").withColumn("slots", F.ceil(F.col("all") / block))
+def draw(plan: DataFrame, shard: int, passes: int) -> DataFrame:
+    """source_no, shard, count: what each shard draws of each source. plan: targets() with `blocks`.
+
+    A source's last block may be short, so its target counts in blocks of its mean length. One that stops at `passes` times its
+    size isn't drawn: all its blocks are taken that often.
+    """
+    full = F.col("target") >= passes * F.col("source_size")
+    all_of = plan.where(full & (F.col("blocks") > 0)).select("source_no", (F.col("blocks") * passes).alias("all"))
+    all_of = all_of.select("source_no", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / shard))).alias("shard"))
+    all_of = all_of.select("source_no", "shard", F.least(F.lit(shard).cast("long"), F.col("all") - F.col("shard") * shard).alias("count"))
+    some = plan.where(~full).select("source_no", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("target"))
+    one = some.agg(F.array_sort(F.collect_list(F.struct("source_no", "target"))).alias("s"), F.sum("target").alias("all"))
+    one = one.where("all > 0").withColumn("slots", F.ceil("all"))
     shards = one.select("s", "all", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard))).alias("shard"))
     shards = shards.withColumn("n", F.least(F.lit(shard).cast("long"), F.col("slots") - F.col("shard") * shard))
     shards = shards.withColumn("e", F.transform("s", lambda x: F.struct(x.source_no.alias("source_no"), F.floor(x.target / F.col("all") * F.col("n")).alias("whole"), (x.target / F.col("all") * F.col("n") - F.floor(x.target / F.col("all") * F.col("n"))).alias("part"))))
@@ -113,12 +122,12 @@ def draw(plan: DataFrame, block: int, shard: int) -> DataFrame:
         return F.struct((a.sum + x.part).alias("sum"), F.when(reached, x.source_no).otherwise(a.hit).alias("hit"), F.when(x.part > 0, x.source_no).otherwise(a.last).alias("last"))
 
     drawn = drawn.select(F.aggregate("e", start, pick, lambda a: F.coalesce(a.hit, a.last)).alias("source_no"), "shard", F.lit(1).cast("long").alias("count"))
-    return sure.unionByName(drawn).groupBy("source_no", "shard").agg(F.sum("count").alias("count")).where("count > 0")
+    return sure.unionByName(drawn).unionByName(all_of).groupBy("source_no", "shard").agg(F.sum("count").alias("count")).where("count > 0")
 
 
-def block_uses(plan: DataFrame, block: int, shard: int, passes: int) -> DataFrame:
+def block_uses(plan: DataFrame, shard: int, passes: int) -> DataFrame:
     """source_no, block_no, uses: how often the mix takes each block that it takes."""
-    d = running_total(draw(plan, block, shard), ["source_no"], ["shard"], "count", "first", F.floor(F.col("shard") / 256))
+    d = running_total(draw(plan, shard, passes), ["source_no"], ["shard"], "count", "first", F.floor(F.col("shard") / 256))
     blocks = plan.select(F.col("source_no").alias("_s"), F.col("blocks"))
     d = d.join(blocks, F.col("source_no") == F.col("_s")).where("blocks > 0")
     # in runs of RUN slots, so that the slots are made in many tasks however few shards there are
@@ -151,7 +160,7 @@ def mix_parts(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int
     d = running_total(d, ["source_no"], ["_order", "doc_id", "_h"], "size", "first_word", F.pmod(F.col("_order"), F.lit(CELLS)))
     last = F.col("first_word") + F.greatest(F.col("size"), F.lit(1)) - 1
     d = d.select("source_no", "doc_id", "size", "_h", "first_word", F.explode(F.sequence(F.floor(F.col("first_word") / block), F.floor(last / block))).alias("block_no"))
-    uses = block_uses(plan, block, shard, passes).select(F.col("source_no").alias("_s"), F.col("block_no").alias("_b"), "uses")
+    uses = block_uses(plan, shard, passes).select(F.col("source_no").alias("_s"), F.col("block_no").alias("_b"), "uses")
     # both sides grow with the words, whatever their estimated size says: never a broadcast
     d = d.join(uses.hint("merge"), (F.col("source_no") == F.col("_s")) & (F.col("block_no") == F.col("_b")), "left").drop("_s", "_b")
     start = F.greatest(F.col("first_word"), F.col("block_no") * block)

@@ -223,6 +223,19 @@ def test_mix_caps_and_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mix(odd.where("doc_id < 3")).count() == 2
 
 
+def test_mix_reaches_small_targets(spark):
+    rows = [(k, "w " * 40, f"s{k:03}") for k in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    target, taken = collections.Counter(), collections.Counter()
+    for r in got:
+        target[r.doc_id % 3] += r.target
+        taken[r.doc_id % 3] += r.taken
+    assert all(abs(taken[k] / target[k] - 1) < 0.1 for k in target), (target, taken)
+    rows = [(0, "w " * 10, "a"), (1, "w " * 40, "b"), (2, "w " * 20_000, "c")]  # a and b stop at three times their size
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(5.0, 5.0, 1.0), shard=100).collect()
+    assert sorted((r.source_size, r.target, r.taken) for r in got)[:2] == [(10, 30.0, 30), (40, 120.0, 120)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_permutation(spark, n):
     d = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p"), mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(4)).alias("q")).collect()
