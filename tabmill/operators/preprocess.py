@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabmill.functions.numbers import to_number
+from tabmill.operators.ranking import global_rank
 
 
 def present(df: DataFrame, name: str) -> Column:
@@ -126,13 +127,17 @@ class TablePreprocessor:
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """value, y: the labels in order, from 0. One row per class."""
-    return df.select(F.col(label).alias("value")).where("value is not null").distinct().withColumn("y", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    """value, y: the labels in order, from 0. One row per class, however many there are."""
+    values = df.select(F.col(label).alias("value")).where("value is not null").distinct()
+    return global_rank(values, ["value"], "y").select("value", F.col("y").cast("int").alias("y"))
 
 
 def encode_labels(df: DataFrame, label: str, codes: DataFrame, name: str = "y") -> DataFrame:
-    """df with the labels' codes; a label that wasn't seen at fit is an error when its row is computed."""
-    d = df.join(F.broadcast(codes.select(F.col("value").alias("_value"), F.col("y").alias("_y"))), F.col(label) == F.col("_value"), "left")
+    """df with the labels' codes; a label that wasn't seen at fit is an error when its row is computed.
+
+    No broadcast is asked for: Spark decides by the codes' size.
+    """
+    d = df.join(codes.select(F.col("value").alias("_value"), F.col("y").alias("_y")), F.col(label) == F.col("_value"), "left")
     unseen = F.raise_error(F.concat(F.lit("label not seen at fit: "), F.coalesce(F.col(label).cast("string"), F.lit("null"))))
     return d.withColumn(name, F.when(F.col("_y").isNotNull(), F.col("_y")).otherwise(unseen.cast("int"))).drop("_value", "_y")
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabmill.sources.storage import written
+
 
 def global_rank(df: DataFrame, by: list[Column | str], name: str, parts: int | None = None) -> DataFrame:
     """df with `name`: each row's place, from 0, in the order of `by` (which should decide ties).
 
-    Rows are range-partitioned and sorted there; a row's place in its partition comes from the row counter, and partitions'
-    offsets from a table with one row per partition, which is what is broadcast.
+    Rows are range-partitioned and sorted there once, into a written table, with their partition and their place in it: the
+    bounds of the ranges are sampled, so a second evaluation could deal the rows differently. Partitions' offsets come from
+    that table and have one row per partition, which is what is broadcast.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    d = d.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    d = written(d.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
     sizes = d.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

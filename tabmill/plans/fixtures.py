@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabmill.operators.preprocess import encode_labels, label_codes
 from tabmill.sources.collections import describe
+from tabmill.sources.storage import written
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,7 +30,7 @@ def event_rows(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFra
 
 def event_tables(spark: SparkSession, sf_dir: str, nulls: bool = False) -> tuple[DataFrame, DataFrame]:
     """rows (with is_context and split_index) and datasets of tt_events."""
-    rows = event_rows(spark, sf_dir, nulls)
+    rows = written(event_rows(spark, sf_dir, nulls), "events")  # read for the tables' facts and again for their rows
     datasets = describe(rows)
     marked = rows.join(datasets.select("dataset_id", "split_index", "dataset_pos"), "dataset_id")
     return marked.withColumn("is_context", F.col("row_idx") < F.col("split_index")), datasets
