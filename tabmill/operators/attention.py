@@ -1,4 +1,4 @@
-"""In-context scoring: context rows answer for query rows. Collections of small tables by group, one large table by broadcast.
+"""In-context scoring: context rows answer for query rows. Collections of tables by group, one large table by broadcast.
 
 A query row's answer depends on itself and its table's context alone, so query rows may be dealt in any way. attend_table()
 compares blocks of one table's context with sets of its query rows, and merges what they give, so neither side is bounded. For
@@ -21,6 +21,10 @@ from tabmill.sources.storage import written
 MAX_CONTEXT = 10_000
 #: Context rows of a block, and query rows of a set, that one task compares.
 PIECE = 4096
+#: Most query rows of a table that one task of a collection scores; a larger table's are dealt over several.
+SLICE = 8192
+#: Numbers of a product of query and context rows that are held at once.
+PRODUCT = 1 << 22
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -39,7 +43,9 @@ def attention_scorer(n_classes: int | None) -> Score:
         mean, std = kernel.context_scale(cx)
         z = lambda v: np.clip((v - mean) / (std + kernel.EPSILON), -100, 100)
         values = cy[:, None] if n_classes is None else np.eye(n_classes)[cy.astype(int)]
-        return kernel.weighted_labels(z(cx), values, z(qx))
+        context, step = z(cx), max(1, PRODUCT // len(cx))
+        parts = [kernel.weighted_labels(context, values, z(qx[k : k + step])) for k in range(0, len(qx), step)]
+        return np.concatenate(parts) if parts else np.zeros((0, values.shape[1]))
 
     return score
 
@@ -48,24 +54,35 @@ def model_scorer(weights: dict[str, np.ndarray]) -> Score:
     """The full forward pass: logits."""
 
     def score(cx: np.ndarray, cy: np.ndarray, qx: np.ndarray) -> np.ndarray:
-        return kernel.Forward(weights, cx, cy).score(qx) if len(cx) else np.full((len(qx), int(weights["architecture"][4])), np.nan)
+        if not len(cx) or not len(qx):
+            return np.full((len(qx), int(weights["architecture"][4])), np.nan)
+        model, step = kernel.Forward(weights, cx, cy), max(1, PRODUCT // (len(cx) * (cx.shape[1] + 1)))
+        return np.concatenate([model.score(qx[k : k + step]) for k in range(0, len(qx), step)])
 
     return score
 
 
-def score_collection(rows: DataFrame, score: Score) -> DataFrame:
-    """dataset_id, row_idx, y, output: query rows of many tables. rows: dataset_id, row_idx, x, y, is_context; a table is one group."""
+def score_collection(rows: DataFrame, score: Score, most: int = SLICE) -> DataFrame:
+    """dataset_id, row_idx, y, output: query rows of many tables. rows: dataset_id, row_idx, x, y, is_context.
+
+    A table is one group; one with more than `most` query rows is as many groups as they need, each with all its context.
+    """
     schema = pa.schema([("dataset_id", pa.int64()), ("row_idx", pa.int64()), ("y", pa.float64()), ("output", pa.list_(pa.float64()))])
 
     def one(t: pa.Table) -> pa.Table:
         on = np.array(t.column("is_context").to_pylist(), bool)
         x, y = matrix(t.column("x")), t.column("y").to_numpy().astype(float)
-        out = score(x[on], y[on], x[~on]) if (~on).any() else np.zeros((0, 1))
+        order = np.nonzero(on)[0][np.argsort(t.column("row_idx").to_numpy()[on], kind="stable")]
+        out = score(x[order], y[order], x[~on]) if (~on).any() else np.zeros((0, 1))
         q = t.filter(pa.array(~on))
         return pa.Table.from_arrays([q.column("dataset_id").combine_chunks(), q.column("row_idx").combine_chunks().cast(pa.int64()), pa.array(y[~on]), pa.array(list(out), pa.list_(pa.float64()))], schema=schema)
 
     thin = rows.select(F.col("dataset_id").cast("long").alias("dataset_id"), F.col("row_idx").cast("long").alias("row_idx"), "x", F.col("y").cast("double").alias("y"), "is_context")
-    return thin.groupBy("dataset_id").applyInArrow(one, "dataset_id long, row_idx long, y double, output array<double>")
+    large = thin.where("not is_context").groupBy(F.col("dataset_id").alias("_id")).agg(F.ceil(F.count("*") / most).cast("int").alias("_slices")).where("_slices > 1")
+    slices = F.coalesce("_slices", F.lit(1))
+    own = F.when(F.col("is_context"), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("row_idx"), slices).cast("int")))
+    thin = thin.join(large, F.col("dataset_id") == F.col("_id"), "left").select("dataset_id", F.explode(own).alias("_slice"), "row_idx", "x", "y", "is_context")
+    return thin.groupBy("dataset_id", "_slice").applyInArrow(one, "dataset_id long, row_idx long, y double, output array<double>")
 
 
 def collect_context(context: DataFrame, max_context: int = MAX_CONTEXT) -> tuple[np.ndarray, np.ndarray]:
