@@ -23,6 +23,7 @@ from tabmill.operators import splits as S
 from tabmill.operators.estimators import InContextClassifier
 from tabmill.plans import benchmark as E
 from tabmill.plans import fixtures as X
+from tabmill.plans.hashsql import uniform_sql
 from tabmill.sources import collections as C
 from tabmill.sources import generate as G
 from tabmill.sources import tasks as T
@@ -48,6 +49,34 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+DS = ("dataset_id", "long")
+
+
+def drawn(*parts) -> str:
+    """SQL of uniform(SEED, ...)."""
+    return uniform_sql(SEED, *parts)
+
+
+#: some_tables() and the uniform features of their rows.
+TABLES_SQL = f"""
+sized AS (SELECT dataset_id, CAST(40 + floor({drawn("rows", DS)} * 11) AS INTEGER) AS n_rows, CAST(2 + floor({drawn("features", DS)} * 3) AS INTEGER) AS n_features FROM (SELECT DISTINCT user_id AS dataset_id FROM events)),
+tables AS (SELECT dataset_id, n_rows, n_features, CAST(10 + floor({drawn("split", DS)} * (greatest(n_rows - 1, 10) - 9)) AS INTEGER) AS split_index FROM sized)"""
+CELLS_SQL = f"""
+places AS (SELECT dataset_id, n_rows, n_features, unnest(range(0, n_rows)) AS row_idx FROM tables),
+cells AS (SELECT dataset_id, n_features, row_idx, list_transform(range(0, n_features), lambda k: {drawn("x", DS, ("row_idx", "int"), ("k", "int"))}) AS x FROM places)"""
+#: What _generated() reports of a table's rows.
+REPORT_SQL = "SELECT dataset_id, count(*) AS n_rows, CAST(max(len(x)) AS INTEGER) AS width, round(avg(y), 6) AS y_mean, round(stddev_samp(y), 6) AS y_std, count(DISTINCT y) AS n_values FROM made GROUP BY dataset_id"
+STEPS_SQL = f"""
+made AS (SELECT dataset_id, row_idx, x, CAST(x[1 + CAST(floor({drawn("feature", DS)} * n_features) AS INTEGER)] > {drawn("threshold", DS, ("1", "int"))} AS DOUBLE) AS y FROM cells)"""
+RULES_SQL = f"""
+ruled AS (SELECT dataset_id, CAST(1 + floor({drawn("rank", DS)} * 20) AS INTEGER) AS n_rules, greatest(n_features - CASE WHEN {drawn("useless", DS)} < 0.3 THEN floor({drawn("how many", DS)} * (n_features * 0.3 + 1)) ELSE 0 END, 1) AS usable FROM tables),
+rules AS (SELECT dataset_id, list_transform(range(1, n_rules + 1), lambda k: list_transform(range(1, 2 + CAST(floor({drawn("length", DS, ("k", "int"))} * 3) AS INTEGER)), lambda j:
+       {{'at': 1 + CAST(floor({drawn("literal", DS, ("k", "int"), ("j", "int"))} * usable) AS INTEGER), 'is': CASE WHEN {drawn("value", DS, ("k", "int"), ("j", "int"))} < 0.5 THEN 0.0 ELSE 1.0 END}})) AS rules FROM ruled),
+bits AS (SELECT dataset_id, row_idx, list_transform(x, lambda v: CASE WHEN v < 0.5 THEN 0.0 ELSE 1.0 END) AS x FROM cells),
+made AS (SELECT dataset_id, row_idx, x, CAST(len(list_filter(rules, lambda r: len(list_filter(r, lambda t: x[t.at] <> t."is")) = 0)) > 0 AS DOUBLE) AS y FROM bits JOIN rules USING (dataset_id))"""
+USED_SQL = f"""
+made AS (SELECT dataset_id, row_idx, x[1:1 + CAST(floor({drawn("used", DS)} * n_features) AS INTEGER)] AS x, x[1] AS y FROM cells)"""
+
 EV, EMB, DOC, ORD, MIX, TASK = X.EVENTS_SQL, X.EMBEDDINGS_SQL, X.DOCUMENTS_SQL, X.ORDERS_SQL, X.MIXED_SQL, X.TASKS_SQL
 BATCH = 8
 
@@ -112,17 +141,21 @@ def s6(spark, sf_dir):
     return C.trim_collection(padded, datasets).select("dataset_id", "row_idx", F.size("x").alias("width"), r6(F.get("x", F.lit(0))).alias("x0"), "y")
 
 
-def _noise_batch(batch_size: int, num_datapoints_max: int, num_features: int) -> dict:
-    rng = np.random.default_rng(batch_size)
-    x = rng.random((batch_size, num_datapoints_max, num_features))
+def _grid_batch(batch_size: int, num_datapoints_max: int, num_features: int) -> dict:
+    t, r, c = np.ogrid[:batch_size, :num_datapoints_max, :num_features]
+    x = ((t + 1) * r * (c + 1) % 7 + c / 4).astype(float)
     return {"x": x, "y": x.sum(2), "train_test_split_index": num_datapoints_max // 2}
 
 
-@query("s7_function_source", "SELECT CAST(b // 8 AS BIGINT) AS step, CAST(b AS BIGINT) AS dataset_id, CAST(20 AS BIGINT) AS n_rows, 10 AS split_index FROM range(0, (SELECT ((count(DISTINCT user_id) + 7) // 8) * 8 FROM events)) t(b)")
+GRID = "(t % 8 + 1) * r * (c + 1) % 7 + c / 4"
+
+
+@query("s7_function_source", f"SELECT CAST(t // 8 AS BIGINT) AS step, CAST(t AS BIGINT) AS dataset_id, CAST(20 AS BIGINT) AS n_rows, 10 AS split_index, round(sum({GRID}), 6) AS y_sum, round(sum(r * ({GRID})) FILTER (c = 1), 6) AS x1_by_row FROM range(0, (SELECT ((count(DISTINCT user_id) + 7) // 8) * 8 FROM events)) a(t) CROSS JOIN range(0, 20) b(r) CROSS JOIN range(0, 3) d(c) GROUP BY t")
 def s7(spark, sf_dir):
     n = X.read(spark, sf_dir, "events").select("user_id").distinct().count()
-    rows = C.from_function(spark, _noise_batch, -(-n // BATCH), BATCH, 20, 3)
-    return rows.groupBy("step", "dataset_id").agg(F.count("*").alias("n_rows"), F.max("split_index").alias("split_index"))
+    rows = C.from_function(spark, _grid_batch, -(-n // BATCH), BATCH, 20, 3)
+    x1 = F.sum(F.col("row_idx") * F.get("x", F.lit(1)))
+    return rows.groupBy("step", "dataset_id").agg(F.count("*").alias("n_rows"), F.max("split_index").alias("split_index"), r6(F.sum("y")).alias("y_sum"), r6(x1).alias("x1_by_row"))
 
 
 @query("s8_axis_layout", "SELECT dataset_pos // 8 AS batch_no, dataset_id, row_idx, round(x0, 6) AS x0, y FROM tt", (EV,))
@@ -137,14 +170,14 @@ def some_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.draw_sizes(users, SEED, (40, 50), (2, 4), 10)
 
 
-@query("s9_generate_and_dump", "SELECT user_id AS dataset_id, 'classification' AS problem_type FROM events GROUP BY user_id")
+@query("s9_generate_and_dump", "SELECT dataset_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(floor(count(*) * 0.6) AS INTEGER) AS split_index, sum(y) AS y_sum, round(sum(x[1]), 6) AS x0_sum, 'classification' AS problem_type FROM made GROUP BY dataset_id", (TABLES_SQL, CELLS_SQL, STEPS_SQL))
 def s9(spark, sf_dir):
-    tables = some_tables(spark, sf_dir)
-    rows, kind = G.generate_collection(tables, "mlp", SEED, 3)
+    rows, kind = G.generate_collection(some_tables(spark, sf_dir), "step_function", SEED)
     path = scratch(spark, "generated")
-    C.write_collection(rows, C.describe(rows), path, kind, 3, BATCH)
-    got, _, facts = C.read_collection(spark, path)
-    return got.select("dataset_id").distinct().withColumn("problem_type", F.lit(facts["problem_type"]))
+    C.write_collection(rows, C.describe(rows), path, kind, 2, BATCH)
+    got, datasets, facts = C.read_collection(spark, path)
+    by = got.groupBy("dataset_id").agg(F.count("*").alias("n_rows"), F.sum("y").alias("y_sum"), r6(F.sum(F.get("x", F.lit(0)))).alias("x0_sum"))
+    return by.join(datasets.select("dataset_id", "split_index"), "dataset_id").withColumn("problem_type", F.lit(facts["problem_type"]))
 
 
 @query("s10_suite", "SELECT task_id, dataset_name, n_samples FROM tasks WHERE n_features <= 5", (TASK,))
@@ -310,7 +343,7 @@ def p10(spark, sf_dir):
     return d.select("dataset_id", "row_idx", F.size("x").alias("width"), r6(F.get("x", F.lit(0))).alias("x0"), F.get("x", F.lit(1)).alias("x1"))
 
 
-@query("p11_random_split")
+@query("p11_random_split", f"SELECT o_orderkey, {uniform_sql(42, ('o_orderkey', 'long'))} < 0.5 AS is_train FROM orders")
 def p11(spark, sf_dir):
     return X.read(spark, sf_dir, "orders").select("o_orderkey", S.random_split(F.col("o_orderkey")).alias("is_train"))
 
@@ -504,7 +537,12 @@ def a6(spark, sf_dir):
     return d.groupBy(F.floor(F.col("dataset_id") / 8).alias("batch_no")).agg(F.round(F.avg("loss"), 5).alias("loss"))
 
 
-@query("a6_bucket_loss")
+LOSS = """
+zb AS (SELECT dataset_id, z, bucket, lo, hi FROM zz JOIN edges ON (z >= lo OR bucket = 0) AND (z < hi OR bucket = 9)),
+scale AS (SELECT *, (hi - lo) / 0.6744897501960817 AS s FROM zb)"""
+
+
+@query("a6_bucket_loss", "SELECT dataset_id, round(avg(ln(10) + CASE bucket WHEN 0 THEN ln(s) - ln(2 / sqrt(2 * pi())) + pow((hi - z) / s, 2) / 2 WHEN 9 THEN ln(s) - ln(2 / sqrt(2 * pi())) + pow((z - lo) / s, 2) / 2 ELSE ln(hi - lo) END), 6) AS loss FROM scale GROUP BY dataset_id", (EV, EDGES, LOSS))
 def a6_bucket(spark, sf_dir):
     """Mean negative log density of the scaled values under flat logits, by table."""
     rows, edges = event_edges(spark, sf_dir)
@@ -535,6 +573,19 @@ def a8(spark, sf_dir):
     return back.select("dataset_id", "row_idx", F.round("prediction", 5).alias("prediction"))
 
 
+@query("a8_bucket_regressor")
+def a8_buckets(spark, sf_dir):
+    """Regression by a model's logits over bucket edges: every table's query rows get the mean of their distribution, on the
+    table's own scale. The weights are drawn; the edges are those of the collection."""
+    edges = event_edges(spark, sf_dir)[1].orderBy("bucket").collect()
+    at = [r.lo for r in edges] + [edges[-1].hi]
+    rows = X.event_tables(spark, sf_dir)[0].withColumn("y", F.col("value"))
+    stats = rows.where("is_context").groupBy("dataset_id").agg(F.avg("y").alias("m"), (F.stddev_samp("y") + N.EPSILON).alias("s"))
+    out = A.score_collection(N.normalize_targets(rows).drop("y").withColumnRenamed("y_norm", "y"), A.model_scorer(kernel.random_weights(1, 2, 8, 16, len(at) - 1)))
+    back = out.join(stats, "dataset_id").withColumn("prediction", D.distribution_mean(F.col("output"), at) * F.col("s") + F.col("m"))
+    return back.select("dataset_id", "row_idx", F.round("prediction", 5).alias("prediction"))
+
+
 # ---- evaluation
 
 AUC = """
@@ -667,8 +718,10 @@ def v4(spark, sf_dir):
 # ---- synthetic tables, one for each of the events' users
 
 
-def _generated(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
-    @query(name)
+def _generated(name: str, build: Callable[[DataFrame], DataFrame], made: tuple[str, ...] = ()) -> None:
+    """made: SQL of the same rows, where the prior is drawn natively."""
+
+    @query(name, REPORT_SQL if made else None, (TABLES_SQL, CELLS_SQL, *made) if made else ())
     def run(spark, sf_dir):
         rows = build(some_tables(spark, sf_dir))
         return rows.groupBy("dataset_id").agg(F.count("*").alias("n_rows"), F.max(F.size("x")).alias("width"), F.round(F.avg("y"), 6).alias("y_mean"), F.round(F.stddev_samp("y"), 6).alias("y_std"), F.count_distinct("y").alias("n_values"))
@@ -676,10 +729,10 @@ def _generated(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
 
 _generated("g1_mlp", lambda t: G.mlp(t, SEED))
 _generated("g2_gp", lambda t: G.gp(t, SEED))
-_generated("g3_step_function", lambda t: G.step_function(t, SEED))
-_generated("g4_boolean_conjunctions", lambda t: G.boolean_conjunctions(t, SEED))
+_generated("g3_step_function", lambda t: G.step_function(t, SEED), (STEPS_SQL,))
+_generated("g4_boolean_conjunctions", lambda t: G.boolean_conjunctions(t, SEED), (RULES_SQL,))
 _generated("g5_classification_adapter", lambda t: G.as_classification(G.mlp(t, SEED), t, SEED, 5))
-_generated("g10_used_features", lambda t: G.used_features(G.cells(t, SEED).withColumn("y", F.get("x", F.lit(0))), t, SEED))
+_generated("g10_used_features", lambda t: G.used_features(G.cells(t, SEED).withColumn("y", F.get("x", F.lit(0))), t, SEED), (USED_SQL,))
 _generated("g12_mlp_second", lambda t: G.mlp(t, SEED, G.MLP_B))
 _generated("g13_gp_second", lambda t: G.gp(t, SEED, G.GP_B))
 _generated("g14_bag", lambda t: G.bag(t, SEED))
@@ -696,38 +749,53 @@ def g6(spark, sf_dir):
     return G.classes_by_rank(d, d.select("dataset_id").distinct().withColumn("n_classes", F.lit(4)), SEED, balanced=True).select("dataset_id", "row_idx", "y")
 
 
-@query("g6_drawn_boundaries")
+BOUNDARIES = f"""
+place AS (SELECT dataset_id, row_idx, value, row_number() OVER (PARTITION BY dataset_id ORDER BY value, row_idx) AS r, count(*) OVER (PARTITION BY dataset_id) AS n FROM ev),
+cut_at AS (SELECT dataset_id, n, unnest([1, 2, 3]) AS k FROM (SELECT DISTINCT dataset_id, n FROM place)),
+bounds AS (SELECT c.dataset_id, p.value AS cut FROM (SELECT dataset_id, 1 + CAST(floor({drawn("boundary", DS, ("k", "int"))} * n) AS BIGINT) AS r FROM cut_at) c JOIN place p USING (dataset_id, r))"""
+
+
+@query("g6_drawn_boundaries", "SELECT dataset_id, row_idx, CAST((SELECT count(*) FROM bounds b WHERE b.dataset_id = p.dataset_id AND b.cut < p.value) AS DOUBLE) AS y FROM place p", (EV, BOUNDARIES))
 def g6_drawn(spark, sf_dir):
     d = _values(spark, sf_dir)
     return G.classes_by_rank(d, d.select("dataset_id").distinct().withColumn("n_classes", F.lit(4)), SEED).select("dataset_id", "row_idx", "y")
 
 
-@query("g7_class_order", "SELECT dataset_id, CAST(count(*) AS BIGINT) AS n_classes, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT dataset_id, y, count(*) AS n FROM ev GROUP BY dataset_id, y) GROUP BY dataset_id", (EV,))
+RENAMED = f"""
+named AS (SELECT dataset_id, {drawn("ordered", DS)} < 0.1 AS stays, list_transform(list_sort(list_transform(range(0, 5), lambda k: {{'u': {drawn("order", DS, ("k", "int"))}, 'k': k}})), lambda o: o.k) AS places FROM datasets)"""
+
+
+@query("g7_class_order", "SELECT dataset_id, row_idx, CASE WHEN stays THEN y ELSE CAST(places[1 + CAST(y AS INTEGER)] AS DOUBLE) END AS y FROM ev JOIN named USING (dataset_id)", (EV, RENAMED))
 def g7(spark, sf_dir):
-    """Renaming changes no class's size: classes and rows by table stay."""
     d = X.event_rows(spark, sf_dir)
-    out = G.shuffle_classes(d, d.select("dataset_id").distinct().withColumn("n_classes", F.lit(5)), SEED)
-    return out.groupBy("dataset_id").agg(F.count_distinct("y").alias("n_classes"), F.count("*").alias("n_rows"))
+    return G.shuffle_classes(d, d.select("dataset_id").distinct().withColumn("n_classes", F.lit(5)), SEED).select("dataset_id", "row_idx", "y")
+
+
+CATEGORIES = ", ".join(f"CASE WHEN {drawn('categorical', DS, (str(k), 'int'))} < 0.15 THEN CAST(ntile(5) OVER (PARTITION BY dataset_id ORDER BY x{k}, row_idx) - 1 AS DOUBLE) ELSE round(x{k}, 6) END AS x{k}" for k in range(3))
 
 
-@query("g8_categorical_features")
+@query("g8_categorical_features", f"SELECT dataset_id, row_idx, {CATEGORIES} FROM ev", (EV,))
 def g8(spark, sf_dir):
     d = G.categorical_features(_values(spark, sf_dir), SEED)
     return d.select("dataset_id", "row_idx", r6(F.get("x", F.lit(0))).alias("x0"), F.get("x", F.lit(1)).alias("x1"), F.get("x", F.lit(2)).alias("x2"))
 
 
-@query("g9_missing_values")
+ROW = ("row_idx", "int")
+MISSING = " + ".join(f"CAST({drawn('missing', DS, ROW, (str(k), 'int'))} < 0.05 OR ({drawn('reason', DS, (str(k), 'int'))} < 0.03 AND x{k} > 0.5 AND {drawn('set', DS, ROW, (str(k), 'int'))} < 0.9) AS BIGINT)" for k in range(3))
+
+
+@query("g9_missing_values", f"SELECT dataset_id, CAST(sum({MISSING}) AS BIGINT) AS n_missing, count(*) AS n_rows FROM ev GROUP BY dataset_id", (EV,))
 def g9(spark, sf_dir):
     d = G.missing_values(_values(spark, sf_dir), SEED)
     return d.groupBy("dataset_id").agg(F.sum(F.size(F.filter("x", lambda v: v.isNull()))).alias("n_missing"), F.count("*").alias("n_rows"))
 
 
-@query("g11_class_counts")
+@query("g11_class_counts", f"SELECT dataset_id, CASE WHEN {drawn('two', DS)} < 0.5 THEN 2 ELSE CAST(2 + floor({drawn('classes', DS)} * 9) AS INTEGER) END AS n_classes FROM tables", (TABLES_SQL,))
 def g11(spark, sf_dir):
     return G.class_counts(some_tables(spark, sf_dir), SEED, 10).select("dataset_id", "n_classes")
 
 
-@query("g16_g17_sizes")
+@query("g16_g17_sizes", "SELECT dataset_id, n_rows, n_features, split_index FROM tables", (TABLES_SQL,))
 def g16(spark, sf_dir):
     return some_tables(spark, sf_dir)
 
@@ -766,6 +834,18 @@ def t3(spark, sf_dir):
     return spark.read.schema("run string, epoch long, n_batches long, mean_loss double").parquet(out).withColumn("mean_loss", r6("mean_loss"))
 
 
+@query("u2_epoch_hook", "SELECT 'stream' AS run, batch_no // 4 AS epoch, count(*) AS n_batches, round(sum(loss) / 4, 6) AS mean_loss FROM losses GROUP BY 2", (EV, LOSSES))
+def u2(spark, sf_dir):
+    """A user's function takes each epoch's metrics whenever they change; what it was given last of an epoch is the whole of it."""
+    source, out = scratch(spark, "losses"), scratch(spark, "hook")
+    batch_losses(spark, sf_dir).withColumn("run", F.lit("stream")).repartition(3, "batch_no").write.parquet(source)
+    stream = R.replay(spark, source, "batch_no long, loss double, run string")
+    R.run_once(R.running_losses(stream, 4), R.at_epoch_end(lambda df: df.write.mode("append").parquet(out)), scratch(spark, "state"), "update")
+    told = spark.read.schema("run string, epoch long, n_batches long, mean_loss double").parquet(out)
+    last = told.groupBy("run", "epoch").agg(F.max_by(F.struct("n_batches", "mean_loss"), "n_batches").alias("m"))
+    return last.select("run", "epoch", "m.n_batches", r6("m.mean_loss").alias("mean_loss"))
+
+
 def _majority(context: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"y_pred": np.full(len(query), context["y"].mode().min())})
 

@@ -7,6 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# fixed values: the public task numbers of the built-in suites
+TOY_REGRESSION = (362443,)
+TOY_CLASSIFICATION = (59, 2382, 9946)
+ARENA = (
+    363612, 363613, 363614, 363615, 363616, 363618, 363619, 363620, 363621, 363623, 363624, 363625, 363626, 363627, 363628, 363629, 363630,
+    363631, 363632, 363671, 363672, 363673, 363674, 363675, 363676, 363677, 363678, 363679, 363681, 363682, 363683, 363684, 363685, 363686,
+    363689, 363691, 363693, 363694, 363696, 363697, 363698, 363699, 363700, 363702, 363704, 363705, 363706, 363707, 363708, 363711, 363712,
+)
+BUILT_IN = {"toy_regression": TOY_REGRESSION, "toy_classification": TOY_CLASSIFICATION, "tabarena-v0.1": ARENA}
+
+
+def built_in_suites(spark: SparkSession) -> DataFrame:
+    """suite, task_id: what resolve() takes beside a user's own suites."""
+    return spark.createDataFrame([(name, k) for name, ids in BUILT_IN.items() for k in ids], "suite string, task_id int")
+
+
 def resolve(tasks: DataFrame, suites: DataFrame, wanted: str | list[int]) -> DataFrame:
     """tasks of a suite's name or of a list of ids."""
     if isinstance(wanted, str):

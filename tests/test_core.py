@@ -90,6 +90,29 @@ def test_global_rank(spark, parts):
     assert [r.r for r in got] == list(range(500)) and [(r.v, r.k) for r in got] == sorted((x, k) for k, x in enumerate(v))
 
 
+def test_global_rank_of_many_rows(spark):
+    """Every rank once and in order, with a payload column that the offsets don't read, at sizes where range bounds are sampled."""
+    n = 1_000_000
+    d = spark.range(n, numPartitions=16).select(F.xxhash64("id").alias("k"), F.concat(F.lit("p"), F.col("id")).alias("payload"))
+    got = global_rank(d, ["k"], "r", 8)
+    facts = got.agg(F.count_distinct("r").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.count_distinct("payload").alias("p")).first()
+    assert (facts.n, facts.lo, facts.hi, facts.p) == (n, 0, n - 1, n)
+    from pyspark.sql import Window
+
+    steps = got.withColumn("cell", F.floor(F.col("r") / 5000)).withColumn("next", F.lead("k").over(Window.partitionBy("cell").orderBy("r")))
+    assert steps.where("next <= k").count() == 0
+    ends = got.groupBy(F.floor(F.col("r") / 5000).alias("cell")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("cell").collect()
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_positions_of_many_tables(spark):
+    n = 100_000
+    rows = spark.range(2 * n, numPartitions=16).select((F.floor(F.col("id") / 2) * 7).alias("dataset_id"), (F.col("id") % 2).cast("int").alias("row_idx"), F.array(F.col("id").cast("double")).alias("x"), F.lit(0.0).alias("y"))
+    got = C.describe(rows)
+    assert got.where(F.col("dataset_pos") * 7 != F.col("dataset_id")).count() == 0
+    assert got.agg(F.count_distinct("dataset_pos"), F.max("dataset_pos")).first()[:] == (n, n - 1)
+
+
 # ---- scaling and buckets
 
 
@@ -177,6 +200,49 @@ def test_scoring_routes_agree(spark, sf):
         A.collect_context(e.where("is_context"), 10)
 
 
+def test_slices_of_a_large_table_agree(spark):
+    """A table's query rows are answered alike in one group and in many."""
+    rng = np.random.default_rng(3)
+    rows = [(t, k, rng.normal(size=3).tolist(), float(rng.integers(0, 3)), k < 40 * t) for t in (1, 2) for k in range(400)]
+    d = spark.createDataFrame(rows, "dataset_id long, row_idx int, x array<double>, y double, is_context boolean")
+    for score in (A.attention_scorer(3), A.model_scorer(kernel.random_weights(1, 2, 8, 16, 3))):
+        one = {(r.dataset_id, r.row_idx): r.output for r in A.score_collection(d, score).collect()}
+        cut = A.score_collection(d, score, 50).collect()
+        assert len(cut) == len(one) == 680 and all(np.allclose(r.output, one[r.dataset_id, r.row_idx], atol=1e-9) for r in cut)
+
+
+def test_bucket_regressor_is_the_estimator(spark, sf):
+    """The grouped query gives a table what the one-table estimator's parts give it."""
+    from tabmill.plans import queries as plans
+
+    got = {r.row_idx: r.prediction for r in plans.QUERIES["a8_bucket_regressor"](spark, sf).where("dataset_id = 3").collect()}
+    edges = plans.event_edges(spark, sf)[1].orderBy("bucket").collect()
+    at = [r.lo for r in edges] + [edges[-1].hi]
+    own = X.event_tables(spark, sf)[0].where("dataset_id = 3").orderBy("row_idx").collect()
+    x, y, on = np.array([r.x for r in own]), np.array([r.value for r in own]), np.array([r.is_context for r in own])
+    mean, std = y[on].mean(), y[on].std(ddof=1) + 1e-8
+    logits = kernel.Forward(kernel.random_weights(1, 2, 8, 16, 10), x[on], (y[on] - mean) / std).score(x[~on])
+    want = kernel.softmax(logits) @ np.array(D.bucket_means(at)) * std + mean
+    assert np.allclose([got[r.row_idx] for r in own if not r.is_context], want, atol=1e-4)
+
+
+def test_suites(spark):
+    tasks = spark.createDataFrame([(59, "iris"), (363612, "a"), (1, "other")], "task_id int, dataset_name string")
+    suites = T.built_in_suites(spark)
+    assert {r.dataset_name for r in T.resolve(tasks, suites, "toy_classification").collect()} == {"iris"}
+    assert {r.dataset_name for r in T.resolve(tasks, suites, [1, 59]).collect()} == {"iris", "other"} and len(T.ARENA) == len(set(T.ARENA)) == 51
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tabmill.sources.storage import scratch
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")), "t")
+
+
 def test_saved_weights(spark, tmp_path):
     w = kernel.random_weights(1, 2, 8, 16, 3)
     T.save_weights(spark, w, str(tmp_path / "w"))
