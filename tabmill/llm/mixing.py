@@ -7,16 +7,19 @@ fractional parts as probabilities. A source's slots, numbered through all shards
 permutations of its block indices, one permutation a pass; slots and blocks are then joined by (source, block index).
 No block is used in more than `passes` passes, so no document exceeds that many times its size.
 
-Running totals over a source are made in two steps (inside hashed cells, then over the cells), so that a source that holds
-a third of all rows isn't sorted in one task.
+Running totals over a source are made in two steps (inside hashed cells, then over the cells, whose number follows the rows),
+so that a source that holds a third of all rows isn't sorted in one task. Rows that are the same in all their columns are
+counted first and lie one after another; their places follow from the count.
 
 Cases: a null text has size 0; documents of size 0 are in no block and take 0. A null source is a source of its own, after
-all others. A null doc_id is allowed. Rows that repeat are documents of their own, told apart by a number. An empty table
-gives no rows. Other columns are ignored here; mixed_documents() keeps the columns of documents.
+all others. A null doc_id is allowed. Rows that repeat are documents of their own. An empty table gives no rows. Other
+columns are ignored here, whatever their names; mixed_documents() gives the columns of documents and no others.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +33,11 @@ SHARD = 65_536
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Most times that a block is used.
 PASSES = 3
-#: Cells that a source's rows are dealt over for running totals.
-CELLS = 1024
+#: Least number of cells that a source's rows are dealt over for running totals, and rows in a cell beyond that, about.
+CELLS, CELL_ROWS = 1024, 50_000
 SEED = 42
 ROUNDS = 12
-#: Slots that one row stands for before they are made.
+#: Slots or copies that one row stands for before they are made.
 RUN = 4096
 
 
@@ -106,10 +109,11 @@ def draw(plan: DataFrame, shard: int, passes: int) -> DataFrame:
     all_of = all_of.select("source_no", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / shard))).alias("shard"))
     all_of = all_of.select("source_no", "shard", F.least(F.lit(shard).cast("long"), F.col("all") - F.col("shard") * shard).alias("count"))
     some = plan.where(~full).select("source_no", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("target"))
+    spark = plan.sparkSession
     one = some.agg(F.array_sort(F.collect_list(F.struct("source_no", "target"))).alias("s"), F.sum("target").alias("all"))
-    one = one.where("all > 0").withColumn("slots", F.ceil("all"))
-    shards = one.select("s", "all", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard))).alias("shard"))
-    shards = shards.withColumn("n", F.least(F.lit(shard).cast("long"), F.col("slots") - F.col("shard") * shard))
+    slots = math.ceil(one.first()["all"] or 0)
+    shards = spark.range(-(-slots // shard)).select(F.col("id").alias("shard"), one.select(F.struct("s", "all")).scalar().alias("o"))
+    shards = shards.select("shard", "o.s", "o.all", F.least(F.lit(shard).cast("long"), slots - F.col("shard") * shard).alias("n"))
     shards = shards.withColumn("e", F.transform("s", lambda x: F.struct(x.source_no.alias("source_no"), F.floor(x.target / F.col("all") * F.col("n")).alias("whole"), (x.target / F.col("all") * F.col("n") - F.floor(x.target / F.col("all") * F.col("n"))).alias("part"))))
     shards = shards.withColumn("rest", F.col("n") - F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x.whole)).withColumn("parts", F.aggregate("e", F.lit(0.0), lambda a, x: a + x.part))
     sure = shards.select("shard", F.explode("e").alias("x")).select(F.col("x.source_no").alias("source_no"), "shard", F.col("x.whole").alias("count"))
@@ -149,17 +153,23 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix_parts(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard: int = SHARD, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
     """A row for each part of a document in a block, and the sources' facts by _s.
 
-    Parts: source_no, doc_id, size, _h, first_word, block_no, uses, part (words of the document in the block), lead (its
-    words before them). A document of size 0 has one row, of part 0. thin: sized(docs).
+    Parts: source_no, doc_id, size, _h, _n, first_word, block_no, uses, part (words of the document in the block), lead (its
+    words before them). _n documents of size 0 that are the same have one row, of part 0. thin: sized(docs).
     """
-    thin = shared_table(thin, "sizes")
-    plan = shared_table(targets(thin.select("source", "size"), weights, passes).withColumn("blocks", F.ceil(F.col("source_size") / block)), "sources")
+    thin = shared_table(thin.groupBy("doc_id", "source", "size", "_h").agg(F.count("*").alias("_n")).withColumn("_all", F.col("size") * F.col("_n")), "sizes")
+    cells = max(CELLS, thin.count() // CELL_ROWS)
+    plan = shared_table(targets(thin.select("source", F.col("_all").alias("size")), weights, passes).withColumn("blocks", F.ceil(F.col("source_size") / block)), "sources")
     known = plan.select(F.col("source").alias("_source"), "source_no")
     d = thin.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
-    d = d.withColumn("_order", F.xxhash64(F.lit(SEED), F.col("doc_id")))
-    d = running_total(d, ["source_no"], ["_order", "doc_id", "_h"], "size", "first_word", F.pmod(F.col("_order"), F.lit(CELLS)))
+    d = d.withColumn("_order", F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("_h")))
+    d = running_total(d, ["source_no"], ["_order", "doc_id", "_h"], "_all", "first_word", F.pmod(F.col("_order"), F.lit(cells)))
+    # copies, in runs of RUN so that no long array is made; those of size 0 stay one row
+    d = d.withColumn("_copies", F.when(F.col("size") > 0, F.col("_n")).otherwise(1)).withColumn("_n", F.when(F.col("size") > 0, F.lit(1).cast("long")).otherwise(F.col("_n")))
+    d = d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / RUN))).alias("_run"))
+    d = d.select("*", F.explode(F.sequence(F.col("_run") * RUN, F.least("_copies", (F.col("_run") + 1) * RUN) - 1)).alias("_copy"))
+    d = d.withColumn("first_word", F.col("first_word") + F.col("_copy") * F.col("size"))
     last = F.col("first_word") + F.greatest(F.col("size"), F.lit(1)) - 1
-    d = d.select("source_no", "doc_id", "size", "_h", "first_word", F.explode(F.sequence(F.floor(F.col("first_word") / block), F.floor(last / block))).alias("block_no"))
+    d = d.select("source_no", "doc_id", "size", "_h", "_n", "first_word", F.explode(F.sequence(F.floor(F.col("first_word") / block), F.floor(last / block))).alias("block_no"))
     uses = block_uses(plan, shard, passes).select(F.col("source_no").alias("_s"), F.col("block_no").alias("_b"), "uses")
     # both sides grow with the words, whatever their estimated size says: never a broadcast
     d = d.join(uses.hint("merge"), (F.col("source_no") == F.col("_s")) & (F.col("block_no") == F.col("_b")), "left").drop("_s", "_b")
@@ -173,9 +183,9 @@ def mix_parts(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard: int = SHARD, passes: int = PASSES) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken. docs: doc_id, text, source."""
     parts, facts = mix_parts(sized(docs), weights, block, shard, passes)
-    # documents of size 0 share their place with others; _n is how many rows they stand for
-    d = parts.groupBy("source_no", "first_word", "doc_id", "_h", "size").agg(F.sum(F.col("part") * F.col("uses")).alias("taken"), F.count("*").alias("_n"))
-    d = d.select("source_no", "doc_id", "size", "taken", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("size") == 0, F.col("_n")).otherwise(F.lit(1)))).alias("_k"))
+    d = parts.groupBy("source_no", "first_word", "doc_id", "_h", "size").agg(F.sum(F.col("part") * F.col("uses")).alias("taken"), F.max("_n").alias("_n"))
+    d = d.select("source_no", "doc_id", "size", "taken", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))).alias("_run"))
+    d = d.select("source_no", "doc_id", "size", "taken", F.explode(F.sequence(F.col("_run") * RUN, F.least("_n", (F.col("_run") + 1) * RUN) - 1)).alias("_k"))
     return d.join(facts, F.col("source_no") == F.col("_s")).select("doc_id", "size", "source_size", "target", "taken")
 
 

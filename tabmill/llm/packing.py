@@ -1,22 +1,24 @@
 """Packing documents into token sequences, to target proportions of sources.
 
-Documents are encoded once, into a written table, and dealt by hash into groups of about GROUP tokens. In a group each source
-has a queue. Deficit round-robin fills one window after another: a source's deficit grows by its share of the window, as many
-of its tokens are taken as the deficit allows, and what isn't taken is carried on. From group to group deficits are carried
-too: what a source owes or is owed when a group starts follows from the token counts of the groups before it. All tokens are
-packed, each once; once a source's queue is empty, the others share its part. A window is WINDOW sequences of `length` tokens;
-documents are cut where a source's turn or a sequence ends. What is left at a group's end fills sequences whose lengths are
-powers of two, so nothing is padded.
-
-Cases: a null or empty text is the end token alone. A null source is a source of its own. Null ids and repeated rows are
-packed like any other. An empty table gives no rows. Very long texts are encoded whole; one makes its group larger. Other
-columns are ignored.
+Documents are encoded once, into a written table, and dealt into groups of about GROUP tokens. Each source's documents, in an
+order by hash, are cut into as many equal runs of tokens as there are groups (at the bounds of CELLS cells a group), so that a
+group holds its share of every source, but for about a cell or a document. In a group each source has a queue. Deficit
+round-robin fills one window after another: a source's deficit grows by its share of the window, as many of its tokens are
+taken as the deficit allows, and what isn't taken is carried on. From group to group deficits are carried too, whole: what a
+source owes or is owed when a group starts follows from the token counts of the groups before it, by its share of all tokens.
+All tokens are packed, each once; once a source's queue is empty, the others share its part. A window is WINDOW sequences of
+`length` tokens; documents are cut where a source's turn or a sequence ends. What is left at a group's end fills sequences
+whose lengths are powers of two, so nothing is padded.
+
+Cases: a null or empty text is the end token alone. A null source is a source of its own. Null ids are packed like any other.
+Repeated rows are told apart by a number within their task, and so are dealt over all groups. An empty table gives no rows.
+Very long texts are encoded whole; one makes its group larger. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,37 +35,41 @@ LENGTH = 2048
 WINDOW = 16
 #: Tokens in a group, about.
 GROUP = 4_000_000
+#: Cells that a group's documents are in, by hash.
+CELLS = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 _PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
 def encoded(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """doc_id, source (of text, never null), h, n (with the end token), ids (compressed 16-bit numbers)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("h", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    """doc_id, source (of text, never null), h (of id and text), copy (rows of this h before it in its task), n (with the end token),
+    ids (compressed 16-bit numbers)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("h", pa.int64()), ("copy", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(1)
+        press, seen = zstandard.ZstdCompressor(1), Counter()
         for b in batches:
-            n, ids = [], []
-            for t in b.column("text").to_pylist():
-                got = tokens.encode(t, vocabulary)
+            n, ids, copy = [], [], []
+            for h, t in zip(b.column("h").to_pylist(), b.column("text"), strict=True):
+                copy.append(seen[h])
+                seen[h] += 1
+                got = tokens.encode(t.as_py(), vocabulary)
                 got.append(tokens.END)
                 n.append(len(got))
                 ids.append(press.compress(np.array(got, "<u2").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("h"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("h"), pa.array(copy, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64("doc_id", "text").alias("h"), "text")
-    return d.mapInArrow(run, "doc_id long, source string, h long, n long, ids binary")
+    return d.mapInArrow(run, "doc_id long, source string, h long, copy long, n long, ids binary")
 
 
 def deal(queues: dict[str, deque], share: dict[str, float], owed: dict[str, float], window: int) -> Iterator[tuple[int, int, int]]:
     """(document, start, length) in packing order. queues: by source, [document, start, tokens left]; emptied here."""
     left = {s: sum(q[2] for q in x) for s, x in queues.items()}
-    # a source owes or is owed a window at most, so that one group's make-up doesn't rule the next ones
-    debt = {s: float(np.clip(owed.get(s, 0.0), -window, window)) for s in queues}
+    debt = {s: owed.get(s, 0.0) for s in queues}
     order = sorted(queues)
     while total := sum(left.values()):
         room = min(window, total)
@@ -111,7 +117,7 @@ def pack_group(docs: pa.Table, facts: pa.Table, length: int = LENGTH, window: in
 
     if not docs.num_rows:
         return _PIECES.empty_table()
-    docs = docs.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("n", "ascending")])
+    docs = docs.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("n", "ascending"), ("copy", "ascending")])
     source, n, ids = docs.column("source").to_pylist(), docs.column("n").to_pylist(), docs.column("ids").to_pylist()
     group = docs.column("grp")[0].as_py()
     queues: dict[str, deque] = {}
@@ -140,17 +146,26 @@ def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, length: int = LEN
     d = shared_table(encoded(docs, vocabulary), "encoded")
     total = d.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // group))
-    d = d.withColumn("grp", F.pmod("h", F.lit(groups)))
-    by = d.groupBy("grp", "source").agg(F.sum("n").alias("n"))
+    d = d.withColumn("cell", F.pmod(F.when(F.col("copy") > 0, F.xxhash64("h", "copy")).otherwise(F.col("h")), F.lit(groups * CELLS)))
+    cells = d.groupBy("source", "cell").agg(F.sum("n").alias("n"))
+    whole = cells.groupBy("source").agg(F.sum("n").alias("all"))
+    cells = running_total(cells, ["source"], ["cell"], "n", "before", F.floor(F.col("cell") / 1024)).join(whole, "source")
+    # the middle of a cell decides: its source's tokens in equal runs
+    at = F.floor((F.col("before") + F.col("n") / 2) / F.col("all") * groups)
+    cells = shared_table(cells.select("source", "cell", "n", F.least(at, F.lit(groups - 1)).cast("long").alias("grp")), "cells")
+    # broadcast or not, as Spark decides by the written table's size
+    d = d.join(cells.select("source", "cell", "grp"), ["source", "cell"])
+    by = cells.groupBy("grp", "source").agg(F.sum("n").alias("n"))
     by = running_total(by, ["source"], ["grp"], "n", "before", F.floor(F.col("grp") / 1024))
     every = running_total(by.groupBy("grp").agg(F.sum("n").alias("n")).withColumn("one", F.lit(0)), ["one"], ["grp"], "n", "all_before", F.floor(F.col("grp") / 1024))
     share = by.groupBy("source").agg((F.sum("n") / F.lit(max(total, 1))).alias("share"))
+    owed = (F.col("share") * F.col("all_before") - F.col("before")).alias("owed")
+    facts = by.join(every.select("grp", "all_before"), "grp").join(share, "source").select("grp", "source", "share", owed)
     if weights is not None:
         whole = sum(weights.values())
-        named = d.sparkSession.createDataFrame([("" if s is None else "=" + s, w / whole) for s, w in weights.items()], "source string, share double")
-        share = share.select("source").join(named, "source", "left").select("source", F.coalesce("share", F.lit(0.0)).alias("share"))
-    facts = by.join(every.select("grp", "all_before"), "grp").join(share, "source")
-    facts = shared_table(facts.select("grp", "source", "share", (F.col("share") * F.col("all_before") - F.col("before")).alias("owed")), "owed")
+        named = d.sparkSession.createDataFrame([("" if s is None else "=" + s, w / whole) for s, w in weights.items()], "source string, _w double")
+        facts = facts.join(named, "source", "left").select("grp", "source", F.coalesce("_w", F.lit(0.0)).alias("share"), "owed")
+    facts = shared_table(facts, "owed")
 
     def one(a: pa.Table, b: pa.Table) -> pa.Table:
         return pack_group(a, b, length, window)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabmill.sources.storage import scratch
+
 #: What separates words: the ASCII space characters and nothing else (bytes.split() agrees).
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -30,26 +32,42 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the folder all executors share and read back, so its lineage is cut.
+#: Paths of the tables written so far, in order; settled() deletes those that nothing reads any more.
+_made: list[str] = []
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests, one machine) is a local one chosen.
-    """
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the folder all executors share and read back, so its lineage is cut."""
     spark = df.sparkSession
-    root = shared_dir(spark)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path, compression="zstd")
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() describes, written; the tables that were written on its way are deleted then."""
+    first = len(_made)
+    out = shared_table(make(), name)
+    gone = _made[first:-1]
+    del _made[first:-1]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out
+
 
-        root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def by_bytes(texts: list, most: int) -> Iterator[list]:
+    """Runs of texts of about `most` bytes or characters, so that memory doesn't follow a batch's rows."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def bounded_sample(labels: DataFrame, label: str, per_class: dict[int, int], where: Column | None = None) -> DataFrame:

@@ -253,7 +253,6 @@ def ids_of(text):
 
     if "t" not in _HASHES:
         _HASHES["t"] = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        _HASHES["t"].encode_special_tokens = True
     return _HASHES["t"].encode(text or "", add_special_tokens=False).ids
 
 
