@@ -7,12 +7,17 @@ e-mail-like and share their domain. Weights are learned by pseudo-likelihood fro
 sample of documents. Marginals come from loopy sum-product message passing, a batch of documents at a time. Words whose
 entity label has a marginal of `sure` or more, and that no pattern has found, are added as spans.
 
+The sample is bounded by two parameters: `sample_docs` documents, by hash, and `sample_words` nodes of each, at even steps from
+its start to its end (their neighbours are counted whether they are among these or not).
+
 Cases: null and empty texts have no spans. Rows that repeat and null ids are treated alone. An empty table gives no rows.
-Very long texts are read whole, one at a time. Other columns pass through find() untouched.
+Very long texts are read whole; a batch's texts are taken in runs of about two million characters. Other columns pass through
+find() untouched, but those that have the names of its own columns give way.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -23,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabmill.llm.text import others
+from tabmill.llm.text import by_bytes, others
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
 LABELS = len(KINDS) + 1
-#: Most documents that the field is fitted on, and most words of one of them.
+#: Most documents that the field is fitted on, and most nodes of one of them.
 SAMPLE_DOCS = 3000
 SAMPLE_WORDS = 200
 #: Cells of the features' weights.
@@ -43,7 +48,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-WORD = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+HIT = re.compile(r"[0-9@]")
+#: Characters of texts that are labelled at once.
+RUN = 2_000_000
 NOT_DIGIT = re.compile(r"[^0-9]")
 EDGE = ".,;:!?()[]{}<>\"'"
 
@@ -87,6 +95,8 @@ def nodes(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in WORD.finditer(text):
         w = m.group()
+        if not HIT.search(w):
+            continue
         a, b = len(w) - len(w.lstrip(EDGE)), len(w.rstrip(EDGE))
         if a < b:
             out.append((m.start() + a, m.start() + b, w[a:b]))
@@ -150,14 +160,17 @@ def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: in
     return z / z.sum(1, keepdims=True)
 
 
-def _sample_rows(text: str) -> list[dict]:
+def _sample_rows(text: str, most: int = SAMPLE_WORDS) -> list[dict]:
     """Training rows of a document: features, the base label, and the labels of those it shares potentials with."""
     found, feats, chain, skip = graph(text)
     label = [OUTSIDE] * len(found)
+    starts = [a for a, _, _ in found]
     for start, kind, end in reversed(base_spans(text)):
-        for k, (a, b, _) in enumerate(found):
-            if a < end and b > start:
+        k = max(0, bisect.bisect_right(starts, start) - 1)
+        while k < len(found) and starts[k] < end:
+            if found[k][1] > start:
                 label[k] = kind
+            k += 1
     near: list[list[tuple[int, int]]] = [[] for _ in found]  # (role, label): 0 the one before, 1 the one after, 2 a skip
     for a, b in chain:
         near[a].append((1, label[b]))
@@ -165,33 +178,36 @@ def _sample_rows(text: str) -> list[dict]:
     for a, b in skip:
         near[a].append((2, label[b]))
         near[b].append((2, label[a]))
-    return [{"f": f, "y": y, "near": [r * LABELS + x for r, x in m]} for f, y, m in zip(feats[:SAMPLE_WORDS], label, near, strict=False)]
+    chosen = range(len(found)) if len(found) <= most else [k * len(found) // most for k in range(most)]
+    return [{"f": feats[k], "y": label[k], "near": [r * LABELS + x for r, x in near[k]]} for k in chosen]
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 120, rate: float = 0.2) -> dict[str, np.ndarray]:
-    """The field's weights, from the patterns' labels on at most sample_docs documents, chosen by hash. docs: doc_id, text."""
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, steps: int = 120, rate: float = 0.2) -> dict[str, np.ndarray]:
+    """The field's weights, from the patterns' labels on at most sample_docs documents of sample_words nodes each. docs: doc_id, text."""
     some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample_docs)
     texts = docs.join(F.broadcast(some), F.xxhash64("doc_id", "text") == F.col("h"), "left_semi").select("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [r for t in b.column("text").to_pylist() for r in _sample_rows(t or "")]
+            got = [r for t in b.column("text").to_pylist() for r in _sample_rows(t or "", sample_words)]
             if got:
                 yield pa.RecordBatch.from_pylist(got, pa.schema([("f", pa.list_(pa.int32())), ("y", pa.int32()), ("near", pa.list_(pa.int32()))]))
 
-    # at most sample_docs * SAMPLE_WORDS rows; their order doesn't matter once sorted
-    got = sorted(texts.mapInArrow(rows, "f array<int>, y int, near array<int>").limit(sample_docs * SAMPLE_WORDS).collect())
+    # copies of a chosen document count as often as they occur, up to the sample's bound
+    got = texts.mapInArrow(rows, "f array<int>, y int, near array<int>").limit(sample_docs * sample_words).toArrow()
     unary, chain, same = np.zeros((CELLS, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(2)
-    if not got:
+    if not got.num_rows:
         unary[:, OUTSIDE] = 1.0
         return {"unary": unary, "chain": chain, "same": same}
-    f = np.array([r.f for r in got])
-    y = np.array([r.y for r in got])
+    flat = lambda name: got.column(name).combine_chunks()
+    y = flat("y").to_numpy()
+    f = flat("f").flatten().to_numpy().reshape(len(y), -1)
     # by node: how many neighbours of each role have each label
-    near = np.zeros((len(got), 3 * LABELS))
-    for k, r in enumerate(got):
-        for x in r.near:
-            near[k, x] += 1
+    near = np.zeros((len(y), 3 * LABELS))
+    sizes = np.diff(flat("near").offsets.to_numpy())
+    np.add.at(near, (np.repeat(np.arange(len(y)), sizes), flat("near").flatten().to_numpy()), 1)
+    order = np.lexsort((*near.T, y, *f.T))  # the rows come in any order, sums of doubles shouldn't
+    f, y, near = f[order], y[order], near[order]
     goal = np.eye(LABELS)[y]
     state = [[np.zeros_like(w), np.zeros_like(w)] for w in (unary, chain, same)]
     for step in range(1, steps + 1):
@@ -201,7 +217,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 120, rate:
         gap = goal - p / p.sum(1, keepdims=True)
         grads = [np.stack([np.bincount(f.ravel(), np.repeat(gap[:, k], f.shape[1]), CELLS) for k in range(LABELS)], 1), near[:, :LABELS].T @ gap + gap.T @ near[:, LABELS : 2 * LABELS], np.array([(skip * gap).sum(), 0.0])]
         for w, g, m in zip((unary, chain, same), grads, state, strict=True):
-            g = g / len(got) - 1e-4 * w
+            g = g / len(y) - 1e-4 * w
             m[0][:] = 0.9 * m[0] + 0.1 * g
             m[1][:] = 0.99 * m[1] + 0.01 * g * g
             w += rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
@@ -264,7 +280,8 @@ def find(docs: DataFrame, model: dict[str, np.ndarray], rounds: int = ROUNDS, su
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
-            for base, every in all_spans([t or "" for t in b.column("text").to_pylist()], model, rounds, sure):
+            parts = by_bytes(b.column("text").to_pylist(), RUN)
+            for base, every in (x for p in parts for x in all_spans([t or "" for t in p], model, rounds, sure)):
                 got.append((*(sum(x[1] == k for x in base) for k in range(len(KINDS))), hashlib.sha256(_text(base).encode()).hexdigest(), _text(every), len(every) - len(base)))
             cols = [pa.array([g[k] for g in got], kind) for k, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *cols], names=[*rest, *(n for n, _ in fields)])
@@ -289,8 +306,9 @@ def redacted(docs: DataFrame, model: dict[str, np.ndarray], rounds: int = ROUNDS
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            new = [t if t is None else redact(t, every) for t, (_, every) in zip(texts, all_spans([t or "" for t in texts], model, rounds, sure), strict=True)]
+            new = []
+            for texts in by_bytes(b.column("text").to_pylist(), RUN):
+                new += [t if t is None else redact(t, every) for t, (_, every) in zip(texts, all_spans([t or "" for t in texts], model, rounds, sure), strict=True)]
             k = b.schema.get_field_index("text")
             yield b.set_column(k, "text", pa.array(new, b.schema.field(k).type))
 

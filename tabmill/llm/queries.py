@@ -51,7 +51,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, exact=False)
 
 
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +68,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 NEAREST_SQL = """
-WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-n AS (SELECT id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda x, y: x + y)) AS norm FROM v),
-p AS (SELECT q.id AS query_id, c.id AS vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda x, y: x + y) / (q.norm * c.norm) AS score
-      FROM n q JOIN n c ON q.id % 50 = 0 AND q.id <> c.id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT row_number() OVER () AS uid, id, v FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+n AS (SELECT uid, id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda x, y: x + y)) AS norm FROM v),
+p AS (SELECT q.uid, q.id AS query_id, c.id AS vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda x, y: x + y) / (q.norm * c.norm) AS score
+      FROM n q JOIN n c ON q.id % 50 = 0 AND q.uid <> c.uid AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 5"""
 
 

@@ -47,7 +47,8 @@ def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, nan]), (4, [1.0, None]), (5, [inf, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [1e200, 1e200]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (8, [])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 id", "2 u", "3 key")
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(d.select("vec_id", "embedding"), F.col("id") % 50 == 0).collect()]
-    assert sorted(got) == [(0, 1, 50), (0, 2, 7), (50, 1, 0), (50, 2, 7)]
+    # the two rows of id 50 are each other's candidates, and a query each
+    assert sorted(got) == [(0, 1, 50), (0, 2, 50), (0, 3, 7), (50, 1, 0), (50, 1, 0), (50, 2, 50), (50, 2, 50), (50, 3, 7), (50, 3, 7)]
     assert ann.search(d.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
@@ -74,3 +75,37 @@ def test_thousands_of_copies(spark):
             s[ids == a] = -2
             want[a] = [(ids[j], s[j]) for j in np.lexsort((ids, -s))[:5]]
     check(ann.search(d, F.col("id") % 50 == 0).collect(), want)
+
+
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(4)
+    x = {n: rng.normal(size=(150, n)) for n in (3, 8)}
+    rows = [(2 * i + j, x[n][i].tolist()) for j, n in enumerate((3, 8)) for i in range(150)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = plain(range(0, 300, 2), x[3]) | plain(range(1, 300, 2), x[8])
+    for exact in (True, False):
+        check(ann.search(d, F.col("id") % 50 == 0, exact=exact).collect(), want)
+
+
+def test_recall_of_the_curves_alone(spark, tmp_path):
+    """The windows find nine of ten true neighbours at random and in clusters, and a blurred query's own cluster."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(5)
+    n = 50_000
+    centres = rng.normal(size=(200, 64))
+    for name, x in (("random", rng.normal(size=(n, 64))), ("clusters", centres[rng.integers(0, 200, n)] + rng.normal(size=(n, 64)) * 0.3)):
+        x = x.astype("f4")
+        pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))}), tmp_path / f"{name}.parquet")
+        got = ann.search(spark.read.parquet(str(tmp_path / f"{name}.parquet")), F.col("id") % 50 == 0, exact=False).collect()
+        unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+        found = {}
+        for r in got:
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        s = unit[::50] @ unit.T
+        s[np.arange(len(s)), np.arange(0, n, 50)] = -2
+        best = np.argpartition(-s, 5, axis=1)[:, :5]
+        recall = np.mean([len(found[50 * k] & set(b.tolist())) / 5 for k, b in enumerate(best)])
+        assert recall >= 0.9, (name, recall)
+        print(name, "recall", recall)
