@@ -1,14 +1,17 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation, beside a smoothed unigram base.
 
-Words are counted over all training documents (partial counts in tasks, then a shuffle by word). The model's classes are the
-most frequent words and, for all others, `cells` groups by ending; a word of a group has its smoothed count's share of it, the
-group's unseen words one share together. So probabilities of all words sum to 1. A class's score in a context is the product
-of its vector with the sum of the last `context` classes' vectors, each scaled by its place, plus a bias. Training: a bounded
-sample gives a common start; then each input partition trains on all its documents from there, with noise classes drawn from
-the counts and shared by a batch, and the parameters are averaged by tokens. Scoring: batched matrix products give all
-classes' scores, normalised exactly.
-
-The most frequent words' counts go to every task, a bounded table; a document's other words are joined with the counts by word.
+Words are counted over all training documents (partial counts in tasks, then a shuffle by word). The model's target classes are
+the most frequent words and, for all others, `cells` groups by ending; a word of a group has its smoothed count's share of it,
+each unseen word that of a count of 0. Contexts are finer: a word that is no class of its own has one of HASHED vectors, by its
+hash. A class's score in a context is the product of its vector with the sum of the last `context` words' vectors, each scaled
+by its place, plus a bias. Training: a bounded sample gives a common start; then each input partition trains on all its
+documents from there, with noise classes drawn from the counts and shared by a batch, and the parameters are averaged by
+tokens (so how the input is partitioned has a small part in them). Scoring: batched matrix products give all classes' scores,
+normalised exactly.
+
+The counts of the words that are most frequent in all documents, learned from or not, go to every task, a bounded table; a
+document's other words are joined with the counts by word. None of these is frequent: one outside a table of HEAD words occurs
+in no more than about one HEADth of all places.
 
 Cases: a null or empty text is the end token alone. Rows that repeat are rows of their own. A null doc_id is in no held-out
 fold. An empty table gives no rows. If nothing can be learned from (all rows held out), N and V are 0 and all words unknown.
@@ -29,14 +32,16 @@ from pyspark.sql import functions as F
 
 from tabmill.llm.text import shared_table
 
-#: Words that are classes of their own, and groups of all others.
-OWN, CELLS = 192, 64
+#: Words that are target classes of their own, and groups of all others.
+OWN, CELLS = 256, 64
+#: Context vectors of all other words, by hash.
+HASHED = 8192
 #: Most words whose counts go to every task, the frequent ones.
 HEAD = 100_000
-CONTEXT, WIDTH = 3, 16
-NOISE, BATCH = 48, 4096
+CONTEXT, WIDTH = 4, 24
+NOISE, BATCH = 64, 4096
 #: Documents that the start is trained on, how often, and in what batches.
-START_DOCS, START_PASSES, START_BATCH = 2000, 5, 512
+START_DOCS, START_PASSES, START_BATCH = 2000, 5, 1024
 RATE = 0.1
 #: The end token among the words; no word is empty.
 END = b""
@@ -48,6 +53,10 @@ def cell(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CELLS
 
 
+def hashed(word: bytes) -> int:
+    return OWN + zlib.crc32(word) % HASHED
+
+
 def chunks(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Runs of texts as words with the end token, of about `most` bytes, with the first one's place."""
     first, part, size = 0, [], 0
@@ -62,71 +71,78 @@ def chunks(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[tuple[i
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (in UTF-8; the end token is empty), cell, c. docs: text (binary)."""
-    schema = pa.schema([("word", pa.binary()), ("cell", pa.int32()), ("c", pa.int64())])
+    """word (in UTF-8; the end token is empty), cell, c (in rows to learn from), every (in all rows). docs: text (binary), learn."""
+    schema = pa.schema([("word", pa.binary()), ("cell", pa.int32()), ("c", pa.int64()), ("every", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: Counter[bytes] = Counter()
+        got: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(map(cell, got)), pa.int32()), pa.array(list(got.values()), pa.int64())], schema=schema)
+        def out() -> Iterator[pa.RecordBatch]:
+            for learn, some in enumerate(got):
+                n = pa.array(list(some.values()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array(list(map(cell, some)), pa.int32()), n if learn else pa.array(np.zeros(len(some), np.int64)), n], schema=schema)
+                some.clear()
 
         for b in batches:
-            for _, part in chunks(b.column("text").to_pylist()):
-                for w in part:
-                    got.update(w)
-                if len(got) > PARTIAL:
-                    yield out()
-                    got.clear()
-        if got:
-            yield out()
+            learn = b.column("learn").to_pylist()
+            for first, part in chunks(b.column("text").to_pylist()):
+                for k, w in enumerate(part, first):
+                    got[learn[k]].update(w)
+                if len(got[0]) + len(got[1]) > PARTIAL:
+                    yield from out()
+        yield from out()
 
-    return docs.select("text").mapInArrow(count, "word binary, cell int, c long").groupBy("word", "cell").agg(F.sum("c").alias("c"))
+    made = docs.select("text", F.col("learn").cast("int").alias("learn")).mapInArrow(count, "word binary, cell int, c long, every long")
+    return made.groupBy("word", "cell").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
 
 
 class Words:
     """The counts' head and totals, as every task has them."""
 
     def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, cell_sum: np.ndarray, cell_words: np.ndarray):
+        """head: words by falling count among those learned from (0: only in others)."""
         self.total, self.distinct = total, distinct
         self.place = {w: k for k, (w, _) in enumerate(head)}
         c = np.array([n for _, n in head], float)
+        self.known = c > 0
         self.base = np.log10((c + 1) / (total + distinct + 1))
         self.room = cell_sum + cell_words + 1.0
-        self.cls = np.array([k if k < OWN else OWN + cell(w) for k, (w, _) in enumerate(head)], np.int32)
-        self.inside = np.where(np.arange(len(head)) < OWN, 0.0, np.log10((c + 1) / self.room[np.maximum(self.cls - OWN, 0)])) if head else np.zeros(0)
+        own = (np.arange(len(head)) < OWN) & self.known
+        self.cls = np.array([k if own[k] else OWN + cell(w) for k, (w, _) in enumerate(head)], np.int32)
+        self.ctx = np.array([k if own[k] else hashed(w) for k, (w, _) in enumerate(head)], np.int32)
+        self.inside = np.where(own, 0.0, np.log10((c + 1) / self.room[np.maximum(self.cls - OWN, 0)])) if head else np.zeros(0)
         share = np.zeros(OWN + CELLS)
-        np.add.at(share, np.arange(min(OWN, len(head))), c[:OWN])
+        share[: own.sum()] = c[own]
         share[OWN:] += self.room
         self.share = (share + 0.5) / (share + 0.5).sum()
 
-    def classes(self, part: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts end to end: each word's place in the head (-1: none), its class, and each text's length."""
+    def classes(self, part: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts end to end: each word's place in the head (-1: none), its class, its context vector, and each text's length."""
         size = np.array([len(w) for w in part])
         every = [x for w in part for x in w]
         at = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
-        cls = self.cls[at] if len(self.cls) else np.zeros(len(every), np.int32)
+        cls, ctx = (x[at] if len(x) else np.zeros(len(every), np.int32) for x in (self.cls, self.ctx))
         for k in np.nonzero(at < 0)[0].tolist():
-            cls[k] = OWN + cell(every[k])
-        return at, cls, size
+            cls[k], ctx[k] = OWN + cell(every[k]), hashed(every[k])
+        return at, cls, ctx, size
 
 
-def contexts(cls: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """(words, CONTEXT): the classes before each word, nearest first; before a text's start stands OWN + CELLS."""
-    n = len(cls)
+def contexts(ctx: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(words, CONTEXT): the context vectors before each word, nearest first; before a text's start stands OWN + HASHED."""
+    n = len(ctx)
     place = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
-    out = np.full((n, CONTEXT), OWN + CELLS, np.int32)
+    out = np.full((n, CONTEXT), OWN + HASHED, np.int32)
     for k in range(1, CONTEXT + 1):
-        out[k:, k - 1] = np.where(place[k:] >= k, cls[:-k] if k < n else cls[:0], OWN + CELLS) if n > k else out[k:, k - 1]
+        if n > k:
+            out[k:, k - 1] = np.where(place[k:] >= k, ctx[:-k], OWN + HASHED)
     return out
 
 
 def fresh(share: np.ndarray) -> dict[str, np.ndarray]:
-    """r: vectors of context classes; place: scales by place; q: vectors of target classes, the last column their bias."""
+    """r: context vectors; place: scales by place; q: vectors of target classes, the last column their bias."""
     rng = np.random.default_rng(7)
-    n = OWN + CELLS
-    q = np.concatenate([rng.normal(0, 0.1, (n, WIDTH)), np.log(share)[:, None]], 1)
-    return {"r": rng.normal(0, 0.1, (n + 1, WIDTH)).astype("f4"), "q": q.astype("f4"), "place": np.full((CONTEXT, WIDTH), 0.5, "f4")}
+    q = np.concatenate([rng.normal(0, 0.1, (OWN + CELLS, WIDTH)), np.log(share)[:, None]], 1)
+    return {"r": rng.normal(0, 0.1, (OWN + HASHED + 1, WIDTH)).astype("f4"), "q": q.astype("f4"), "place": np.full((CONTEXT, WIDTH), 0.5, "f4")}
 
 
 def _guess(tables: list[np.ndarray], h: np.ndarray) -> np.ndarray:
@@ -156,27 +172,30 @@ def train(model: dict[str, np.ndarray], square: dict[str, np.ndarray], target: n
         np.clip(wrong, -30, 30, out=wrong)
         down = -1 / (1 + np.exp(-wrong))
         back = np.ascontiguousarray((up[:, None] * qy + down @ qn)[:, :WIDTH])
-        g = {k: np.zeros_like(v) for k, v in model.items()}
-        _scatter(g["q"], y, up[:, None] * guess)
-        np.add.at(g["q"], noise, down.T @ guess)
-        # a context class's gradient is the sum of `back` over where it stands, by place
-        for k in range(CONTEXT):
-            own = np.zeros_like(r)
-            _scatter(own, h[:, k], back)
-            g["place"][k] = (own * r).sum(0)
-            g["r"] += own * place[k]
-        for k, v in g.items():
-            v /= len(y)
-            square[k] += v * v
-            model[k] += RATE * v / np.sqrt(square[k] + 1e-8)
+        gq = np.zeros_like(q)
+        _scatter(gq, y, up[:, None] * guess)
+        np.add.at(gq, noise, down.T @ guess)
+        gp = np.stack([np.einsum("td,td->d", back, r[h[:, k]]) for k in range(CONTEXT)])
+        # a context vector's gradient is the sum of `back` over where it stands, by place; most don't occur in a batch
+        at, gr = _summed(h.T.ravel(), np.concatenate([back * p for p in place]))
+        for name, on, g in (("q", slice(None), gq), ("place", slice(None), gp), ("r", at, gr)):
+            g /= len(y)
+            square[name][on] += g * g
+            model[name][on] += RATE * g / np.sqrt(square[name][on] + 1e-8)
+
+
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of at, and the sums of their rows."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    own = at[order]
+    first = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
+    return own[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """out[at] += rows, where at repeats."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    own = at[order]
-    first = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
-    out[own[first]] += np.add.reduceat(rows[order], first, axis=0)
+    on, sums = _summed(at, rows)
+    out[on] += sums
 
 
 def log_probabilities(model: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, rows: int = 1024) -> np.ndarray:
@@ -197,17 +216,18 @@ def log_probabilities(model: dict[str, np.ndarray], target: np.ndarray, context:
     return out
 
 
-def _rows(model: dict[str, np.ndarray], weight: int) -> Iterator[tuple]:
+def _rows(model: dict[str, np.ndarray], weight: int, schema: pa.Schema) -> pa.RecordBatch:
     """Parameters as rows: name and number, weight, values times weight."""
-    for name, v in model.items():
-        for k, x in enumerate(v):
-            yield (f"{name}{k}", weight, *(float(y) * weight for y in x), *([0.0] * (WIDTH + 1 - len(x))))
+    keys = [f"{name}{k}" for name, v in model.items() for k in range(len(v))]
+    values = np.concatenate([np.pad(v, ((0, 0), (0, WIDTH + 1 - v.shape[1]))) for v in model.values()]).astype(float) * weight
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), weight)), *(pa.array(np.ascontiguousarray(x)) for x in values.T)], schema=schema)
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words, by falling count; at most `most`, as all words of a step of counts (a 16th of a doubling) are
-    in or out. No sort and no merge of long lists: the steps' sizes decide the least count."""
-    step = F.floor(F.log2("c") * 16).cast("int")
+    """The words that are most frequent in all rows, by falling count in those learned from; at most `most`, as all words of a
+    step of counts (a 16th of a doubling) are in or out. No sort and no merge of long lists: the steps' sizes decide the least
+    count. None, if more than `most` words share the highest step: then each is rare."""
+    step = F.floor(F.log2("every") * 16).cast("int")
     sizes = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
     inside = [s for (s, _), total in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if total <= most]
     if not inside:
@@ -216,14 +236,15 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(got.column("word").to_pylist(), got.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def fit(docs: DataFrame) -> tuple[dict[str, np.ndarray], Words, DataFrame]:
-    """The model, the head of the counts, and all counts (word, cell, c). docs: text; all its rows are learned from."""
+def fit(docs: DataFrame, learn: Column | None = None) -> tuple[dict[str, np.ndarray], Words, DataFrame]:
+    """The model, the head of the counts, and all counts (word, cell, c, every). docs: text; rows of `learn`, or all, are learned from."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("text").cast("binary").alias("text"))
+    docs = docs.select(F.col("text").cast("binary").alias("text"), (F.lit(True) if learn is None else learn).alias("learn"))
     counts = shared_table(word_counts(docs), "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    docs = docs.where("learn").select("text")
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     head = frequent(counts, HEAD)
-    tail = counts.join(F.broadcast(spark.createDataFrame([(w,) for w, _ in head[:OWN]], "word binary")), "word", "left_anti")
+    tail = counts.where("c > 0").join(F.broadcast(spark.createDataFrame([(w,) for w, c in head[:OWN] if c], "word binary")), "word", "left_anti")
     cell_sum, cell_words = np.zeros(CELLS), np.zeros(CELLS)
     for r in tail.groupBy("cell").agg(F.sum("c").alias("s"), F.count("*").alias("k")).collect():
         cell_sum[r.cell], cell_words[r.cell] = r.s, r.k
@@ -241,23 +262,23 @@ def fit(docs: DataFrame) -> tuple[dict[str, np.ndarray], Words, DataFrame]:
             rng = np.random.default_rng(11)
             for b in batches:
                 for _, part in chunks(b.column("text").to_pylist()):
-                    _, cls, size = sent.value.classes(part)
-                    h = contexts(cls, size)
+                    _, cls, ctx, size = sent.value.classes(part)
+                    h = contexts(ctx, size)
                     for _ in range(passes):
                         order = rng.permutation(len(cls))
                         train(own, square, cls[order], h[order], sent.value.share, rng, batch)
                     seen += len(cls)
             if seen:
-                rows = list(_rows(own, seen))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+                yield _rows(own, seen, schema)
 
         return run
 
     def averaged(df: DataFrame, start: dict[str, np.ndarray], passes: int, batch: int) -> dict[str, np.ndarray]:
         got = df.mapInArrow(trainer(start, passes, batch), ", ".join(f"{f.name} {'string' if f.name == 'key' else 'long' if f.name == 'weight' else 'double'}" for f in schema))
-        got = got.groupBy("key").agg(*(F.sum(x).alias(x) for x in names[1:])).collect()
-        by = {r.key: np.array(r[2:]) / r.weight for r in got}
-        return {k: np.stack([by[f"{k}{i}"][: x.shape[1]] for i in range(len(x))]).astype("f4") for k, x in start.items()}
+        got = got.groupBy("key").agg(*(F.sum(x).alias(x) for x in names[1:])).toArrow()
+        mean = np.stack([got.column(x).to_numpy() for x in names[2:]], 1) / got.column("weight").to_numpy()[:, None]
+        row = {k: i for i, k in enumerate(got.column("key").to_pylist())}
+        return {k: mean[[row[f"{k}{i}"] for i in range(len(x))], : x.shape[1]].astype("f4") for k, x in start.items()}
 
     h = F.xxhash64("text")
     some = docs.select(h.alias("h")).orderBy("h").limit(START_DOCS)
@@ -277,13 +298,14 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], words: Words, counts: D
         for b in batches:
             ids, hashes = b.column("doc_id").to_pylist(), b.column("h").to_pylist()
             for first, part in chunks(b.column("text").to_pylist()):
-                at, cls, size = words.classes(part)
-                logs = log_probabilities(model, cls, contexts(cls, size)) / np.log(10)
+                at, cls, ctx, size = words.classes(part)
+                logs = log_probabilities(model, cls, contexts(ctx, size)) / np.log(10)
                 seen = at >= 0
+                known = seen & words.known[at] if len(words.known) else seen
                 base = np.where(seen, words.base[at], 0.0) if len(words.base) else np.zeros(len(at))
                 logs += np.where(seen, words.inside[at], 0.0) if len(words.base) else 0.0
                 start = np.cumsum(size) - size
-                sums = [np.add.reduceat(x, start) for x in (seen.astype("i8"), base, logs)]
+                sums = [np.add.reduceat(x, start) for x in (known.astype("i8"), base, logs)]
                 rest: list[tuple] = []
                 for k, w in enumerate(part):
                     own = np.nonzero(~seen[start[k] : start[k] + size[k]])[0]
@@ -317,5 +339,5 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], words: Words, counts: D
 
 def fit_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     """score() of all docs, learned from those that aren't held out; with held_out. docs: doc_id, text."""
-    model, words, counts = fit(docs.where(~held_out).select("text"))
+    model, words, counts = fit(docs, ~held_out)
     return score(docs, model, words, counts).withColumn("held_out", held_out)

@@ -1,13 +1,14 @@
 """Quality rules: a hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Native: DataFrame functions only. An n-gram here is either the last three characters of a word (its ending) or two
-successive words' endings; each is hashed into one of `buckets` cells. Over the cells there are two multinomials: the raw
-corpus (every document) and the trusted target (a bounded sample of documents known to be good). A document's verdict is
-its mean log ratio over its own n-grams against a fixed threshold, so that length doesn't decide.
+Native: DataFrame functions only. An n-gram here is a word or two successive words, whole and as they are written; each is
+hashed into one of `buckets` cells. Over the cells there are two multinomials: the raw corpus (every document) and the trusted
+target (every document known to be good). A document's verdict is its mean log ratio over its own n-grams against a fixed
+threshold, so that length doesn't decide.
 
 Cases: a null or empty text has no words, all its counts are 0, and it is base_failed. Rows that repeat are scored each on
-its own. A null doc_id is never in the trusted sample; it is scored like any other. An empty table gives no rows. With no
-trusted rows at all every ratio is 0 and the base rules alone decide. Other columns are ignored, whatever their names.
+its own. A null doc_id is never trusted; it is scored like any other. An empty table gives no rows. With no trusted rows at
+all every ratio is 0 and the base rules alone decide. Very long texts are read whole. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -18,36 +19,38 @@ from pyspark.sql import functions as F
 from tabmill.llm.text import words
 
 #: Cells of both multinomials. The model is this many doubles, whatever the input's size.
-BUCKETS = 8192
-#: Most trusted documents that the target is estimated from.
-TRUSTED = 20_000
+BUCKETS = 262_144
 #: Added to a cell's observed and expected target counts.
-PRIOR = 5.0
+PRIOR = 2.0
 #: Least mean log ratio of a document that is kept.
-THRESHOLD = -0.4
+THRESHOLD = -0.2
 SYMBOLS = "#*$%&|<>"
 
 
-def ending_cells(w: Column, buckets: int) -> Column:
-    """The cells of a document's words' endings, from its array of words."""
-    return F.transform(w, lambda x: F.pmod(F.xxhash64(F.right(x, F.lit(3))), F.lit(buckets)).cast("int"))
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def with_pairs(ends: Column, buckets: int) -> Column:
-    """The cells of the endings and those of successive endings, from ending_cells()."""
-    last = F.greatest(F.size(ends) - 1, F.lit(0))
-    return F.concat(ends, F.zip_with(F.slice(ends, F.lit(1), last), F.slice(ends, F.lit(2), last), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
+def pair_hashes(hw: Column) -> Column:
+    """Hashes of successive words, from word_hashes()."""
+    last = F.greatest(F.size(hw) - 1, F.lit(0))
+    return F.zip_with(F.slice(hw, F.lit(1), last), F.slice(hw, F.lit(2), last), lambda a, b: F.xxhash64(a, b))
+
+
+def cells_of(hw: Column, pairs: Column, buckets: int) -> Column:
+    """The cells of a document's n-grams."""
+    return F.transform(F.concat(hw, pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """One row, one array `model`: by cell, the log of its target over its raw probability (0 where it never occurs).
 
-    docs: doc_id, text; all rows count. trusted: doc_id; its size must be bounded, as it is broadcast.
+    docs: doc_id, text; all rows count. trusted: doc_id; Spark decides by its size how it is joined.
     """
-    ids = F.broadcast(trusted.select(F.col("doc_id").alias("_good")).distinct())
-    seen = docs.select("doc_id", ending_cells(words(F.col("text")), buckets).alias("ends"))
-    seen = seen.join(ids, F.col("doc_id") == F.col("_good"), "left")
-    seen = seen.select(F.explode(with_pairs(F.col("ends"), buckets)).alias("cell"), F.lit(1).alias("raw"), F.col("_good").isNotNull().cast("int").alias("good"))
+    ids = trusted.select(F.col("doc_id").alias("_good")).distinct()
+    seen = docs.select("doc_id", word_hashes(words(F.col("text"))).alias("hw")).join(ids, F.col("doc_id") == F.col("_good"), "left")
+    seen = seen.select("_good", "hw", pair_hashes(F.col("hw")).alias("pairs"))
+    seen = seen.select(F.explode(cells_of(F.col("hw"), F.col("pairs"), buckets)).alias("cell"), F.lit(1).alias("raw"), F.col("_good").isNotNull().cast("int").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("cell"), F.lit(0).alias("raw"), F.lit(0).alias("good"))
     cells = seen.unionByName(every).groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("good").alias("target"))
     one = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "raw", "target"))).alias("c"), F.sum("raw").alias("r"), F.sum("target").alias("t"))
@@ -67,20 +70,21 @@ def covered(h: Column) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the word array `w` and the base measures."""
+    """docs (doc_id, text) with hashes of words (hw) and of successive words (pairs), and the base measures."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", text.alias("text"), words(text).alias("w"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select("doc_id", "text", "w", F.size("w").alias("n"), lines.alias("lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("hw"))
+    d = d.select("doc_id", "text", "w", F.size("w").alias("n"), lines.alias("lines"), word_hashes(F.col("w")).alias("hw"))
+    d = d.select("*", pair_hashes(F.col("hw")).alias("pairs"))
     more = F.greatest(F.col("n") - 2, F.lit(0))
-    windows = F.zip_with(F.zip_with(F.slice("hw", F.lit(1), more), F.slice("hw", F.lit(2), more), lambda a, b: F.xxhash64(a, b)), F.slice("hw", F.lit(3), more), lambda a, b: F.xxhash64(a, b))
+    windows = F.zip_with(F.slice("pairs", F.lit(1), more), F.slice("hw", F.lit(3), more), lambda a, b: F.xxhash64(a, b))
     d = d.select(
-        "doc_id", "w", "n", windows.alias("h"),
+        "doc_id", "hw", "pairs", "n", windows.alias("h"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
-    d = d.select("doc_id", "w", "n", "word_chars", "n_symbols", "n_dup_lines", covered(F.col("h")).alias("n_repeat_words"))
+    d = d.select("doc_id", "hw", "pairs", "n", "word_chars", "n_symbols", "n_dup_lines", covered(F.col("h")).alias("n_repeat_words"))
     failed = (F.col("n") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n"))
     return d.withColumn("base_failed", failed)
 
@@ -88,7 +92,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base measures, base_failed, mean_ratio and kept. See the module's text for the cases."""
     d = base_rules(docs)
-    d = d.select("*", ending_cells(F.col("w"), buckets).alias("ends")).select("*", with_pairs(F.col("ends"), buckets).alias("cells"), fit_ratio(docs, trusted, buckets, prior).scalar().alias("model"))
+    d = d.select("*", cells_of(F.col("hw"), F.col("pairs"), buckets).alias("cells"), fit_ratio(docs, trusted, buckets, prior).scalar().alias("model"))
     total = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.get("model", c))
     mean = F.when(F.size("cells") > 0, total / F.size("cells")).otherwise(F.lit(0.0))
     d = d.select("doc_id", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", mean.alias("mean_ratio"))

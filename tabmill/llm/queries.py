@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabmill.llm import ann, histogram, htmltext, langmodel, mixing, packing, pii, simhash, toxicity
 from tabmill.llm import quality as quality_rules
-from tabmill.llm.text import bounded_sample, in_fold, read
+from tabmill.llm.text import in_fold, read
 
 
 def fitted_toxicity(docs: DataFrame, labels: DataFrame) -> dict:
@@ -29,7 +29,7 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = bounded_sample(read(spark, sf_dir, "labels"), "quality", {1: quality_rules.TRUSTED})
+    trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules.quality(read(spark, sf_dir, "documents"), trusted)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import itertools
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -95,17 +96,70 @@ def test_language_model_is_normalised_and_joins_the_tail(spark, monkeypatch):
     whole = {r.doc_id: r for r in langmodel.fit_and_score(d, F.col("doc_id") % 7 == 6).collect()}
     model, words, counts = langmodel.fit(d.where("doc_id % 7 <> 6").select("text"))
     n = langmodel.OWN + langmodel.CELLS
-    h = np.random.default_rng(0).integers(0, n + 1, (3, langmodel.CONTEXT))
+    h = np.random.default_rng(0).integers(0, langmodel.OWN + langmodel.HASHED + 1, (3, langmodel.CONTEXT))
     total = sum(np.exp(langmodel.log_probabilities(model, np.full(3, k), h)) for k in range(n))
     assert np.allclose(total, 1, atol=1e-5)
     # each group's words and its unseen share sum to one
     c = np.array([r.c for r in counts.collect()])
     assert words.total == c.sum() and words.distinct == len(c)
+    # the words of a class, with one that isn't known, sum to one
+    by = {r.word: r.c for r in counts.collect()}
+    own = sorted(by, key=lambda w: (-by[w], w))[: langmodel.OWN]
+    for k in range(langmodel.CELLS):
+        inside = [by[w] + 1 for w in by if w not in own and langmodel.cell(bytes(w)) == k]
+        assert words.room[k] == sum(inside) + 1
     monkeypatch.setattr(langmodel, "HEAD", 2)  # nearly all words by join: the base doesn't change
     for r in langmodel.fit_and_score(d, F.col("doc_id") % 7 == 6).collect():
         assert (r.n_tokens, r.n_known) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known) and math.isclose(r.base_score, whole[r.doc_id].base_score, rel_tol=1e-9)
 
 
+def plain_score(text, model, by, own):
+    """log10 of a text's probability, word by word. by: counts of the words learned from; own: those that are classes."""
+    L = langmodel
+    place = {w: k for k, w in enumerate(own)}
+    vector = lambda w: place[w] if w in place else L.OWN + zlib.crc32(w) % L.HASHED
+    room = collections.Counter({k: 1 for k in range(L.CELLS)})
+    for w, c in by.items():
+        if w not in place:
+            room[zlib.crc32(w[-3:]) % L.CELLS] += c + 1
+    seq, total = [*(x.encode() for x in plain.words(plain.lower(text))), b""], 0.0
+    for k, w in enumerate(seq):
+        before = [vector(seq[k - j]) if k >= j else L.OWN + L.HASHED for j in range(1, L.CONTEXT + 1)]
+        guess = sum(model["place"][j].astype(float) * model["r"][b] for j, b in enumerate(before))
+        s = model["q"][:, :-1].astype(float) @ guess + model["q"][:, -1]
+        y = place[w] if w in place else L.OWN + zlib.crc32(w[-3:]) % L.CELLS
+        total += (s[y] - s.max() - math.log(np.exp(s - s.max()).sum())) / math.log(10)
+        if w not in place:
+            total += math.log10((by.get(w, 0) + 1) / room[y - L.OWN])
+    return total
+
+
+def test_language_model_scores_are_the_plain_ones(spark, sf, docs, monkeypatch):
+    """Every document's score against a word-by-word sum under the same model; words by the head and by join alike."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(2)
+    d = d.unionByName(spark.createDataFrame([(10**6, "unheard qqqq of words qqqq"), (10**6 + 1, None), (10**6 + 2, "")], "doc_id long, text string"))
+    for head in (langmodel.HEAD, 300):
+        monkeypatch.setattr(langmodel, "HEAD", head)
+        held = F.col("doc_id") % 7 == 2
+        model, words, counts = langmodel.fit(d, ~held)
+        by = {bytes(r.word): r.c for r in counts.collect() if r.c}
+        texts = {r.doc_id: r.text for r in d.collect()}
+        own = [w for w, k in words.place.items() if k < langmodel.OWN and words.known[k]]
+        assert own == sorted(own, key=lambda w: (-by[w], w)) and len(own) > 100
+        for r in langmodel.score(d, model, words, counts).where("doc_id % 5 = 2 or doc_id >= 1000000").collect():
+            assert math.isclose(r.score, plain_score(texts[r.doc_id], model, by, own), rel_tol=1e-4, abs_tol=1e-3), r
+
+
+def test_language_model_odd_joins(spark):
+    """A word that only held-out rows have, in a hundred thousand of them, is in the head that goes to all tasks."""
+    d = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 2, "onlyhere onlyhere").otherwise("a b").alias("text"))
+    held = F.col("doc_id") % 7 == 2
+    model, words, counts = langmodel.fit(d, ~held)
+    assert b"onlyhere" in words.place and not words.known[words.place[b"onlyhere"]]
+    got = langmodel.score(d, model, words, counts).groupBy("n_known", "n_tokens").count().collect()
+    assert sorted((r.n_known, r.n_tokens) for r in got) == [(1, 3), (3, 3)] and sum(r["count"] for r in got) == 100_000
+
+
 def test_language_model_learns_contexts(spark):
     rng = np.random.default_rng(0)
     tongue = lambda k: " ".join(f"{'ab'[k]}{x}" for x in rng.integers(0, 30, 80))
@@ -128,9 +182,10 @@ def test_language_model_odd_rows(spark, odd):
 def test_quality(spark, sf, docs):
     rows = {r.doc_id: r for r in queries.op3_quality_rules(spark, sf).collect()}
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
-    end = {d.doc_id: [w[-3:] for w in plain.words(d.text)] for d in docs}
-    cells = {k: [*(hash_of(spark, e) for e in v)] for k, v in end.items()}
-    cells = {k: v + [pair_of(spark, a, b) for a, b in zip(v, v[1:], strict=False)] for k, v in cells.items()}
+    cells = {}
+    for d in docs:
+        h = [_xx(w.encode()) for w in plain.words(d.text)]
+        cells[d.doc_id] = [x % quality.BUCKETS for x in [*h, *(pair_of(a, b) for a, b in zip(h, h[1:], strict=False))]]
     raw, target = collections.Counter(x for v in cells.values() for x in v), collections.Counter(x for k, v in cells.items() if k in good for x in v)
     share = sum(target.values()) / sum(raw.values())
     ratio = {x: math.log((target[x] + quality.PRIOR) / (raw[x] * share + quality.PRIOR)) for x in raw}
@@ -151,30 +206,13 @@ def _xx(data: bytes, seed: int = 42) -> int:
     return v - 2**64 if v >= 2**63 else v
 
 
-def hash_of(spark, ending):
-    return _xx(ending.encode()) % quality.BUCKETS
-
-
-def pair_of(spark, a, b):
-    if (a, b) not in _HASHES:  # Spark chains the hash of one number into the next one's seed
-        _HASHES[a, b] = spark.range(1).select(F.pmod(F.xxhash64(F.lit(a).cast("int"), F.lit(b).cast("int")), F.lit(quality.BUCKETS))).first()[0] if len(_HASHES) < 0 else _pair(a, b)
+def pair_of(a, b):
+    """The hash of two numbers, the first one's hash being the second one's seed, as Spark chains them."""
+    if (a, b) not in _HASHES:
+        _HASHES[a, b] = _xx(struct.pack("<q", b), _xx(struct.pack("<q", a)) % 2**64)
     return _HASHES[a, b]
 
 
-def _pair(a, b):
-    """XXH64 of two 4-byte numbers, the first one's hash being the second one's seed."""
-    m, p1, p2, p3 = 2**64 - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
-    seed = 42
-    for x in (a, b):
-        h = (seed + 0x27D4EB2F165667C5 + 4) & m
-        h ^= ((x & 0xFFFFFFFF) * p1) & m
-        h = ((((h << 23) | (h >> 41)) & m) * p2 + p3) & m
-        h = ((h ^ (h >> 33)) * p2) & m
-        h = ((h ^ (h >> 29)) * p3) & m
-        seed = h ^ (h >> 32)
-    return (seed - 2**64 if seed >= 2**63 else seed) % quality.BUCKETS
-
-
 def test_quality_odd_rows(spark, odd, labels):
     rows = quality.quality(odd, bounded_sample(labels, "quality", {1: 10})).collect()
     want = sorted(((d[0] or 0), *plain.base_rules(d[1])) for d in plain.ODD)
