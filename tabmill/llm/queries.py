@@ -20,7 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fitted_toxicity(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "spans")
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import itertools
 import math
+import re
 import struct
 import zlib
 
@@ -56,6 +57,64 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 and plain.fold(r.doc_id, 5) == 0 for r in got)
 
 
+def test_window_expectations_are_exact():
+    """Marginals and expected pairs of short chains of mixed lengths, against all state sequences."""
+    rng = np.random.default_rng(1)
+    size, trans = np.array([1, 3, 5, 2]), rng.normal(size=(2, 2))
+    odds = rng.normal(0, 2, size.sum())
+    p, pairs = toxicity.expectations(odds, size, trans)
+    want_p, want_pairs = [], np.zeros((2, 2))
+    for part in np.split(odds, np.cumsum(size)[:-1]):
+        one, two, total = np.zeros(len(part)), np.zeros((2, 2)), 0.0
+        for y in itertools.product((0, 1), repeat=len(part)):
+            w = math.exp(sum(o for o, v in zip(part, y, strict=True) if v) + sum(trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += w
+            one += w * np.array(y)
+            for a, b in zip(y, y[1:], strict=False):
+                two[a, b] += w
+        want_p += list(one / total)
+        want_pairs += two / total
+    assert np.allclose(p, want_p) and np.allclose(pairs, want_pairs)
+
+
+def test_toxicity_scores_are_the_plain_ones(spark):
+    """Scores and offsets of every document against a word-by-word forward-backward under the same model."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = queries.fitted_toxicity(d, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    some = 0
+    for doc in docs:
+        found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", doc.text or "")]
+        odds = [model["weight"][toxicity.cells(w.encode().lower())].sum() + model["bias"][0] for _, _, w in found]
+        p = plain.forward_backward(odds, model["trans"])
+        near = [x for x in p if x >= toxicity.LEAST]
+        none = sum(math.log1p(-min(x, 1 - 1e-12)) for x in near)
+        a = min(12.0, max(-12.0, math.log(max(-math.expm1(none), 1e-12)) - none))
+        score = 1 / (1 + math.exp(-(a * model["slope"][0] + math.log1p(sum(near)) * model["slope"][1] + model["level"][0])))
+        assert math.isclose(got[doc.doc_id].score, score, abs_tol=1e-6)
+        want = []
+        for k, ((i, j, _), x) in enumerate(zip(found, p, strict=True)):
+            if x >= 0.5:
+                if want and k and p[k - 1] >= 0.5:
+                    want[-1] = (want[-1][0], j)
+                else:
+                    want.append((i, j))
+        assert [tuple(x) for x in got[doc.doc_id].spans] == want
+        some += bool(want)
+    assert some > 3
+
+
+def test_toxicity_of_a_repeated_row(spark):
+    """A hundred thousand rows of one labelled id are one document to learn from, and a row each in the result."""
+    text = "the same zork text again and again"
+    d = spark.range(100_000).selectExpr("1 doc_id", f"'{text}' text").unionByName(spark.range(2, 60).selectExpr("id doc_id", "if(id % 2 = 0, 'a zork and a blarg', 'a calm day') text"))
+    y = spark.range(1, 60).selectExpr("id doc_id", "cast(id % 2 = 0 as int) toxic")
+    model = toxicity.fit(d, y)
+    assert toxicity.score(d.withColumn("score", F.lit("x")).withColumn("spans", F.lit(1)), model).groupBy("doc_id").count().where("count = 100000").count() == 1
+
+
 def test_toxic_spans(spark, odd, labels):
     clean, bad = "the day was long and dull as ever before", "you are a total zork and a vile blarg my friend"
     rows = [(k, bad.replace("vile", f"w{k}") if k % 3 == 0 else clean.replace("day", f"d{k}"), k % 3 == 0) for k in range(150)]
