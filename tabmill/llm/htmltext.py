@@ -6,10 +6,13 @@ dialogs and details, and what inline styles or simple rules of the page's own st
 Such rules override each other as in a browser (importance, inline, selector, order); those under a condition count if it holds
 on a screen of 1280 by 800 pixels. Text in svg and math is text of its line.
 Blocks stand in lines of their own, paragraphs and the like apart by an empty line; list items get a dash or their number and
-an indent by depth; a table's cells are padded to columns; preformatted text keeps its spaces.
+an indent by depth; a table's cells are padded to columns, a cell that spans rows or columns keeps its place, and a cell's own
+blocks and breaks stay lines of it, beside the other cells'; preformatted text keeps its spaces. What is displayed but
+invisible writes nothing, and what is visible again inside it does.
 
 Cases: null and empty pages give an empty text. Repeated rows and null ids are pages of their own. An empty table gives no
-rows. Very long and very deep pages are read whole; nothing recurses. Other columns pass through extract() untouched.
+rows. Very long and very deep pages are read whole, in linear time; nothing recurses. Other columns pass through extract()
+untouched, but those named page_text or n_lines give way.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tabmill.llm.text import others
@@ -42,7 +47,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/
 ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: What svg and math hold but don't show.
 FOREIGN_UNSEEN = frozenset("defs symbol desc metadata clippath mask marker pattern lineargradient radialgradient annotation annotation-xml".split())
-CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*+(?:\"|\n|\Z)|'(?:[^'\\\n]|\\.)*+(?:'|\n|\Z)|[{};]", re.S)
 DECLARED = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*\Z", re.I)
 DISPLAY = re.compile(r"(?:none|contents|block|inline|run-in|flow|flow-root|flex|grid|list-item|ruby|table|inline-(?:block|flex|grid|table)|table-[a-z-]+|ruby-[a-z-]+|-webkit-[a-z-]+|initial|inherit|unset|revert)\Z")
 SCREEN = {"width": 1280.0, "height": 800.0}
@@ -52,14 +57,17 @@ RANGE = re.compile(rf"(?:{LENGTH}\s*(<=?)\s*)?(width|height)\s*(?:([<>]=?|=)\s*{
 #: Conditions that hold on such a screen.
 HOLD = re.compile(r"orientation\s*:\s*landscape|prefers-color-scheme\s*:\s*light|prefers-reduced-motion\s*:\s*no-preference|(?:any-)?hover(?:\s*:\s*hover)?|(?:any-)?pointer(?:\s*:\s*fine)?|color|scripting\s*:\s*enabled")
 SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*\Z")
+#: Bytes of pages that are rendered at once.
+RUN = 8_000_000
 SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "start", "tag")
+    __slots__ = ("children", "hidden", "rows", "start", "tag", "visible")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.hidden, self.start, self.children = tag, hidden, start, []
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, rows: int = 1, visible: bool | None = None):
+        """hidden: not displayed, with all inside; visible: None as its parent; start: a list's first number, or a cell's columns."""
+        self.tag, self.hidden, self.start, self.rows, self.visible, self.children = tag, hidden, start, rows, visible, []
 
 
 def _pixels(number: str, unit: str | None) -> float:
@@ -156,9 +164,10 @@ def style_rules(css: str, rules: dict[str, dict[str, tuple]] | None = None) -> d
     return rules
 
 
-def is_hidden(tag: str, attrs: dict[str, str], rules: dict[str, dict[str, tuple]]) -> bool:
+def display(tag: str, attrs: dict[str, str], rules: dict[str, dict[str, tuple]]) -> tuple[bool, bool | None]:
+    """Whether an element isn't displayed, and whether it's visible (None: as its parent)."""
     if tag in UNSEEN or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
-        return True
+        return True, None
     found: dict[str, tuple] = {}
     if rules:
         for n in {tag, f"#{attrs.get('id', '').lower()}", *(f".{c}" for c in attrs.get("class", "").lower().split())}:
@@ -168,9 +177,16 @@ def is_hidden(tag: str, attrs: dict[str, str], rules: dict[str, dict[str, tuple]
         for j, text in enumerate(attrs["style"].split(";")):
             if d := declared(text):
                 found[d[0]] = max(found.get(d[0], (False,)), (d[2], 3, j, d[1]))
+    seen = found["visibility"][3] if "visibility" in found else "inherit"
+    visible = {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(seen)
     if "display" not in found and ("hidden" in attrs or (tag == "dialog" and "open" not in attrs)):
-        return True
-    return ("display" in found and found["display"][3] == "none") or ("visibility" in found and found["visibility"][3] in ("hidden", "collapse"))
+        return True, visible
+    return "display" in found and found["display"][3] == "none", visible
+
+
+def _number(attrs: dict[str, str], name: str) -> int:
+    value = attrs.get(name, "1").strip()
+    return int(value) if re.fullmatch(r"[0-9]{1,3}", value) else 1
 
 
 def parse(html: str) -> Node:
@@ -185,8 +201,8 @@ def parse(html: str) -> Node:
     def pop() -> None:
         opened[stack.pop().tag] -= 1
 
-    def push(tag: str, hidden: bool = False, start: int = 1) -> None:
-        node = Node(tag, hidden, start)
+    def push(tag: str, hidden: bool = False, start: int = 1, rows: int = 1, visible: bool | None = None) -> None:
+        node = Node(tag, hidden, start, rows, visible)
         stack[-1].children.append(node)
         stack.append(node)
         opened[tag] = opened.get(tag, 0) + 1
@@ -242,16 +258,17 @@ def parse(html: str) -> Node:
             if tag != "tr" and stack[-1].tag in ("tbody", "thead", "tfoot"):
                 push("tr")
         foreign = opened.get("svg") or opened.get("math")
-        hidden = is_hidden(tag, attrs, rules) or bool(foreign and tag in FOREIGN_UNSEEN)
+        hidden, visible = display(tag, attrs, rules)
+        hidden = hidden or bool(foreign and tag in FOREIGN_UNSEEN)
         if (foreign or tag in ("svg", "math")) and raw.endswith("/") and tag not in VOID:
             continue  # such an element is empty
         if foreign and tag == "text":
             text(" ")  # texts of a drawing stand apart
         if tag == "details" and "open" not in attrs:
-            push("details", hidden, -1)
+            push("details", hidden, -1, visible=visible)
             continue
-        start = attrs.get("start" if tag == "ol" else "colspan", "1").strip()
-        push(tag, hidden, int(start) if re.fullmatch(r"[0-9]{1,3}", start) else 1)
+        start, down = (_number(attrs, "start" if tag == "ol" else "colspan"), _number(attrs, "rowspan")) if attrs else (1, 1)
+        push(tag, hidden, start, down, visible)
         if tag in VOID:
             pop()
         elif tag in RAW:
@@ -295,43 +312,60 @@ class Page:
             self.part.append(s)
 
 
-def align(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Lines of a table whose rows hold (text, columns); each column as wide as its widest cell of one column."""
-    width: dict[int, int] = {}
+def align(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table whose rows hold (lines, columns, rows); each column as wide as its widest line in cells of one column.
+    A row has as many lines as its highest cell; a cell of several rows stands in the first one and leaves its place free below."""
+    placed, held = [], {}
     for r in rows:
-        c = 0
-        for t, span in r:
-            if span == 1:
-                width[c] = max(width.get(c, 0), len(t))
+        own, c = [], 0
+        for lines, span, down in r:
+            while held.get(c):
+                c += 1
+            own.append((c, lines, span))
+            for j in range(c, c + span):
+                held[j] = down or len(rows)
             c += span
+        held = {c: n - 1 for c, n in held.items() if n > 1}
+        placed.append(own)
+    width: dict[int, int] = {}
+    for own in placed:
+        for c, lines, span in own:
+            if span == 1:
+                width[c] = max(width.get(c, 0), *map(len, lines), 0)
+    edge, at = {0: 0}, 0
+    for c in range(max((c + span for own in placed for c, _, span in own), default=0)):
+        at += width.get(c, 0) + 3
+        edge[c + 1] = at
     out = []
-    for r in rows:
-        line, c, want = "", 0, 0
-        for t, span in r:
-            if c:
-                line = line.ljust(want) + " | "
-            want = len(line) + sum(width.get(j, 0) for j in range(c, c + span)) + 3 * (span - 1)
-            line, c = line + t, c + span
-        out.append(line.rstrip())
+    for own in placed:
+        for k in range(max((len(lines) for _, lines, _ in own), default=0)):
+            line, last = "", max(j for j, (_, lines, _) in enumerate(own) if k < len(lines)) if k else len(own)
+            for j, (c, lines, _) in enumerate(own):
+                if c and j <= last:
+                    line = line.ljust(edge[c] - 3) + " | "
+                line += lines[k] if k < len(lines) else ""
+            out.append(line.rstrip())
     return out
 
 
 def render(root: Node) -> str:
     """The visible text of a tree."""
-    pages, tables, lists, pre = [Page()], [], [], 0
+    pages, tables, lists, pre, shown = [Page()], [], [], 0, [True]
     todo: list[tuple[str, object]] = [("in", root)]
     while todo:
         what, x = todo.pop()
         page = pages[-1]
         if isinstance(x, str):
-            page.add(x, pre > 0)
+            if shown[-1]:
+                page.add(x, pre > 0)
             continue
         tag = x.tag
         if what == "in":
             if x.hidden:
                 continue
             if tag == "br":
-                page.part.append("\n")
+                if shown[-1]:
+                    page.part.append("\n")
                 continue
             if tag in ("hr", "img", "input"):
                 if tag == "hr":
@@ -340,6 +374,7 @@ def render(root: Node) -> str:
             if tag in BLOCK:
                 page.flush(tag in APART and not (tag in ("ul", "ol") and lists))
             todo.append(("out", x))
+            shown.append(shown[-1] if x.visible is None else x.visible)
             kids = x.children
             if x.start == -1 and tag == "details":
                 kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
@@ -369,18 +404,22 @@ def render(root: Node) -> str:
                     kids = [kids[0][1:], *kids[1:]]
             todo += [("in", k) for k in reversed(kids)]
             continue
+        shown.pop()
         if tag in ("td", "th") and tables:
             page.flush()
             pages.pop()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((" ".join(s.strip() for s in page.lines if s.strip()), max(1, x.start)))
+            tables[-1][-1].append((page.lines, max(1, x.start), x.rows))
             continue
         if tag == "table":
             page.flush(True)
-            for line in align([r for r in tables.pop() if r]):
-                page.part = [line]
-                page.flush()
+            rows = align([r for r in tables.pop() if r])
+            if any(rows):
+                if page.gap and page.lines:
+                    page.lines.append("")
+                page.lines += [page.indent[: len(page.indent) - len(page.mark)] + page.mark + rows[0], *(page.indent + r if r else "" for r in rows[1:])]
+                page.mark = ""
             page.gap = True
             continue
         if tag in BLOCK:
@@ -406,9 +445,18 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     rest = others(pages, html, "page_text", "n_lines")
     kinds = dict(pages.dtypes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of rows of about RUN bytes, so that memory doesn't follow a batch's rows."""
         for b in batches:
-            got = [page_text(x) for x in b.column(html).to_pylist()]
+            size, first = np.cumsum(pc.fill_null(pc.binary_length(b.column(html)), 0).to_numpy(zero_copy_only=False)), 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + RUN)))
+                yield b.slice(first, last - first)
+                first = last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            got = [page_text(x.as_py()) for x in b.column(html)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(got, pa.string()), pa.array([sum(1 for x in g.split("\n") if x) for g in got], pa.int64())], names=[*rest, "page_text", "n_lines"])
 
     return pages.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "page_text string, n_lines long"]))

@@ -95,3 +95,34 @@ def test_rules_override_each_other():
 def test_text_of_drawings_and_formulas():
     assert htmltext.page_text("<p>x <svg><title>t</title><style>p{}</style><defs><text>no</text></defs><path d='M0 0'/><defs/><text>A</text><text>B</text></svg> y<svg/> z") == "x A B y z"
     assert htmltext.page_text("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>tex</annotation></semantics></math> holds") == "so x=1 holds"
+
+
+def test_cells_keep_their_blocks_and_places():
+    page = "<table><tr><td>a<td>b<p>two</p><tr><td rowspan=2>long cell<td>c<tr><td>d<br>e|<td>f</table>"
+    assert htmltext.page_text(page) == "a         | b\n          |\n          | two\nlong cell | c\n          | d   | f\n          | e|"
+    # a page laid out in a table keeps its paragraphs and lists
+    assert htmltext.page_text("<table><tr><td><p>One.</p><p>Two.</p><ul><li>x<li>y</ul></td></tr></table>after") == "One.\n\nTwo.\n\n- x\n- y\n\nafter"
+    assert htmltext.page_text("<table><tr><td rowspan=2 colspan=2>ab<td>1<tr><td>2<tr><td>x<td>y<td>z</table>") == "ab    | 1\n      | 2\nx | y | z"
+    nested = "<table><tr><td>k<td><table><tr><td>a<td>b<tr><td>cc<td>d</table><tr><td>m<td>n</table>"
+    assert htmltext.page_text(nested) == "k | a  | b\n  | cc | d\nm | n"
+
+
+def test_visible_inside_invisible():
+    assert htmltext.page_text("<div style='visibility:hidden'>no<br><b style='visibility:visible'>yes <i>too</i></b> no</div>on") == "yes too\non"
+    assert htmltext.page_text("<div style='display:none'>no <b style='visibility:visible'>no</b></div>on") == "on"
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for css in ("a" * 1_000_000, "a " * 500_000, "a;" * 500_000, "p{x:y}" * 150_000, '"' + '\\"' * 400_000, "'" * 500_001, "@media x{" * 100_000):
+        assert htmltext.page_text(f"<style>{css}</style>x") == "x"
+    for bad in ("<a " * 300_000, "<b '" * 200_000, "<style>" * 100_000):
+        assert htmltext.page_text(bad).strip() == ""
+    assert time.time() - began < 60
+
+
+def test_names_that_clash(spark):
+    d = spark.createDataFrame([(1, "<p>a", "x", 5)], "page_id long, html string, page_text string, n_lines long")
+    assert htmltext.extract(d).collect() == [(1, "a", 1)]

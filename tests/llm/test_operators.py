@@ -391,7 +391,6 @@ def test_packing_keeps_proportions_over_groups(spark):
     n = sum(share.values())
     # until a group runs out of a source, its windows hold the shares
     gaps = {k: max(abs(w[s] / sum(w.values()) - share[s] / n) for s in share) for k, w in window.items() if len(w) == 3}
-    print(sorted(gaps.values()))
     assert np.mean([g < 0.03 for g in gaps.values()]) > 0.6 and len({r.sequence_id >> 32 for r in got}) > 5
 
 
@@ -463,3 +462,75 @@ def test_skip_links_carry_labels():
     assert (both.index(" 555") + 1, 3, both.index(" 555") + 13) in found[0] and found[1] == []
     base, every = pii.all_spans([both], model, sure=0.5)[0]
     assert set(base) < set(every)
+
+
+def test_added_spans_are_the_plain_ones(spark, docs):
+    """The field's own spans against message passing on dictionaries, document by document, under the same weights."""
+    rng = np.random.default_rng(6)
+    model = {"unary": rng.normal(0, 1.5, (pii.CELLS, pii.LABELS)), "chain": rng.normal(0, 0.5, (pii.LABELS, pii.LABELS)), "same": np.array([1.5, 0.0])}
+    texts = [d.text for d in docs if d.text] + ["call 555-123-4567 or 555-123-4567 and a@b.cd, x@b.cd 12 12 12"]
+    texts += [" ".join(str(x) if x % 3 else f"w {x % 7} and {x}-{x % 10}" for x in rng.integers(10**6, 10**6 + 9, 6).tolist()) for _ in range(30)]
+    got, some = pii.all_spans(texts, model, sure=0.5), 0
+    for text, (base, every) in zip(texts, got, strict=True):
+        want = [s for s in plain_field(text, model, 0.5) if all(s[2] <= a or s[0] >= b for a, _, b in base)]
+        assert base == plain.personal(text) and every == sorted(base + want)
+        some += len(want)
+    assert some > 20
+
+
+def plain_field(text, model, sure):
+    found, feats, chain, skip = pii.graph(text)
+    labels = range(pii.LABELS)
+    own = [[sum(model["unary"][f][y] for f in fs) for y in labels] for fs in feats]
+    together = [[model["same"][0] * (a == b) for b in labels] for a in labels]
+    sides = {}
+    for some, table in ((chain, model["chain"]), (skip, together)):
+        for a, b in some:  # an edge may stand twice, once of each kind
+            sides[a, b, table is together] = [[table[x][y] for y in labels] for x in labels]
+            sides[b, a, table is together] = [[table[y][x] for y in labels] for x in labels]
+    into = {}
+    for a, b, kind in sides:
+        into.setdefault(b, []).append((a, b, kind))
+    say = {e: [0.0] * pii.LABELS for e in sides}
+    for _ in range(pii.ROUNDS):
+        new = {}
+        for a, b, kind in sides:
+            before = [own[a][x] + sum(say[e][x] for e in into.get(a, ()) if e != (b, a, kind)) for x in labels]
+            out = [max(before[x] + sides[a, b, kind][x][y] for x in labels) + math.log(sum(math.exp(before[x] + sides[a, b, kind][x][y] - max(before[z] + sides[a, b, kind][z][y] for z in labels)) for x in labels)) for y in labels]
+            new[a, b, kind] = [0.5 * say[a, b, kind][y] + 0.5 * (out[y] - max(out)) for y in labels]
+        say = new
+    spans = []
+    for k, (a, b, _) in enumerate(found):
+        total = [own[k][y] + sum(say[e][y] for e in into.get(k, ())) for y in labels]
+        p = np.exp(np.array(total) - max(total))
+        p /= p.sum()
+        if p.argmax() != pii.OUTSIDE and p.max() >= sure:
+            spans.append((a, int(p.argmax()), b))
+    return spans
+
+
+def test_long_words_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    for text in ("x" * 1_000_000, "x" * 500_000 + "1" + "y" * 499_999, "1" * 1_000_000, "a@" * 300_000):
+        pii.graph(text)
+        pii.base_spans(text)
+    assert time.time() - began < 30
+    d = spark.createDataFrame([(1, "x" * 1_000_000 + " a@b.cd", 1, "s")], "doc_id long, text string, n_email int, spans string")
+    (r,) = pii.find(d, pii.fit(d.select("doc_id", "text"))).collect()
+    assert (r.n_email, r.spans) == (1, "email:1000001:1000007") and len(r) == 8
+
+
+def test_a_row_a_hundred_thousand_times(spark):
+    """Copies of one row are dealt over all groups and cells, and each gets its result."""
+    n = 100_000
+    d = spark.range(n, numPartitions=8).selectExpr("cast(null as long) doc_id", "'one two three four five' text", "'a' source", "'en' lang", "1L n_chars")
+    d = d.unionByName(spark.range(100).selectExpr("id doc_id", "concat('six seven ', id) text", "'b' source", "'en' lang", "1L n_chars"))
+    got = packing.pack(d, length=64, window=4, group=20_000)
+    assert got.where("doc_id is null").agg(F.sum("length")).first()[0] == n * (len(ids_of("one two three four five")) + 1)
+    by = got.groupBy(F.shiftright("sequence_id", 32)).agg(F.sum("length").alias("n")).collect()
+    assert len(by) > 20 and max(r.n for r in by) < 40_000
+    mixed = mixing.mix(d, block=8, shard=100)
+    size = mixed.groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.sum("taken").alias("t"), F.max("taken").alias("most"), F.max("target").alias("target")).where("doc_id is null").first()
+    assert (size.size, size.n) == (5, n) and size.most <= 15 and abs(size.t / size.target - 1) < 0.01
