@@ -2,7 +2,11 @@
 to target weights, and what is left is packed into token sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and rereads
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs, deleting what a stage wrote for itself. All but the
+last return the columns of documents.
+
+Cases, in every stage: null and empty texts pass as documents without words (the mix takes none of them); null ids, repeated
+rows and very long texts are treated as the operators' own texts say; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabmill.llm import mixing, packing, pii, queries, simhash, toxicity
-from tabmill.llm.text import read, shared_table
+from tabmill.llm.text import read, settled
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole of documents."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = shared_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(spark, name.replace(" ", "-"), lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
