@@ -20,6 +20,8 @@ from tabmill.llm.text import words
 
 #: Cells of both multinomials. The model is this many doubles, whatever the input's size.
 BUCKETS = 262_144
+#: Most trusted ids (of 8 bytes) that go to every task; more are joined by a shuffle.
+SPREAD = 8_000_000
 #: Added to a cell's observed and expected target counts.
 PRIOR = 2.0
 #: Least mean log ratio of a document that is kept.
@@ -42,12 +44,13 @@ def cells_of(hw: Column, pairs: Column, buckets: int) -> Column:
     return F.transform(F.concat(hw, pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, spread: int = SPREAD) -> DataFrame:
     """One row, one array `model`: by cell, the log of its target over its raw probability (0 where it never occurs).
 
-    docs: doc_id, text; all rows count. trusted: doc_id; Spark decides by its size how it is joined.
+    docs: doc_id, text; all rows count. trusted: doc_id; its ids are counted, and broadcast if there are no more than `spread`.
     """
-    ids = trusted.select(F.col("doc_id").alias("_good")).distinct()
+    ids = trusted.select(F.col("doc_id").cast("long").alias("_good")).where("_good is not null").distinct()
+    ids = F.broadcast(ids) if ids.count() <= spread else ids
     seen = docs.select("doc_id", word_hashes(words(F.col("text"))).alias("hw")).join(ids, F.col("doc_id") == F.col("_good"), "left")
     seen = seen.select("_good", "hw", pair_hashes(F.col("hw")).alias("pairs"))
     seen = seen.select(F.explode(cells_of(F.col("hw"), F.col("pairs"), buckets)).alias("cell"), F.lit(1).alias("raw"), F.col("_good").isNotNull().cast("int").alias("good"))

@@ -272,6 +272,12 @@ def pair_of(a, b):
     return _HASHES[a, b]
 
 
+def test_trusted_ids_by_broadcast_or_shuffle(spark, sf):
+    d, good = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    a, b = (quality.fit_ratio(d, good, 64, spread=k).first().model for k in (quality.SPREAD, 0))
+    assert a == b and any(a)
+
+
 def test_quality_odd_rows(spark, odd, labels):
     rows = quality.quality(odd, bounded_sample(labels, "quality", {1: 10})).collect()
     want = sorted(((d[0] or 0), *plain.base_rules(d[1])) for d in plain.ODD)
