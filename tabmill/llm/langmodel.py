@@ -145,51 +145,51 @@ def fresh(share: np.ndarray) -> dict[str, np.ndarray]:
     return {"r": rng.normal(0, 0.1, (OWN + HASHED + 1, WIDTH)).astype("f4"), "q": q.astype("f4"), "place": np.full((CONTEXT, WIDTH), 0.5, "f4")}
 
 
-def _guess(tables: list[np.ndarray], h: np.ndarray) -> np.ndarray:
-    """The contexts' vectors, with a last column of ones for the bias."""
-    out = np.ones((len(h), WIDTH + 1), "f4")
-    own = out[:, :WIDTH]
-    own[:] = tables[0][h[:, 0]]
-    for k in range(1, CONTEXT):
-        own += tables[k][h[:, k]]
-    return out
-
-
 def train(model: dict[str, np.ndarray], square: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, share: np.ndarray, rng: np.random.Generator, batch: int = BATCH) -> None:
-    """One pass of noise-contrastive estimation over the words, in place; square: the gradients' summed squares."""
+    """One pass of noise-contrastive estimation over the words, in place; square: the gradients' summed squares. Large arrays are
+    made once and filled batch by batch."""
     log_noise = np.log(NOISE * share).astype("f4")
     edge = np.cumsum(share)
     r, q, place = model["r"], model["q"], model["place"]
+    batch = min(batch, max(1, len(target)))
+    seen, spread = np.empty((CONTEXT * batch, WIDTH), "f4"), np.empty((CONTEXT * batch, WIDTH), "f4")
+    guess, table = np.ones((batch, WIDTH + 1), "f4"), np.empty((batch, NOISE), "f4")
     for a in range(0, len(target), batch):
-        y, h = target[a : a + batch], context[a : a + batch]
+        y, h = target[a : a + batch], context[a : a + batch].T.ravel()
+        n = len(y)
         noise = np.minimum(np.searchsorted(edge, rng.random(NOISE)), len(share) - 1)
-        guess = _guess([r * p for p in place], h)
-        qy, qn = q[y], q[noise]
-        right = np.einsum("td,td->t", guess, qy) - log_noise[y]
-        wrong = guess @ qn.T
-        wrong -= log_noise[noise]
+        before = np.take(r, h, axis=0, out=seen[: len(h)], mode="clip").reshape(CONTEXT, n, WIDTH)
+        np.einsum("ktd,kd->td", before, place, out=guess[:n, :WIDTH])
+        g, wrong, qy, qn = guess[:n], table[:n], q[y], q[noise]
+        right = np.einsum("td,td->t", g, qy) - log_noise[y]
+        np.matmul(g, qn.T, out=wrong)
+        np.subtract(log_noise[noise], wrong, out=wrong)
         up = 1 / (1 + np.exp(np.clip(right, -30, 30)))
-        np.clip(wrong, -30, 30, out=wrong)
-        down = -1 / (1 + np.exp(-wrong))
-        back = np.ascontiguousarray((up[:, None] * qy + down @ qn)[:, :WIDTH])
+        np.exp(np.clip(wrong, -30, 30, out=wrong), out=wrong)
+        wrong += 1
+        down = np.divide(-1, wrong, out=wrong)
+        back = down @ qn[:, :WIDTH]
+        back += up[:, None] * qy[:, :WIDTH]
         gq = np.zeros_like(q)
-        _scatter(gq, y, up[:, None] * guess)
-        np.add.at(gq, noise, down.T @ guess)
-        gp = np.stack([np.einsum("td,td->d", back, r[h[:, k]]) for k in range(CONTEXT)])
+        _scatter(gq, y, up[:, None] * g)
+        np.add.at(gq, noise, down.T @ g)
+        gp = np.einsum("ktd,td->kd", before, back)
         # a context vector's gradient is the sum of `back` over where it stands, by place; most don't occur in a batch
-        at, gr = _summed(h.T.ravel(), np.concatenate([back * p for p in place]))
-        for name, on, g in (("q", slice(None), gq), ("place", slice(None), gp), ("r", at, gr)):
-            g /= len(y)
-            square[name][on] += g * g
-            model[name][on] += RATE * g / np.sqrt(square[name][on] + 1e-8)
+        parts = np.multiply(back[None], place[:, None], out=spread[: len(h)].reshape(CONTEXT, n, WIDTH)).reshape(-1, WIDTH)
+        at, gr = _summed(h, parts, seen)
+        for name, on, grad in (("q", slice(None), gq), ("place", slice(None), gp), ("r", at, gr)):
+            grad /= n
+            square[name][on] += grad * grad
+            model[name][on] += RATE * grad / np.sqrt(square[name][on] + 1e-8)
 
 
-def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers of at, and the sums of their rows."""
+def _summed(at: np.ndarray, rows: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of at, and the sums of their rows. room: an array to sort the rows in."""
     order = np.argsort(at.astype(np.int16), kind="stable")
     own = at[order]
     first = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
-    return own[first], np.add.reduceat(rows[order], first, axis=0)
+    rows = rows[order] if room is None else np.take(rows, order, axis=0, out=room[: len(order)], mode="clip")
+    return own[first], np.add.reduceat(rows, first, axis=0)
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -200,17 +200,20 @@ def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 def log_probabilities(model: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, rows: int = 1024) -> np.ndarray:
     """Natural logs of the targets' normalised probabilities."""
-    tables = [model["r"] * p for p in model["place"]]
+    r, place = model["r"], model["place"]
     q, one = np.ascontiguousarray(model["q"].T), np.ones(len(model["q"]), "f4")
+    longest = np.sqrt((q * q).sum(0).max())
     out = np.empty(len(target))
+    seen, guess, scores = np.empty((CONTEXT * rows, WIDTH), "f4"), np.ones((rows, WIDTH + 1), "f4"), np.empty((rows, len(one)), "f4")
     for a in range(0, len(target), rows):
-        y = target[a : a + rows]
-        s = _guess(tables, context[a : a + rows]) @ q
-        own = s[np.arange(len(y)), y].astype(float)
-        top = float(s.max())
-        if top > 60:  # else no exponential overflows
+        y, h = target[a : a + rows], context[a : a + rows].T.ravel()
+        n = len(y)
+        before = np.take(r, h, axis=0, out=seen[: len(h)], mode="clip").reshape(CONTEXT, n, WIDTH)
+        np.einsum("ktd,kd->td", before, place, out=guess[:n, :WIDTH])
+        s = np.matmul(guess[:n], q, out=scores[:n])
+        if np.sqrt(np.einsum("td,td->t", guess[:n], guess[:n]).max()) * longest > 60:  # else no exponential overflows
             s -= s.max(1, keepdims=True)
-            own = s[np.arange(len(y)), y].astype(float)
+        own = s[np.arange(n), y].astype(float)
         np.exp(s, out=s)
         out[a : a + rows] = own - np.log(s @ one)
     return out
