@@ -284,8 +284,8 @@ def fit(docs: DataFrame, learn: Column | None = None) -> tuple[dict[str, np.ndar
         return {k: mean[[row[f"{k}{i}"] for i in range(len(x))], : x.shape[1]].astype("f4") for k, x in start.items()}
 
     h = F.xxhash64("text")
-    some = docs.select(h.alias("h")).orderBy("h").limit(START_DOCS)
-    few = docs.join(F.broadcast(some.distinct()), h == F.col("h"), "left_semi").dropDuplicates(["text"])
+    some = docs.select(h.alias("h")).distinct().orderBy("h").limit(START_DOCS)
+    few = docs.join(F.broadcast(some), h == F.col("h"), "left_semi").dropDuplicates(["text"])
     model = averaged(few.coalesce(1), model, START_PASSES, START_BATCH)
     return averaged(docs, model, 1, BATCH), words, counts
 

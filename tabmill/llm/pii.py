@@ -10,7 +10,8 @@ entity label has a marginal of `sure` or more, and that no pattern has found, ar
 The sample is bounded by two parameters: `sample_docs` documents, by hash, and `sample_words` nodes of each, at even steps from
 its start to its end (their neighbours are counted whether they are among these or not).
 
-Cases: null and empty texts have no spans. Rows that repeat and null ids are treated alone. An empty table gives no rows.
+Cases: null and empty texts have no spans. Rows that repeat and null ids are treated alone, but a row that repeats is learned
+from once. An empty table gives no rows.
 Very long texts are read whole; a batch's texts are taken in runs of about two million characters. Other columns pass through
 find() untouched, but those that have the names of its own columns give way.
 """
@@ -184,8 +185,10 @@ def _sample_rows(text: str, most: int = SAMPLE_WORDS) -> list[dict]:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, steps: int = 120, rate: float = 0.2) -> dict[str, np.ndarray]:
     """The field's weights, from the patterns' labels on at most sample_docs documents of sample_words nodes each. docs: doc_id, text."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample_docs)
-    texts = docs.join(F.broadcast(some), F.xxhash64("doc_id", "text") == F.col("h"), "left_semi").select("text")
+    h = F.xxhash64("doc_id", "text").alias("h")
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(h).distinct().orderBy("h").limit(sample_docs)
+    # a row that repeats is one document here, so that it neither fills the sample nor makes it larger
+    texts = docs.select(h, "text").join(F.broadcast(some), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).select("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,8 +196,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
             if got:
                 yield pa.RecordBatch.from_pylist(got, pa.schema([("f", pa.list_(pa.int32())), ("y", pa.int32()), ("near", pa.list_(pa.int32()))]))
 
-    # copies of a chosen document count as often as they occur, up to the sample's bound
-    got = texts.mapInArrow(rows, "f array<int>, y int, near array<int>").limit(sample_docs * sample_words).toArrow()
+    got = texts.mapInArrow(rows, "f array<int>, y int, near array<int>").toArrow()
     unary, chain, same = np.zeros((CELLS, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(2)
     if not got.num_rows:
         unary[:, OUTSIDE] = 1.0

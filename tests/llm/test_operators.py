@@ -515,6 +515,15 @@ def plain_field(text, model, sure):
     return spans
 
 
+def test_a_repeated_row_is_learned_from_once(spark):
+    """Wherever its hash lies among the others', it doesn't fill the sample."""
+    d = spark.createDataFrame([(k, f"call +1 555 010 {k:04d} or write to user{k}@example.org, part 77{k}") for k in range(30)], "doc_id long, text string")
+    one = pii.fit(d, sample_docs=10)
+    for k in range(0, 30, 3):
+        more = pii.fit(d.union(d.where(F.col("doc_id") == k).crossJoin(spark.range(20)).select("doc_id", "text")), sample_docs=10)
+        assert all(np.array_equal(one[x], more[x]) for x in one)
+
+
 def test_long_words_take_linear_time(spark):
     import time
 
