@@ -53,6 +53,11 @@ def cell(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CELLS
 
 
+def cell_of(word: Column) -> Column:
+    """cell() of a column of words."""
+    return (F.crc32(F.when(F.length(word) > 3, F.substring(word, -3, 3)).otherwise(word)) % CELLS).cast("int")
+
+
 def hashed(word: bytes) -> int:
     return OWN + zlib.crc32(word) % HASHED
 
@@ -72,7 +77,7 @@ def chunks(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[tuple[i
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (in UTF-8; the end token is empty), cell, c (in rows to learn from), every (in all rows). docs: text (binary), learn."""
-    schema = pa.schema([("word", pa.binary()), ("cell", pa.int32()), ("c", pa.int64()), ("every", pa.int64())])
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("every", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
@@ -80,7 +85,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for learn, some in enumerate(got):
                 n = pa.array(list(some.values()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array(list(map(cell, some)), pa.int32()), n if learn else pa.array(np.zeros(len(some), np.int64)), n], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), n if learn else pa.array(np.zeros(len(some), np.int64)), n], schema=schema)
                 some.clear()
 
         for b in batches:
@@ -92,8 +97,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield from out()
         yield from out()
 
-    made = docs.select("text", F.col("learn").cast("int").alias("learn")).mapInArrow(count, "word binary, cell int, c long, every long")
-    return made.groupBy("word", "cell").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
+    made = docs.select("text", F.col("learn").cast("int").alias("learn")).mapInArrow(count, "word binary, c long, every long")
+    made = made.groupBy("word").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
+    return made.select("word", cell_of(F.col("word")).alias("cell"), "c", "every")
 
 
 class Words:
@@ -122,8 +128,10 @@ class Words:
         every = [x for w in part for x in w]
         at = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
         cls, ctx = (x[at] if len(x) else np.zeros(len(every), np.int32) for x in (self.cls, self.ctx))
-        for k in np.nonzero(at < 0)[0].tolist():
-            cls[k], ctx[k] = OWN + cell(every[k]), hashed(every[k])
+        rare = np.nonzero(at < 0)[0]
+        words = [every[k] for k in rare.tolist()]
+        cls[rare] = OWN + np.fromiter((zlib.crc32(w[-3:]) for w in words), np.int64, len(words)) % CELLS
+        ctx[rare] = OWN + np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % HASHED
         return at, cls, ctx, size
 
 
@@ -170,32 +178,24 @@ def train(model: dict[str, np.ndarray], square: dict[str, np.ndarray], target: n
         down = np.divide(-1, wrong, out=wrong)
         back = down @ qn[:, :WIDTH]
         back += up[:, None] * qy[:, :WIDTH]
-        gq = np.zeros_like(q)
-        _scatter(gq, y, up[:, None] * g)
+        gq = _sums(y, up[:, None] * g, len(q))
         np.add.at(gq, noise, down.T @ g)
         gp = np.einsum("ktd,td->kd", before, back)
         # a context vector's gradient is the sum of `back` over where it stands, by place; most don't occur in a batch
         parts = np.multiply(back[None], place[:, None], out=spread[: len(h)].reshape(CONTEXT, n, WIDTH)).reshape(-1, WIDTH)
-        at, gr = _summed(h, parts, seen)
+        at = np.flatnonzero(np.bincount(h, minlength=len(r)))
+        gr = _sums(h, parts, len(r))[at]
         for name, on, grad in (("q", slice(None), gq), ("place", slice(None), gp), ("r", at, gr)):
             grad /= n
             square[name][on] += grad * grad
             model[name][on] += RATE * grad / np.sqrt(square[name][on] + 1e-8)
 
 
-def _summed(at: np.ndarray, rows: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers of at, and the sums of their rows. room: an array to sort the rows in."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    own = at[order]
-    first = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
-    rows = rows[order] if room is None else np.take(rows, order, axis=0, out=room[: len(order)], mode="clip")
-    return own[first], np.add.reduceat(rows, first, axis=0)
-
-
-def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """out[at] += rows, where at repeats."""
-    on, sums = _summed(at, rows)
-    out[on] += sums
+def _sums(at: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """(most, width): the sum of the rows of each number in at. One count over flat places is faster than sorting rows of so few numbers."""
+    width = rows.shape[1]
+    flat = at.astype(np.int64)[:, None] * width + np.arange(width)
+    return np.bincount(flat.ravel(), rows.ravel(), most * width).reshape(most, width).astype("f4")
 
 
 def log_probabilities(model: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, rows: int = 1024) -> np.ndarray:
@@ -299,7 +299,6 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], words: Words, counts: D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = sent.value
         for b in batches:
-            ids, hashes = b.column("doc_id").to_pylist(), b.column("h").to_pylist()
             for first, part in chunks(b.column("text").to_pylist()):
                 at, cls, ctx, size = words.classes(part)
                 logs = log_probabilities(model, cls, contexts(ctx, size)) / np.log(10)
@@ -309,23 +308,28 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], words: Words, counts: D
                 logs += np.where(seen, words.inside[at], 0.0) if len(words.base) else 0.0
                 start = np.cumsum(size) - size
                 sums = [np.add.reduceat(x, start) for x in (known.astype("i8"), base, logs)]
-                rest: list[tuple] = []
-                for k, w in enumerate(part):
-                    own = np.nonzero(~seen[start[k] : start[k] + size[k]])[0]
-                    if len(own):
-                        rest += [(first + k, x, m) for x, m in Counter(w[j] for j in own.tolist()).items()]
-                m = len(part)
-                who = [*range(first, first + m), *(r[0] for r in rest)]
-                zero = [0] * len(rest)
-                cols = [[ids[k] for k in who], [hashes[k] for k in who], [1] * m + zero, size.tolist() + zero, sums[0].tolist() + zero, sums[1].tolist() + [0.0] * len(rest), sums[2].tolist() + [0.0] * len(rest), [None] * m + [r[1] for r in rest], [0] * m + [r[2] for r in rest]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                absent = np.nonzero(~seen)[0]
+                edge = np.searchsorted(absent, np.append(start, len(at)))
+                rest, times, many = [None] * len(part), [0] * len(part), np.zeros(len(part), np.int64)
+                for k in np.nonzero(np.diff(edge))[0].tolist():
+                    w = part[k]
+                    got = Counter(w[j] for j in (absent[edge[k] : edge[k + 1]] - start[k]).tolist())
+                    rest += got
+                    times += got.values()
+                    many[k] = len(got)
+                who = np.arange(first, first + len(part))
+                who, fill = pa.array(np.concatenate([who, np.repeat(who, many)])), len(rest) - len(part)
+                cols = [np.ones(len(part), np.int64), size, *sums]
+                cols = [pa.array(np.concatenate([c, np.zeros(fill, c.dtype)])) for c in cols]
+                cols = [b.column("doc_id").take(who), b.column("h").take(who), *cols, pa.array(rest, pa.binary()), pa.array(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     d = d.mapInArrow(run, "doc_id long, h long, rows long, n long, known long, base double, score double, word binary, times long")
     tail = counts.select(F.col("word").alias("_word"), F.col("c").alias("_c"))
     d = d.join(tail, F.col("word") == F.col("_word"), "left")
     c = F.coalesce("_c", F.lit(0))
-    room = F.get(F.array(*(F.lit(float(x)) for x in words.room)), (F.crc32(F.when(F.length("word") > 3, F.expr("substring(word, -3, 3)")).otherwise(F.col("word"))) % CELLS).cast("int"))
+    room = F.get(F.array(*(F.lit(float(x)) for x in words.room)), cell_of(F.col("word")))
     other = F.col("word").isNotNull()
     d = d.select(
         "doc_id", "h", "rows", "n",
