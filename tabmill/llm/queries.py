@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmill.llm import ann, histogram, htmltext, langmodel, mixing, packing, pii, simhash, toxicity
+from tabmill.llm import ann, conversations, histogram, htmltext, langmodel, mixing, packing, pii, simhash, toxicity
 from tabmill.llm import quality as quality_rules
 from tabmill.llm.text import in_fold, read
 
@@ -63,8 +63,13 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.damaged(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language_model": op2_language_model, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op5_mixture_packing": op5_mixture_packing, "op6_simhash_groups": op6_simhash_groups, "op7_token_counts": op7_token_counts, "op8_nearest_vectors": op8_nearest_vectors, "op9_personal_data": op9_personal_data, "op10_page_text": op10_page_text}
+    return {"op1_toxicity": op1_toxicity, "op2_language_model": op2_language_model, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op5_mixture_packing": op5_mixture_packing, "op6_simhash_groups": op6_simhash_groups, "op7_token_counts": op7_token_counts, "op8_nearest_vectors": op8_nearest_vectors, "op9_personal_data": op9_personal_data, "op10_page_text": op10_page_text, "op11_conversation_repair": op11_conversation_repair}
 
 
 NEAREST_SQL = """
