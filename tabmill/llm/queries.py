@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmill.llm import ann, conversations, histogram, htmltext, langmodel, mixing, packing, pii, simhash, toxicity
+from tabmill.llm import ann, conversations, histogram, htmltext, importance, langmodel, mixing, packing, pii, simhash, spotsigs, toxicity
 from tabmill.llm import quality as quality_rules
 from tabmill.llm.text import in_fold, read
 
@@ -68,8 +68,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(rows, conversations.damaged(rows))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compared(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language_model": op2_language_model, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op5_mixture_packing": op5_mixture_packing, "op6_simhash_groups": op6_simhash_groups, "op7_token_counts": op7_token_counts, "op8_nearest_vectors": op8_nearest_vectors, "op9_personal_data": op9_personal_data, "op10_page_text": op10_page_text, "op11_conversation_repair": op11_conversation_repair}
+    return {"op1_toxicity": op1_toxicity, "op2_language_model": op2_language_model, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op5_mixture_packing": op5_mixture_packing, "op6_simhash_groups": op6_simhash_groups, "op7_token_counts": op7_token_counts, "op8_nearest_vectors": op8_nearest_vectors, "op9_personal_data": op9_personal_data, "op10_page_text": op10_page_text, "op11_conversation_repair": op11_conversation_repair, "op12_importance_resampling": op12_importance_resampling, "op13_document_fingerprints": op13_document_fingerprints}
 
 
 NEAREST_SQL = """
