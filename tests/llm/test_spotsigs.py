@@ -63,7 +63,7 @@ def test_query(spark, sf):
 
 
 def test_equal_texts_and_odd_rows(spark):
-    rows = [(9, None), (8, ""), (7, " \n"), (6, "the A b the c"), (5, "THE a B the c"), (4, "of"), (None, "zé of ü the"), (3, "the " * 50_000 + "end of it all"), (-(1 << 63), "least of all the ids"), ((1 << 63) - 1, "largest of all the ids")]
+    rows = [(9, None), (8, ""), (7, " \n"), (6, "the A b the c"), (5, "THE a B the c"), (4, "of"), (None, "zé of ü the"), (3, "the " * 2_000 + "end of it all"), (-(1 << 63), "least of all the ids"), ((1 << 63) - 1, "largest of all the ids")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit("x")).withColumn("near_next", F.lit(1))
     found = spotsigs.compared(docs, ["the", "of"])
     agree(answers(found), plain_compared(rows, {"the", "of"}))
@@ -99,4 +99,4 @@ def test_matches_against_all_pairs(spark, threshold):
             if j >= threshold:
                 want[q, k] = j
     got = {(r.query_id, r.doc_id): r.likeness for r in spotsigs.matches(prints.where("doc_id % 5 = 0"), prints, threshold).collect()}
-    assert got.keys() == want.keys() and len(want) > 60 and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert got.keys() == want.keys() and len(want) > 50 and all(got[k] == pytest.approx(want[k]) for k in want)
