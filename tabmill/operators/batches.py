@@ -27,6 +27,18 @@ def batch_plan(spark: SparkSession, n_tables: int, batch_size: int, num_steps: i
     return plan.select("*", F.explode(F.sequence(at, F.least(at + batch_size, F.lit(n_tables)) - 1)).alias("dataset_pos"))
 
 
+def plan_ranges(n_tables: int, batch_size: int, num_steps: int, epochs: int = 1, start: int = 0) -> list[tuple[int, int]]:
+    """The places that a batch_plan() of these numbers reads, as at most two ranges (from, up to)."""
+    batches = epochs * num_steps
+    if not n_tables or batches < 1:
+        return []
+    first = -(-(n_tables - start) // batch_size)
+    if batches <= first:
+        return [(start, min(start + batches * batch_size, n_tables))]
+    again = min((batches - first) * batch_size, n_tables)
+    return [(0, n_tables)] if again >= start else [(start, n_tables), (0, again)]
+
+
 def start_of_epoch(epoch: int, num_steps: int, batch_size: int, n_tables: int) -> int:
     """The place where the batches of an epoch (from 0) start, for resuming."""
     each = -(-n_tables // batch_size)

@@ -125,6 +125,34 @@ def s4(spark, sf_dir):
     return by.join(sizes.select("dataset_id", "split_index"), "dataset_id").withColumn("problem_type", F.lit(facts["problem_type"]))
 
 
+@query("s4_append", "SELECT place // 8 AS batch_no, place AS dataset_pos, dataset_id, count(*) AS n_rows, round(sum(x0), 4) AS x0_sum, any_value(split_index) AS split_index FROM tt JOIN (SELECT dataset_id, row_number() OVER (ORDER BY dataset_id % 3, dataset_id) - 1 AS place FROM datasets) USING (dataset_id) GROUP BY place, dataset_id", (EV,))
+def s4_append(spark, sf_dir):
+    """A collection that is started and appended to twice, read back batch by batch: positions go on from append to append."""
+    rows = written(X.event_rows(spark, sf_dir).select("dataset_id", "row_idx", "x", "y"), "events")
+    path = scratch(spark, "collection")
+    for k in range(3):
+        part = rows.where(F.col("dataset_id") % 3 == k)
+        C.write_collection(part, C.describe(part), path, "classification", 5, BATCH, "append" if k else "overwrite")
+    c = C.open_collection(spark, path)
+    d = c.scan(BATCH, -(-c.n_tables // BATCH))
+    return d.groupBy("batch_no", "dataset_pos", "dataset_id").agg(F.count("*").alias("n_rows"), F.round(F.sum(F.get("x", F.lit(0))), 4).alias("x0_sum"), F.first("split_index").alias("split_index"))
+
+
+WRAPPED = """
+steps AS (SELECT k AS batch_no, CASE WHEN k < 2 THEN n - 12 + k * 8 ELSE (k - 2) * 8 END AS lo, n FROM range(0, 4) g(k) CROSS JOIN (SELECT count(*) AS n FROM datasets)),
+members AS (SELECT batch_no, unnest(range(lo, least(lo + 8, n))) AS dataset_pos FROM steps)"""
+
+
+@query("s1_pruned_scan", "SELECT batch_no, dataset_pos, dataset_id, row_idx, round(x0, 6) AS x0, y, split_index FROM members JOIN tt USING (dataset_pos)", (EV, WRAPPED))
+def s1_pruned(spark, sf_dir):
+    """Four batches of a stored collection, from twelve tables before its end on: the blocks between are not read."""
+    rows, datasets = X.event_tables(spark, sf_dir)
+    path = scratch(spark, "collection")
+    C.write_collection(rows.select("dataset_id", "row_idx", "x", "y"), datasets, path, "classification", 5, BATCH, block_tables=16)
+    c = C.open_collection(spark, path)
+    return c.scan(BATCH, 4, start=c.n_tables - 12).select("batch_no", "dataset_pos", "dataset_id", "row_idx", r6(F.get("x", F.lit(0))).alias("x0"), "y", "split_index")
+
+
 LONGEST, WIDEST = 128, 5
 
 
