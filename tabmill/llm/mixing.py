@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabmill.llm.text import shared_table, words
+from tabmill.llm.text import row_hash, shared_table, words
 
 #: Words in a block.
 BLOCK = 32
@@ -146,8 +146,11 @@ def block_uses(plan: DataFrame, shard: int, passes: int) -> DataFrame:
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and _h, a hash of the row's contents: rows that agree in doc_id and _h are the same row."""
-    h = F.xxhash64(F.lit(SEED), F.col("text"), F.col("source"), F.col("lang") if "lang" in docs.columns else F.lit(0))
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), h.alias("_h"))
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), _contents(docs).alias("_h"))
+
+
+def _contents(docs: DataFrame) -> Column:
+    return row_hash(F.col("text"), F.col("source"), F.col("lang") if "lang" in docs.columns else F.lit(0))
 
 
 def mix_parts(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard: int = SHARD, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
@@ -203,8 +206,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block
     used = parts.where("size > 0 and uses > 0").groupBy("doc_id", "_h", "first_word", "size").agg(F.array_sort(F.collect_list(F.struct("lead", "part", "uses"))).alias("used"))
     used = used.select("doc_id", "_h", "size", F.explode(F.array(*(_in_pass(p) for p in range(1, passes + 1)))).alias("used")).where(F.size("used") > 0)
     used = used.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "used", (F.aggregate("used", F.lit(0).cast("long"), lambda a, x: a + x.part) == F.col("size")).alias("whole"))
-    h = F.xxhash64(F.lit(SEED), F.col("text"), F.col("source"), F.col("lang"))
-    text = docs.select("doc_id", "text", "lang", "source").withColumn("_h", h).groupBy("doc_id", "_h").agg(*(F.first(c).alias(c) for c in ("text", "lang", "source")))
+    text = docs.select("doc_id", "text", "lang", "source", _contents(docs).alias("_h")).groupBy("doc_id", "_h").agg(*(F.first(c).alias(c) for c in ("text", "lang", "source")))
     d = text.join(used, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")))
     # the words are a lambda's argument, so that they are split once a document and not once a part
     parts_of = lambda w: F.array_join(F.flatten(F.transform("used", lambda x: F.slice(w, (x.lead + 1).cast("int"), x.part.cast("int")))), " ")

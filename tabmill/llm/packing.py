@@ -1,18 +1,19 @@
 """Packing documents into token sequences, to target proportions of sources.
 
-Documents are encoded once, into a written table, and dealt into groups of about GROUP tokens. Each source's documents, in an
-order by hash, are cut into as many equal runs of tokens as there are groups (at the bounds of CELLS cells a group), so that a
-group holds its share of every source, but for about a cell or a document. In a group each source has a queue. Deficit
-round-robin fills one window after another: a source's deficit grows by its share of the window, as many of its tokens are
-taken as the deficit allows, and what isn't taken is carried on. From group to group deficits are carried too, whole: what a
-source owes or is owed when a group starts follows from the token counts of the groups before it, by its share of all tokens.
-All tokens are packed, each once; once a source's queue is empty, the others share its part. A window is WINDOW sequences of
-`length` tokens; documents are cut where a source's turn or a sequence ends. What is left at a group's end fills sequences
-whose lengths are powers of two, so nothing is padded.
+Documents are encoded once, into a written table, and dealt into groups of about GROUP tokens. What a group holds of each source
+is fixed to the token: were all tokens dealt at the target proportions, a source that is used up leaving its part to the others,
+then a group is what is dealt from its first token to its last. So each source's documents, in an order by hash, are cut into
+one run a group, documents included; the cells (by hash) that a cut goes through are sent to both groups, which cut them there.
+In a group each source has a queue. Deficit round-robin fills one window after another: a source's deficit grows by its share of
+the window, as many of its tokens are taken as the deficit allows, and what isn't taken is carried on; from group to group, what
+is carried is the fraction of a token that the cut left. All tokens are packed, each once. Sources without a weight come when
+those with one are used up, by their tokens. A window is WINDOW sequences of `length` tokens; documents are cut where a source's
+turn, a group or a sequence ends. What is left at a group's end fills sequences whose lengths are powers of two, so nothing is
+padded.
 
 Cases: a null or empty text is the end token alone. A null source is a source of its own. Null ids are packed like any other.
 Repeated rows are told apart by a number within their task, and so are dealt over all groups. An empty table gives no rows.
-Very long texts are encoded whole; one makes its group larger. Other columns are ignored.
+Very long texts are encoded whole, and cut between groups like others. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,27 +73,28 @@ def deal(queues: dict[str, deque], share: dict[str, float], owed: dict[str, floa
     debt = {s: owed.get(s, 0.0) for s in queues}
     order = sorted(queues)
     while total := sum(left.values()):
-        room = min(window, total)
-        live = [s for s in order if left[s]]
-        whole = sum(share[s] for s in live) or 1.0
-        take = {}
-        for s in live:
-            debt[s] += room * share[s] / whole
-            take[s] = min(left[s], max(0, int(debt[s])), room)
-        over = sum(take.values()) - room
-        # rounding, debts and empty queues: the window is filled exactly, from those that are owed most
-        for s in sorted(live, key=lambda s: (take[s] - debt[s], s), reverse=over > 0):
-            if over > 0:
-                cut = min(over, take[s])
-                take[s] -= cut
-                over -= cut
-            elif over < 0:
-                more = min(-over, left[s] - take[s])
-                take[s] += more
-                over += more
-        for s in live:
+        room, take = min(window, total), dict.fromkeys(order, 0)
+        # sources with a share first; the others, by their tokens, have what these leave
+        for tier in ([s for s in order if share[s] > 0], [s for s in order if share[s] <= 0]):
+            rest = fresh = min(room, sum(left[s] for s in tier))
+            room -= rest
+            while fresh >= 1 and (live := [s for s in tier if take[s] < left[s]]):
+                weight = {s: share[s] if share[s] > 0 else left[s] for s in live}
+                whole = sum(weight.values())
+                for s in live:
+                    debt[s] += fresh * weight[s] / whole
+                    k = min(left[s] - take[s], max(0, int(debt[s])), rest)
+                    take[s], debt[s], rest = take[s] + k, debt[s] - k, rest - k
+                # what an empty queue is still owed goes to the others
+                empty = [s for s in live if take[s] == left[s] and debt[s] > 0]
+                fresh = sum(debt[s] for s in empty)
+                debt |= dict.fromkeys(empty, 0.0)
+            # rounding: the window is filled exactly, a token each from those that are owed most
+            while rest:
+                for s in sorted((s for s in tier if take[s] < left[s]), key=lambda s: (-debt[s], s))[:rest]:
+                    take[s], debt[s], rest = take[s] + 1, debt[s] - 1, rest - 1
+        for s in order:
             k = take[s]
-            debt[s] -= k
             left[s] -= k
             while k:
                 doc, start, n = queues[s][0]
@@ -111,22 +113,84 @@ def lengths(total: int, length: int) -> list[int]:
     return [length] * (total // length) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def pack_group(docs: pa.Table, facts: pa.Table, length: int = LENGTH, window: int = WINDOW) -> pa.Table:
-    """One group's pieces."""
+class Schedule:
+    """How many tokens of a source the first groups hold, if all are dealt at target proportions.
+
+    sizes: tokens by source with a weight; total: of all sources. While sources with a weight are left, each has been dealt its
+    weight times a common level (or all it has); the levels at which one is used up are the corners.
+    """
+
+    def __init__(self, total: int, groups: int, weights: dict[str, float] | None = None, sizes: dict[str, int] | None = None):
+        self.total, self.groups = total, groups
+        self.weights = None if weights is None else {s: w for s, w in weights.items() if w > 0 and sizes.get(s)}
+        self.corners, level, dealt = [(0.0, 0.0)], 0.0, 0.0
+        left = dict(sorted((self.weights or {}).items(), key=lambda x: sizes[x[0]] / x[1]))
+        self.named = sum(sizes[s] for s in left)
+        whole = sum(left.values())
+        for s, w in list(left.items()):
+            top = sizes[s] / w
+            dealt += (top - level) * whole
+            level, whole = top, max(0.0, whole - w)
+            self.corners.append((dealt, level))
+
+    def at(self, group: int) -> int:
+        """The first token of a group, among all."""
+        return self.total * group // self.groups
+
+    def level(self, group: int) -> float:
+        """The common level when a group starts."""
+        t = self.at(group)
+        for (t0, v0), (t1, v1) in zip(self.corners, self.corners[1:], strict=False):
+            if t < t1:
+                return v0 + (v1 - v0) * (t - t0) / (t1 - t0)
+        return float("inf")
+
+    def dealt(self, source: str, size: int, group: int) -> tuple[int, float]:
+        """Tokens of a source before a group, and what it has been dealt beyond them."""
+        if group >= self.groups:
+            return size, 0.0
+        if self.weights is None:
+            return size * group // self.groups, size * group % self.groups / self.groups
+        if source in self.weights:
+            exact = min(float(size), self.weights[source] * self.level(group))
+            return (size, 0.0) if exact >= size else (int(exact), exact - int(exact))
+        rest, own = self.total - self.named, max(0, self.at(group) - self.named)
+        return size * own // max(rest, 1), 0.0
+
+    def share(self, source: str, size: int) -> float:
+        return size / max(self.total, 1) if self.weights is None else self.weights.get(source, 0.0)
+
+    def group_of(self, source: str, size: int, token: int) -> int:
+        """The group that holds a source's token."""
+        lo, hi = 0, self.groups - 1
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if self.dealt(source, size, mid)[0] <= token else (lo, mid - 1)
+        return lo
+
+
+def pack_group(docs: pa.Table, plan: Schedule, length: int = LENGTH, window: int = WINDOW) -> pa.Table:
+    """One group's pieces. docs: the documents of all cells that reach into it, with `before`, the tokens of their source in front
+    of their cell, and `all`, those of their source."""
     import zstandard
 
-    if not docs.num_rows:
-        return _PIECES.empty_table()
-    docs = docs.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("n", "ascending"), ("copy", "ascending")])
-    source, n, ids = docs.column("source").to_pylist(), docs.column("n").to_pylist(), docs.column("ids").to_pylist()
+    docs = docs.sort_by([("before", "ascending"), ("cell", "ascending"), ("h", "ascending"), ("doc_id", "ascending"), ("n", "ascending"), ("copy", "ascending")])
+    source, n, ids, cell, before, size = (docs.column(c).to_pylist() for c in ("source", "n", "ids", "cell", "before", "all"))
     group = docs.column("grp")[0].as_py()
     queues: dict[str, deque] = {}
+    share, owed, bounds, place = {}, {}, {}, {}
     for k, s in enumerate(source):
-        queues.setdefault(s, deque()).append([k, 0, n[k]])
-    f = {r["source"]: r for r in facts.to_pylist()}
-    sizes = lengths(sum(n), length)
+        if s not in bounds:
+            (lo, more), (hi, _) = plan.dealt(s, size[k], group), plan.dealt(s, size[k], group + 1)
+            bounds[s], owed[s], share[s] = (lo, hi), more, plan.share(s, size[k])
+        at = place.get((s, cell[k]), before[k])
+        place[s, cell[k]] = at + n[k]
+        first, last = max(at, bounds[s][0]), min(at + n[k], bounds[s][1])
+        if first < last:
+            queues.setdefault(s, deque()).append([k, first - at, last - first])
+    sizes = lengths(sum(q[2] for x in queues.values() for q in x), length)
     undo, out, seq, offset, opened = zstandard.ZstdDecompressor(), [], 0, 0, {}
-    for doc, start, m in deal(queues, {s: f[s]["share"] for s in queues}, {s: f[s]["owed"] for s in queues}, length * window):
+    for doc, start, m in deal(queues, share, owed, length * window):
         if doc not in opened:
             opened[doc] = np.frombuffer(undo.decompress(ids[doc], max_output_size=2 * n[doc]), "<u2").astype("<u4")
         while m:
@@ -149,25 +213,19 @@ def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, length: int = LEN
     d = d.withColumn("cell", F.pmod(F.when(F.col("copy") > 0, F.xxhash64("h", "copy")).otherwise(F.col("h")), F.lit(groups * CELLS)))
     cells = d.groupBy("source", "cell").agg(F.sum("n").alias("n"))
     whole = cells.groupBy("source").agg(F.sum("n").alias("all"))
-    cells = running_total(cells, ["source"], ["cell"], "n", "before", F.floor(F.col("cell") / 1024)).join(whole, "source")
-    # the middle of a cell decides: its source's tokens in equal runs
-    at = F.floor((F.col("before") + F.col("n") / 2) / F.col("all") * groups)
-    cells = shared_table(cells.select("source", "cell", "n", F.least(at, F.lit(groups - 1)).cast("long").alias("grp")), "cells")
+    named = None if weights is None else {"" if s is None else "=" + s: float(w) for s, w in weights.items()}
+    # only the sizes of sources that the caller named reach the driver
+    sizes = None if named is None else {r.source: r["all"] for r in whole.where(F.col("source").isin(*named)).collect()}
+    plan = Schedule(total, groups, named, sizes)
+    cells = running_total(cells, ["source"], ["cell"], "n", "before", F.floor(F.col("cell") / 1024)).join(whole, "source").select("source", "cell", "n", "before", "all")
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [(plan.group_of(s, a, at), plan.group_of(s, a, at + n - 1)) for s, n, at, a in zip(*(b.column(c).to_pylist() for c in ("source", "n", "before", "all")), strict=True)]
+            rows = pa.array([k for k, (lo, hi) in enumerate(spans) for _ in range(lo, hi + 1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("source", "cell", "before", "all")), pa.array([g for lo, hi in spans for g in range(lo, hi + 1)], pa.int64())], names=["source", "cell", "before", "all", "grp"])
+
+    cells = shared_table(cells.mapInArrow(reached, "source string, cell long, before long, all long, grp long"), "cells")
     # broadcast or not, as Spark decides by the written table's size
-    d = d.join(cells.select("source", "cell", "grp"), ["source", "cell"])
-    by = cells.groupBy("grp", "source").agg(F.sum("n").alias("n"))
-    by = running_total(by, ["source"], ["grp"], "n", "before", F.floor(F.col("grp") / 1024))
-    every = running_total(by.groupBy("grp").agg(F.sum("n").alias("n")).withColumn("one", F.lit(0)), ["one"], ["grp"], "n", "all_before", F.floor(F.col("grp") / 1024))
-    share = by.groupBy("source").agg((F.sum("n") / F.lit(max(total, 1))).alias("share"))
-    owed = (F.col("share") * F.col("all_before") - F.col("before")).alias("owed")
-    facts = by.join(every.select("grp", "all_before"), "grp").join(share, "source").select("grp", "source", "share", owed)
-    if weights is not None:
-        whole = sum(weights.values())
-        named = d.sparkSession.createDataFrame([("" if s is None else "=" + s, w / whole) for s, w in weights.items()], "source string, _w double")
-        facts = facts.join(named, "source", "left").select("grp", "source", F.coalesce("_w", F.lit(0.0)).alias("share"), "owed")
-    facts = shared_table(facts, "owed")
-
-    def one(a: pa.Table, b: pa.Table) -> pa.Table:
-        return pack_group(a, b, length, window)
-
-    return d.groupBy("grp").cogroup(facts.groupBy("grp")).applyInArrow(one, PIECES)
+    d = d.join(cells, ["source", "cell"])
+    return d.groupBy("grp").applyInArrow(lambda t: pack_group(t, plan, length, window), PIECES)

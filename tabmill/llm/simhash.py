@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabmill.llm.graph import components
-from tabmill.llm.text import others, shared_table
+from tabmill.llm.text import others, row_hash, shared_table
 
 BUDGET = 3
 #: Words in a shingle here; the contract of this operator names three.
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
 
 def first_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """documents with one row of each component: its smallest doc_id (null last); of rows that share it, one by their hashes."""
-    row = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
+    row = row_hash(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
     own = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_doc"), F.col("doc_id"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), row.alias("_row"), "text")
     found = near_duplicates(own.select("doc_id", "_id", "_row", "text"), budget)
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "_id", "_row")).alias("k")).select("k._id", "k._row")

@@ -22,6 +22,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def row_hash(*columns: Column) -> Column:
+    """A hash of values and of which of them are null (a null alone leaves a hash as it was)."""
+    return F.xxhash64(*(x for c in columns for x in (c.isNull(), c)))
+
+
 def others(df: DataFrame, *made: str) -> list[str]:
     """df's columns but for these names, in any case: what an operator makes takes the place of a column of its name."""
     return [c for c in df.columns if c.lower() not in made]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabmill.llm import ann, histogram, langmodel, mixing, packing, pii, quality, queries, tokens, toxicity
+from tabmill.llm import ann, histogram, langmodel, mixing, packing, pii, quality, queries, simhash, tokens, toxicity
 from tabmill.llm.text import bounded_sample
 from tests.llm import plain
 
@@ -383,21 +383,60 @@ def test_packing(spark, sf, docs):
     check_pieces(queries.op5_mixture_packing(spark, sf).collect(), {d.doc_id: d.text for d in docs})
 
 
-def test_packing_keeps_proportions_over_groups(spark):
+def plain_rounds(sizes, weights, groups, window):
+    """Tokens of each source in each window: one token at a time goes to the source that is furthest behind its weight."""
+    total, left, dealt, order = sum(sizes.values()), dict(sizes), {s: 0 for s in sizes}, []
+    while any(left.values()):
+        live = [s for s in left if left[s] and weights[s] > 0] or [s for s in left if left[s]]
+        s = min(live, key=lambda s: ((dealt[s] + 0.5) / (weights[s] or sizes[s]), s))
+        order.append(s)
+        dealt[s] += 1
+        left[s] -= 1
+    out = []
+    for g in range(groups):
+        own = order[total * g // groups : total * (g + 1) // groups]
+        out += [(g, k // window, collections.Counter(own[k : k + window])) for k in range(0, len(own), window)]
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0, None: 1.0}, {"b": 1.0, "absent": 5.0}])
+def test_packing_keeps_proportions_over_groups(spark, weights):
     rng = np.random.default_rng(1)
     rows = [(k, "word " * int(rng.integers(1, 400)), "ab"[int(k % 5 == 0)] if k % 11 else None) for k in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = packing.pack(d, length=256, window=4, group=20_000).collect()
+    got = packing.pack(d, length=256, window=4, group=20_000, weights=weights).collect()
     check_pieces(got, {k: t for k, t, _ in rows}, 256)
     own = {k: s for k, _, s in rows}
-    share, window = collections.Counter(), collections.defaultdict(collections.Counter)
+    sizes, window = collections.Counter(), collections.defaultdict(collections.Counter)
     for r in got:
-        share[own[r.doc_id]] += r.length
-        window[r.sequence_id // 4][own[r.doc_id]] += r.length
-    n = sum(share.values())
-    # until a group runs out of a source, its windows hold the shares
-    gaps = {k: max(abs(w[s] / sum(w.values()) - share[s] / n) for s in share) for k, w in window.items() if len(w) == 3}
-    assert np.mean([g < 0.03 for g in gaps.values()]) > 0.6 and len({r.sequence_id >> 32 for r in got}) > 5
+        sizes[own[r.doc_id]] += r.length
+        # windows follow each other inside a group; its last one has sequences of powers of two
+        window[r.sequence_id >> 32, min((r.sequence_id & 0xFFFFFFFF) // 4, sum(sizes.values()))][own[r.doc_id]] += r.length
+    groups = 1 + max(g for g, _ in window)
+    target = {s: sizes[s] if weights is None else weights.get(s, 0.0) for s in sizes}
+    want = plain_rounds({str(s): n for s, n in sizes.items()}, {str(s): w for s, w in target.items()}, groups, 1024)
+    full = [(g, k, c) for g, k, c in want if sum(c.values()) == 1024]
+    assert groups > 5 and len(full) > 60
+    for g, k, c in full:
+        assert sum(window[g, k].values()) == 1024
+        assert all(abs(window[g, k][s] - c[str(s)]) <= 3 for s in sizes), (g, k, window[g, k], c)
+    if weights is None:  # every window holds the shares
+        for w in window.values():
+            n = sum(w.values())
+            assert n < 1024 or all(abs(w[s] / n - sizes[s] / sum(sizes.values())) < 0.01 for s in sizes)
+
+
+def test_mixed_documents_tell_rows_apart_by_where_a_null_stands(spark):
+    rows = [(1, "one two three", "en", None, 13), (1, "one two three", None, "en", 13), (2, "four five six", "de", "en", 13)]
+    docs = spark.createDataFrame(rows, plain.DOCS)
+    got = {(r.lang, r.source) for r in mixing.mixed_documents(docs, passes=3).where("doc_id = 1").collect()}
+    assert got <= {("en", None), (None, "en")} and mixing.sized(docs).select("_h").distinct().count() == 3
+    both = [r for r in mixing.mixed_documents(docs, weights=(1.0,), passes=3).collect() if r.doc_id == 1]
+    took = {(r.source, r.doc_id): r.taken for r in mixing.mix(docs, weights=(1.0,)).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()}
+    assert sum(len(r.text.split()) for r in both) == sum(r.taken for r in mixing.mix(docs, weights=(1.0,)).where("doc_id = 1").collect()) and took
+    # of two rows of one id that differ by where a null stands, the near-duplicate stage keeps one, whole
+    kept = simhash.first_of_each(docs).where("doc_id = 1").collect()
+    assert [tuple(r) in rows for r in kept] == [True]
 
 
 def test_packing_odd_rows(spark, odd):
