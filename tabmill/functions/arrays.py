@@ -46,3 +46,22 @@ def clip(x: Column, bound: float = 100.0) -> Column:
 
 def cross_entropy(proba: Column, y: Column) -> Column:
     return -F.log(F.get(proba, y.cast("int")))
+
+
+def doubles(values: list[float]) -> Column:
+    """A literal array, of any length, in one expression."""
+    return F.expr(f"array({', '.join(f'double({str(float(v))!r})' for v in values)})").cast("array<double>")
+
+
+def place_in(x: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are below x, searched in two steps of about the square root of their number; null for null."""
+    if not bounds:
+        return F.when(x.isNotNull(), 0)
+    step = max(1, round(len(bounds) ** 0.5))
+    every, coarse = doubles(bounds), doubles(bounds[step - 1 :: step])
+
+    def fine(c: Column) -> Column:
+        return c * step + F.size(F.filter(F.slice(every, c * step + 1, step), lambda b: b < x))
+
+    found = F.get(F.transform(F.array(F.size(F.filter(coarse, lambda b: b < x))), fine), F.lit(0))
+    return F.when(x.isNotNull(), found)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabmill.operators.ranking import running_before
+from tabmill.sources.storage import written
+
 
 def positive_score(proba: Column) -> Column:
     """The positive class's probability of a two-class prediction; null for others."""
@@ -14,11 +17,12 @@ def positive_score(proba: Column) -> Column:
 def roc_auc(scored: DataFrame, keys: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
     """keys, roc_auc: ties count half; null if only one class occurs. positive: a boolean column.
 
-    Rows are collapsed to distinct scores before anything is ordered.
+    Rows are collapsed to distinct scores, so ties are together, and negatives below each are totalled by ranges of scores: no
+    task sorts a dataset.
     """
     by = scored.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("won", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2))
+    by = running_before(written(by, "scores"), keys, score, "n", "_below")
+    by = by.withColumn("won", F.col("p") * (F.col("_below") + F.col("n") / 2))
     return by.groupBy(*keys).agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("roc_auc"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabmill.functions.arrays import clip
-from tabmill.operators.ranking import global_rank
+from tabmill.operators.ranking import values_at
+from tabmill.sources.storage import written
 
 #: Added to a standard deviation before it divides.
 EPSILON = 1e-8
@@ -57,27 +58,26 @@ def bucket_edges(rows: DataFrame, n_buckets: int, max_y: int = 5_000_000) -> Dat
 
     rows: dataset_id, dataset_pos, row_idx, y. The first tables whose rows together don't exceed max_y count, each scaled by its
     own mean and deviation. What is left over after division by n_buckets is dropped from the end in stored order. An inner
-    edge is the middle of the two values beside it, the outer ones are the extremes. Only the ranks beside edges reach the driver.
+    edge is the middle of the two values beside it, the outer ones are the extremes. The values beside edges are selected, not
+    sorted for (values_at()); they alone reach the driver.
     """
     size = rows.groupBy("dataset_pos").agg(F.count("*").alias("n"))
     longest = size.agg(F.max("n")).first()[0] or 1
     used = rows.where(F.col("dataset_pos") < max_y // longest)
     stats = used.groupBy("dataset_id").agg(F.avg("y").alias("_mean"), F.stddev_samp("y").alias("_std"))
     z = used.join(stats, "dataset_id").select("dataset_pos", "row_idx", zscore(F.col("y"), F.col("_mean"), F.col("_std")).alias("z")).where("z is not null")
+    z = written(z, "scaled")
     n = z.count()
     if n < n_buckets:
         raise ValueError(f"{n} targets are too few for {n_buckets} buckets")
-    if n % n_buckets:
-        z = global_rank(z, ["dataset_pos", "row_idx"], "place").where(F.col("place") < n - n % n_buckets)
+    if rest := n % n_buckets:  # fewer rows than buckets: the first of them, from the end, is where the used ones stop
+        stop = z.orderBy(F.desc("dataset_pos"), F.desc("row_idx")).limit(rest).agg(F.min(F.struct("dataset_pos", "row_idx")).alias("at")).first()["at"]
+        z = z.where(F.struct("dataset_pos", "row_idx") < F.struct(F.lit(stop["dataset_pos"]), F.lit(stop["row_idx"])))
     m = n // n_buckets
-    ranked = global_rank(z.select("z"), ["z"], "rank")
-    at, last = F.col("rank"), m * n_buckets - 1
-    # which edges a value is beside: the extremes, and those where a bucket starts with it or ends with it
-    beside = F.array_compact(F.array(F.when(at == 0, 0), F.when(at == last, n_buckets), F.when((at > 0) & (at % m == 0), F.floor(at / m)), F.when((at < last) & ((at + 1) % m == 0), F.floor((at + 1) / m))))
-    edges = ranked.where((at % m == 0) | ((at + 1) % m == 0)).select(F.explode(beside).alias("edge"), "z").withColumn("edge", F.col("edge").cast("int"))
-    edges = edges.groupBy("edge").agg(F.avg("z").alias("at"))
-    nxt = Window.orderBy("edge")
-    return edges.select(F.col("edge").alias("bucket"), F.col("at").alias("lo"), F.lead("at").over(nxt).alias("hi")).where("hi is not null")
+    beside = sorted({0, n - rest - 1} | {k * m - j for k in range(1, n_buckets) for j in (0, 1)})
+    at = values_at(z.select("z"), "z", beside)
+    edge = [at[0], *((at[k * m - 1] + at[k * m]) / 2 for k in range(1, n_buckets)), at[n - rest - 1]]
+    return rows.sparkSession.createDataFrame([(k, edge[k], edge[k + 1]) for k in range(n_buckets)], "bucket int, lo double, hi double")
 
 
 def bucketize(rows: DataFrame, edges: DataFrame, value: str) -> DataFrame:

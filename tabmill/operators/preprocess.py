@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabmill.functions.numbers import to_number
 from tabmill.operators.ranking import global_rank
+from tabmill.sources.storage import written
 
 
 def present(df: DataFrame, name: str) -> Column:
@@ -37,15 +38,15 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n_rows, n_present, kind: as column_profile(), but a column is constant if its least and largest values agree, so
-    that one pass without distinct counts will do."""
+    """column, n_rows, n_present, kind, about_distinct: as column_profile(), but a column is constant if its least and largest
+    values agree, and distinct values are estimated (5 %), so that one pass without distinct counts will do."""
     aggs = [F.count("*").alias("rows")]
     for k, c in enumerate(columns):
         v = present(df, c)
         number = F.lit(None).cast("double") if dict(df.dtypes)[c].startswith(("timestamp", "date")) else as_number(df, c)
-        aggs += [F.count(v).alias(f"p{k}"), F.min(v).eqNullSafe(F.max(v)).alias(f"c{k}"), F.count(number).alias(f"n{k}")]
+        aggs += [F.count(v).alias(f"p{k}"), F.min(v).eqNullSafe(F.max(v)).alias(f"c{k}"), F.count(number).alias(f"n{k}"), F.approx_count_distinct(v, 0.05).alias(f"a{k}")]
     kind = lambda k: F.when(F.col(f"c{k}"), "dropped").when(F.col(f"p{k}") == F.col(f"n{k}"), "numeric").otherwise("categorical")
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col("rows").alias("n_rows"), F.col(f"p{k}").alias("n_present"), kind(k).alias("kind")) for k, c in enumerate(columns)))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col("rows").alias("n_rows"), F.col(f"p{k}").alias("n_present"), kind(k).alias("kind"), F.col(f"a{k}").alias("about_distinct")) for k, c in enumerate(columns)))
     return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -55,17 +56,28 @@ def as_number(df: DataFrame, name: str) -> Column:
     return to_number(v.cast("int") if dict(df.dtypes)[name] == "boolean" else v)
 
 
+def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value, n: how often each column has each value. Counted in each task first."""
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value")) for c in columns)))
+    return df.select(values.alias("v")).select("v.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def coded(counts: DataFrame) -> DataFrame:
+    """counts with code: a value's place among its column's, in byte order, from 0. The order is found in ranges of all columns'
+    values, so a column with most of them is not one task's."""
+    ranked = global_rank(counts, ["column", "value"], "_rank")
+    first = ranked.groupBy(F.col("column").alias("_c")).agg(F.min("_rank").alias("_first"))
+    return ranked.join(first, F.col("column") == F.col("_c")).withColumn("code", (F.col("_rank") - F.col("_first")).cast("double")).drop("_c", "_first", "_rank")
+
+
 def ordinal_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, value, code, n: each column's distinct values in byte order, from 0."""
-    values = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value")) for c in columns)))
-    counts = df.select(values.alias("v")).select("v.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
-    return counts.withColumn("code", (F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).cast("double"))
+    return coded(category_counts(df, columns))
 
 
 def most_frequent(codes: DataFrame) -> DataFrame:
-    """column, code: the most frequent one, the smallest of equals."""
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "code")
-    return codes.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("column", "code")
+    """column, code: the most frequent one, the smallest of equals. Each task keeps one of a column."""
+    return codes.groupBy("column").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("code"))
 
 
 @dataclass(frozen=True)
@@ -114,11 +126,15 @@ class TablePreprocessor:
         means = df.agg(*(F.avg(as_number(df, c)).alias(f"m{k}") for k, c in enumerate(numeric))).first() if numeric else []
         codes: dict[str, dict[str, float]] = {c: {} for c in categorical}
         fill: dict[str, float] = {}
+        # far too many categories are known from the first pass, before any value is shuffled; the rest from counts, before any sort
+        if wide := [c for c in categorical if facts[c].about_distinct > 1.5 * self.max_categories + 10]:
+            raise ValueError(f"more than {self.max_categories} categories: {', '.join(wide)}")
         if categorical:
-            table = ordinal_codes(df, categorical)
-            wide = table.groupBy("column").count().where(F.col("count") > self.max_categories).collect()
+            counts = written(category_counts(df, categorical), "categories")
+            wide = counts.groupBy("column").count().where(F.col("count") > self.max_categories).collect()
             if wide:
                 raise ValueError(f"more than {self.max_categories} categories: {', '.join(r.column for r in wide)}")
+            table = coded(counts)
             for r in table.orderBy("column", "code").collect():
                 codes[r.column][r.value] = r.code
             fill = {r.column: r.code for r in most_frequent(table).collect()}

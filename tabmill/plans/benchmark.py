@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabmill.operators import metrics as M
 from tabmill.operators.estimators import InContextClassifier, InContextRegressor
+from tabmill.sources.storage import written
 
 PREDICTIONS = "dataset string, fold int, row_id long, y_true double, y_pred double, proba array<double>"
 
@@ -61,6 +62,7 @@ def predict_with(rows: DataFrame, predictor: Callable[[pd.DataFrame, pd.DataFram
 
 def score_classification(predictions: DataFrame) -> DataFrame:
     """dataset, metric, value: accuracy, balanced accuracy, ROC AUC (binary by the positive class, else one against the rest)."""
+    predictions = written(predictions, "predictions")  # read by each metric
     two = predictions.withColumn("score", M.positive_score(F.col("proba")))
     binary = M.roc_auc(two.where("score is not null").withColumn("positive", F.col("y_true") == 1), ["dataset"])
     many = M.roc_auc_macro(two.where("score is null"), ["dataset"])

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabmill.operators.preprocess import encode_labels, label_codes
 from tabmill.sources.collections import describe
-from tabmill.sources.storage import written
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,7 +15,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def event_rows(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     """tt_events: a table per user. dataset_id, row_idx, x (value, hour, day), y (the event type's place), event_id, value."""
     e = read(spark, sf_dir, "events")
-    e = encode_labels(e, "event_type", label_codes(e, "event_type"))
+    # five types: their order is one small array
+    types = e.agg(F.array_sort(F.collect_set("event_type")).alias("types")).scalar()
+    e = e.withColumn("y", F.array_position(types, F.col("event_type")) - 1)
     value = F.when(F.col("event_id") % 997 != 0, F.col("value")) if nulls else F.col("value")
     w = Window.partitionBy("user_id").orderBy("event_id")
     return e.select(
@@ -28,11 +28,16 @@ def event_rows(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFra
     )
 
 
+def event_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """datasets of tt_events, from ids and counts alone."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("dataset_id"))
+    return describe(e, n_features=F.lit(3))
+
+
 def event_tables(spark: SparkSession, sf_dir: str, nulls: bool = False) -> tuple[DataFrame, DataFrame]:
     """rows (with is_context and split_index) and datasets of tt_events."""
-    rows = written(event_rows(spark, sf_dir, nulls), "events")  # read for the tables' facts and again for their rows
-    datasets = describe(rows)
-    marked = rows.join(datasets.select("dataset_id", "split_index", "dataset_pos"), "dataset_id")
+    datasets = event_sizes(spark, sf_dir)
+    marked = event_rows(spark, sf_dir, nulls).join(datasets.select("dataset_id", "split_index", "dataset_pos"), "dataset_id")
     return marked.withColumn("is_context", F.col("row_idx") < F.col("split_index")), datasets
 
 

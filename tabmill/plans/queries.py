@@ -110,7 +110,7 @@ def s2(spark, sf_dir):
 
 @query("s3_split_field", "SELECT dataset_id, CASE WHEN dataset_id % 2 = 0 THEN split_index ELSE split_index + 1 END AS split_index FROM datasets", (EV,))
 def s3(spark, sf_dir):
-    _, d = X.event_tables(spark, sf_dir)
+    d = X.event_sizes(spark, sf_dir)
     old = d.select("dataset_id", F.when(F.col("dataset_id") % 2 == 0, F.col("split_index")).alias("train_test_split_index"), (F.col("split_index") + 1).alias("single_eval_pos"))
     return C.split_field(old)
 
@@ -278,7 +278,7 @@ ptr(batch_no, place) AS (SELECT CAST(0 AS BIGINT), CAST(3 AS BIGINT) UNION ALL S
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    _, datasets = X.event_tables(spark, sf_dir)
+    datasets = X.event_sizes(spark, sf_dir)
     n = datasets.count()
     return B.batch_plan(spark, n, 7, n // 5, epochs=2, start=3), datasets, n
 
