@@ -1,13 +1,15 @@
 """In-context scoring: context rows answer for query rows. Collections of tables by group, one large table by broadcast.
 
-A query row's answer depends on itself and its table's context alone, so query rows may be dealt in any way. attend_table()
-compares blocks of one table's context with sets of its query rows, and merges what they give, so neither side is bounded. For
-other scorers the context of one table is held by every task; its size is checked against max_context first.
+A query row's answer depends on itself and its table's context alone, so query rows may be dealt in any way. attend() streams
+the context past sets of query rows and merges softmax states, so neither side is bounded; score_collection() takes this way for
+tables whose context is too large for a task, if the scorer is attention. For other scorers the context of one table is held by
+its tasks; its size is checked against max_context first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ MAX_CONTEXT = 10_000
 PIECE = 4096
 #: Most query rows of a table that one task of a collection scores; a larger table's are dealt over several.
 SLICE = 8192
+#: Query rows of a set, which a task holds while a table's context passes.
+SETS = 32_768
 #: Numbers of a product of query and context rows that are held at once.
 PRODUCT = 1 << 22
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -34,20 +38,25 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(c), -1)
 
 
-def attention_scorer(n_classes: int | None) -> Score:
+@dataclass(frozen=True)
+class Attention:
     """Context rows vote with their labels (class shares), or with their targets if n_classes is None."""
 
-    def score(cx: np.ndarray, cy: np.ndarray, qx: np.ndarray) -> np.ndarray:
+    n_classes: int | None
+
+    def __call__(self, cx: np.ndarray, cy: np.ndarray, qx: np.ndarray) -> np.ndarray:
         if not len(cx):
-            return np.full((len(qx), n_classes or 1), np.nan)
+            return np.full((len(qx), self.n_classes or 1), np.nan)
         mean, std = kernel.context_scale(cx)
         z = lambda v: np.clip((v - mean) / (std + kernel.EPSILON), -100, 100)
-        values = cy[:, None] if n_classes is None else np.eye(n_classes)[cy.astype(int)]
+        values = cy[:, None] if self.n_classes is None else np.eye(self.n_classes)[cy.astype(int)]
         context, step = z(cx), max(1, PRODUCT // len(cx))
         parts = [kernel.weighted_labels(context, values, z(qx[k : k + step])) for k in range(0, len(qx), step)]
         return np.concatenate(parts) if parts else np.zeros((0, values.shape[1]))
 
-    return score
+
+def attention_scorer(n_classes: int | None) -> Score:
+    return Attention(n_classes)
 
 
 def model_scorer(weights: dict[str, np.ndarray]) -> Score:
@@ -62,11 +71,31 @@ def model_scorer(weights: dict[str, np.ndarray]) -> Score:
     return score
 
 
-def score_collection(rows: DataFrame, score: Score, most: int = SLICE) -> DataFrame:
+def score_collection(rows: DataFrame, score: Score, most: int = SLICE, max_context: int = MAX_CONTEXT) -> DataFrame:
     """dataset_id, row_idx, y, output: query rows of many tables. rows: dataset_id, row_idx, x, y, is_context.
 
-    A table is one group; one with more than `most` query rows is as many groups as they need, each with all its context.
+    A table is one group; one with more than `most` query rows is as many groups as they need, each with all its context. A table
+    with more than max_context context rows is answered by attend(), if the scorer is attention; for others it is an error.
     """
+    thin = rows.select(F.col("dataset_id").cast("long").alias("dataset_id"), F.col("row_idx").cast("long").alias("row_idx"), "x", F.col("y").cast("double").alias("y"), "is_context")
+    sizes = thin.groupBy("dataset_id").agg(F.count_if("is_context").alias("c"), F.count_if(~F.col("is_context")).alias("q"))
+    # only tables past a bound are listed: each has that many rows, so they are few beside the rows
+    large = [(r["dataset_id"], r["c"] > max_context, -(-r["q"] // most)) for r in sizes.where((F.col("c") > max_context) | (F.col("q") > most)).collect()]
+    beyond = [k for k, wide, _ in large if wide]
+    if not beyond:
+        return _score_groups(thin, score, [(k, n) for k, _, n in large])
+    if not isinstance(score, Attention):
+        raise ValueError(f"more than {max_context} context rows in tables {beyond[:10]}")
+    named = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in beyond], "dataset_id long"))
+    wide = thin.join(named, "dataset_id", "left_semi").withColumnsRenamed({"dataset_id": "table", "row_idx": "row_id"})
+    out = attend(store_context(wide.where("is_context"), score.n_classes), wide.where("not is_context"))
+    out = wide.where("not is_context").select("table", "row_id", "y").join(out, ["table", "row_id"]).select(F.col("table").alias("dataset_id"), F.col("row_id").alias("row_idx"), "y", "output")
+    return _score_groups(thin.join(named, "dataset_id", "left_anti"), score, [(k, n) for k, w, n in large if not w]).unionByName(out)
+
+
+def _score_groups(thin: DataFrame, score: Score, sliced: list[tuple[int, int]]) -> DataFrame:
+    """score_collection() of tables whose context a task can hold. sliced: tables with more than a task's query rows, and in how
+    many groups they go."""
     schema = pa.schema([("dataset_id", pa.int64()), ("row_idx", pa.int64()), ("y", pa.float64()), ("output", pa.list_(pa.float64()))])
 
     def one(t: pa.Table) -> pa.Table:
@@ -77,12 +106,14 @@ def score_collection(rows: DataFrame, score: Score, most: int = SLICE) -> DataFr
         q = t.filter(pa.array(~on))
         return pa.Table.from_arrays([q.column("dataset_id").combine_chunks(), q.column("row_idx").combine_chunks().cast(pa.int64()), pa.array(y[~on]), pa.array(list(out), pa.list_(pa.float64()))], schema=schema)
 
-    thin = rows.select(F.col("dataset_id").cast("long").alias("dataset_id"), F.col("row_idx").cast("long").alias("row_idx"), "x", F.col("y").cast("double").alias("y"), "is_context")
-    large = thin.where("not is_context").groupBy(F.col("dataset_id").alias("_id")).agg(F.ceil(F.count("*") / most).cast("int").alias("_slices")).where("_slices > 1")
+    answer = "dataset_id long, row_idx long, y double, output array<double>"
+    if not sliced:
+        return thin.groupBy("dataset_id").applyInArrow(one, answer)
+    large = F.broadcast(thin.sparkSession.createDataFrame(sliced, "_id long, _slices int"))
     slices = F.coalesce("_slices", F.lit(1))
     own = F.when(F.col("is_context"), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("row_idx"), slices).cast("int")))
     thin = thin.join(large, F.col("dataset_id") == F.col("_id"), "left").select("dataset_id", F.explode(own).alias("_slice"), "row_idx", "x", "y", "is_context")
-    return thin.groupBy("dataset_id", "_slice").applyInArrow(one, "dataset_id long, row_idx long, y double, output array<double>")
+    return thin.groupBy("dataset_id", "_slice").applyInArrow(one, answer)
 
 
 def collect_context(context: DataFrame, max_context: int = MAX_CONTEXT) -> tuple[np.ndarray, np.ndarray]:
@@ -105,45 +136,125 @@ def score_table(queries: DataFrame, cx: np.ndarray, cy: np.ndarray, score: Score
     return queries.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in queries.columns), "output array<double>"]))
 
 
-def attend_table(context: DataFrame, queries: DataFrame, piece: int = PIECE) -> DataFrame:
+@dataclass(frozen=True)
+class StoredContext:
+    """Scaled context rows of tables of any size, written, with each table's facts. See attend()."""
+
+    rows: DataFrame
+    facts: DataFrame
+    n_values: int
+    classes: bool
+
+
+def store_context(context: DataFrame, n_classes: int | None) -> StoredContext:
+    """context: table, row_id, x, y, where y is a class (0, 1, ...) or, if n_classes is None, a target. Written once: features
+    are scaled by their table's mean and deviation, and clipped, as attention_scorer() does."""
+    context = written(context.select("table", "row_id", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y")), "context")
+    cells = context.select("table", F.posexplode("x").alias("k", "v")).withColumn("v", F.coalesce("v", F.lit(float("nan"))))
+    scale = cells.groupBy("table", "k").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")).groupBy("table").agg(F.array_sort(F.collect_list(F.struct("k", "mean", "std"))).alias("scale"))
+    facts = written(context.groupBy("table").agg(F.count("*").alias("n_context")).join(scale, "table"), "facts")
+    return StoredContext(written(_scaled(context, facts), "scaled"), facts, n_classes or 1, n_classes is not None)
+
+
+def _scaled(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with x scaled by its table's facts; a missing number is NaN."""
+    d = rows.join(facts.select(F.col("table").alias("_t"), "scale"), F.col("table") == F.col("_t")).drop("_t")
+    z = lambda x, s: F.greatest(F.least((x - s["mean"]) / (s["std"] + kernel.EPSILON), F.lit(100.0)), F.lit(-100.0))
+    nan = F.lit(float("nan"))
+    return d.withColumn("x", F.zip_with("x", "scale", lambda x, s: F.when(F.isnan(x) | x.isNull() | s["std"].isNull() | F.isnan(s["std"]), nan).otherwise(z(x, s)))).drop("scale")
+
+
+def attend(stored: StoredContext, queries: DataFrame, piece: int = PIECE, most: int = SETS) -> DataFrame:
+    """table, row_id, output: class shares, or a weighted target, of the query rows of tables of any size. queries: table, row_id,
+    x; a row_id is one row of its table.
+
+    Query rows are dealt into sets, and a table's context into chunks while there are fewer sets than tasks. A task holds a set,
+    and streams a chunk of the context past it, a piece at a time, keeping each row's softmax state: the largest product, the sum
+    of weights, and the weighted values. States of chunks are merged by row. What is shuffled is the query rows once a chunk (no
+    more chunks than tasks over sets) and the context once a set: neither side is copied for every pair of pieces.
+    """
+    spark = queries.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = written(_scaled(queries.select("table", "row_id", F.col("x").cast("array<double>").alias("x")), stored.facts), "queries")
+    sizes = queries.groupBy("table").agg(F.ceil(F.count("*") / most).cast("int").alias("sets"))
+    all_sets = sizes.agg(F.sum("sets")).first()[0] or 1
+    # sizes have a row per table
+    sizes = sizes.join(stored.facts.select("table", "n_context"), "table").select(F.col("table").alias("_t"), "sets", F.greatest(F.lit(1), F.least(F.ceil(F.col("n_context") / piece), F.lit(-(-parts // all_sets)))).cast("int").alias("chunks"))
+
+    def dealt(d: DataFrame, own: str, other: str) -> DataFrame:
+        d = d.join(sizes, F.col("table") == F.col("_t")).drop("_t")
+        d = d.withColumn(own, F.pmod(F.xxhash64("row_id"), F.col(f"{own}s")).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+
+    both = dealt(queries, "set", "chunk").select("table", "set", "chunk", F.lit(0).alias("kind"), "row_id", "x", F.lit(None).cast("double").alias("y"))
+    both = both.unionByName(dealt(stored.rows, "chunk", "set").select("table", "set", "chunk", F.lit(1).alias("kind"), "row_id", "x", "y"))
+    both = both.repartition(parts, "table", "set", "chunk").sortWithinPartitions("table", "set", "chunk", "kind", "row_id")
+    width, classes = stored.n_values, stored.classes
+    kinds = {c: queries.schema[c].dataType.simpleString() for c in ("table", "row_id")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, waiting, state = None, [], [], None
+
+        def push() -> None:
+            """Streams the waiting context rows past the set."""
+            nonlocal state
+            if waiting and held:
+                if state is None:
+                    q = np.concatenate([matrix(x) for _, _, x in held])
+                    state = [q, np.full(len(q), -np.inf), np.zeros(len(q)), np.zeros((len(q), width))]
+                c, y = np.concatenate([matrix(x) for x, _ in waiting]), np.concatenate([v for _, v in waiting])
+                value = np.eye(width)[y.astype(int)] if classes else y[:, None]
+                q, top, total, votes = state
+                for a in range(0, len(q), 512):
+                    s = q[a : a + 512] @ c.T / np.sqrt(c.shape[1])
+                    new = np.maximum(top[a : a + 512], s.max(1))
+                    old = np.exp(top[a : a + 512] - new)
+                    e = np.exp(s - new[:, None])
+                    total[a : a + 512] = total[a : a + 512] * old + e.sum(1)
+                    votes[a : a + 512] = votes[a : a + 512] * old[:, None] + e @ value
+                    top[a : a + 512] = new
+            waiting.clear()
+
+        def told() -> pa.RecordBatch:
+            push()
+            tables = pa.concat_arrays([t for t, _, _ in held])
+            _, top, total, votes = state or (None, np.full(len(tables), -np.inf), np.zeros(len(tables)), np.zeros((len(tables), width)))
+            return pa.RecordBatch.from_arrays([tables, pa.concat_arrays([r for _, r, _ in held]), pa.array(top), pa.array(total), pa.array(list(votes), pa.list_(pa.float64()))], names=["table", "row_id", "most", "total", "votes"])
+
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("table", "set", "chunk", "kind")), strict=True))
+            starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+            for a, z in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[a][:3] != now:
+                    if held:
+                        yield told()
+                    now, state = keys[a][:3], None
+                    held.clear()
+                    waiting.clear()
+                if keys[a][3] == 0:
+                    held.append((b.column("table").slice(a, z - a), b.column("row_id").slice(a, z - a), b.column("x").slice(a, z - a)))
+                else:
+                    waiting.append((b.column("x").slice(a, z - a), b.column("y").slice(a, z - a).to_numpy(zero_copy_only=False)))
+                    if sum(len(v) for _, v in waiting) >= piece:
+                        push()
+        if held:
+            yield told()
+
+    found = both.mapInArrow(run, f"table {kinds['table']}, row_id {kinds['row_id']}, most double, total double, votes array<double>")
+    # the states of a row's chunks, as many as there are tasks over sets at most
+    found = found.groupBy("table", "row_id").agg(F.collect_list(F.struct("most", "total", "votes")).alias("s"), F.max("most").alias("top"))
+    weight = lambda x: F.when(F.col("top") == float("-inf"), 1.0).otherwise(F.exp(x.most - F.col("top")))
+    whole = F.aggregate("s", F.lit(0.0), lambda a, x: a + x.total * weight(x))
+    added = F.aggregate("s", F.array_repeat(F.lit(0.0), width), lambda a, x: F.zip_with(a, x.votes, lambda v, w: v + w * weight(x)))
+    found = found.select("table", "row_id", whole.alias("whole"), added.alias("added"))
+    return found.select("table", "row_id", F.transform("added", lambda v: F.when(F.col("whole") > 0, v / F.col("whole")).otherwise(F.lit(float("nan")))).alias("output"))
+
+
+def attend_table(context: DataFrame, queries: DataFrame, piece: int = PIECE, most: int = SETS) -> DataFrame:
     """row_id, output: attention_scorer's class shares for the query rows of one table of any size. context: row_id, x, y (0, 1,
     ...); queries: row_id, x. A row_id is one row."""
-    context = written(context.select(F.col("row_id"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y")), "context")
-    queries = written(queries.select("row_id", F.col("x").cast("array<double>").alias("x")), "queries")
-    n, top = context.agg(F.count("*"), F.max("y")).first()
-    if not n:
+    top = context.agg(F.max("y")).first()[0]
+    if top is None:
         return queries.select("row_id", F.array(F.lit(float("nan"))).alias("output"))
-    classes, blocks, sets = int(top) + 1, -(-n // piece), max(1, -(-queries.count() // piece))
-    cells = context.select(F.posexplode("x").alias("k", "v")).withColumn("v", F.coalesce("v", F.lit(float("nan"))))
-    scale = cells.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")).orderBy("k").collect()
-    mean, std = np.array([r["mean"] for r in scale], float), np.array([r["std"] for r in scale], float)
-
-    def dealt(d: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
-        d = d.withColumn(own, F.pmod(F.xxhash64("row_id"), F.lit(parts)))
-        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).withColumn(own, F.col(own).cast("int"))
-
-    a = dealt(context, "block", blocks, "set", sets).groupBy("block", "set")
-    b = dealt(queries, "set", sets, "block", blocks).groupBy("block", "set")
-    kind = queries.schema["row_id"].dataType.simpleString()
-
-    def part(c: pa.Table, q: pa.Table) -> pa.Table:
-        out = []
-        if c.num_rows and q.num_rows:
-            z = lambda v: np.clip((v - mean) / (std + kernel.EPSILON), -100, 100)
-            cx, qx, one = z(matrix(c.column("x"))), z(matrix(q.column("x"))), np.eye(classes)[c.column("y").to_numpy().astype(int)]
-            for at in range(0, len(qx), 512):
-                s = qx[at : at + 512] @ cx.T / np.sqrt(cx.shape[1])
-                most = s.max(1)
-                e = np.exp(s - most[:, None])
-                out.append((most, e.sum(1), e @ one))
-        most, total, votes = (np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0), np.zeros(0), np.zeros((0, classes)))
-        ids = q.column("row_id").combine_chunks()
-        return pa.table({"row_id": ids if out else ids.slice(0, 0), "most": most, "total": total, "votes": pa.array(list(votes), pa.list_(pa.float64()))})
-
-    found = a.cogroup(b).applyInArrow(part, f"row_id {kind}, most double, total double, votes array<double>")
-    found = written(found, "votes")
-    found = found.join(found.groupBy("row_id").agg(F.max("most").alias("all_most")), "row_id").withColumn("w", F.exp(F.col("most") - F.col("all_most")))
-    found = found.select("row_id", "w", "total", F.posexplode("votes").alias("class", "vote"))
-    found = found.groupBy("row_id", "class").agg((F.sum(F.col("vote") * F.col("w")) / F.sum(F.col("total") * F.col("w"))).alias("p"))
-    found = found.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("class", "p"))).alias("s"))
-    return found.select("row_id", F.col("s.p").alias("output"))
+    stored = store_context(context.withColumn("table", F.lit(0)), int(top) + 1)
+    return attend(stored, queries.withColumn("table", F.lit(0)), piece, most).drop("table")

@@ -22,6 +22,11 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoi
     return q
 
 
+def score_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Scores each micro-batch as a table of its own and hands it to sink: for models whose context is stored."""
+    return run_once(stream, lambda df, no: sink(transform(df), no), checkpoint)
+
+
 def to_table(path: str, mode: str = "append") -> Callable[[DataFrame, int], None]:
     """A sink whose micro-batches are folders named by number, so that one that is run again replaces itself."""
     return lambda df, no: df.write.mode("overwrite").parquet(f"{path}/micro_batch={no}")
