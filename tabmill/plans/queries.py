@@ -23,6 +23,7 @@ from tabmill.operators import splits as S
 from tabmill.operators.estimators import InContextClassifier
 from tabmill.plans import benchmark as E
 from tabmill.plans import fixtures as X
+from tabmill.plans import folds as L
 from tabmill.plans.hashsql import uniform_sql
 from tabmill.sources import collections as C
 from tabmill.sources import generate as G
@@ -708,6 +709,27 @@ def e9_tasks(spark, sf_dir):
     return E.run_benchmark(own).withColumn("value", r6("value"))
 
 
+FOLDS = """
+coded AS (SELECT fold, lang, row_number() OVER (PARTITION BY fold ORDER BY lang) - 1 AS code FROM (SELECT DISTINCT fold, lang FROM docs CROSS JOIN range(0, 5) f(fold) WHERE row_id % 5 <> fold)),
+fx AS (SELECT fold, row_id, quality AS y, row_id % 5 <> fold AS train, [CAST(n_chars AS DOUBLE), CAST(n_words AS DOUBLE), CAST(code AS DOUBLE)] AS x FROM docs CROSS JOIN range(0, 5) f(fold) JOIN coded USING (fold, lang)),
+fc AS (SELECT fold, row_id, y, train, unnest(x) AS v, generate_subscripts(x, 1) AS k FROM fx),
+fs AS (SELECT fold, k, avg(v) AS m, stddev_samp(v) AS s FROM fc WHERE train GROUP BY fold, k),
+fz AS (SELECT fold, row_id, any_value(y) AS y, any_value(train) AS train, list(least(greatest((v - m) / (s + 1e-8), -100), 100) ORDER BY k) AS z FROM fc JOIN fs USING (fold, k) GROUP BY fold, row_id),
+fp AS (SELECT q.fold, q.row_id, q.y AS y_true, c.y, list_dot_product(q.z, c.z) / sqrt(3) AS s FROM fz q JOIN fz c ON q.fold = c.fold AND NOT q.train AND c.train),
+fv AS (SELECT fold, row_id, any_value(y_true) AS y_true, y, sum(exp(s - t)) AS e FROM fp JOIN (SELECT fold, row_id, max(s) AS t FROM fp GROUP BY fold, row_id) USING (fold, row_id) GROUP BY fold, row_id, y)"""
+
+
+@query("e1_folds", "SELECT 'docs_quality' AS dataset, CAST(fold AS INTEGER) AS fold, count(*) AS n, round(avg(CAST(y = y_true AS DOUBLE)), 6) AS accuracy FROM (SELECT * FROM fv QUALIFY row_number() OVER (PARTITION BY fold, row_id ORDER BY e DESC, y) = 1) GROUP BY fold", (DOC, FOLDS))
+def e1_folds(spark, sf_dir):
+    """Five folds of a task in one job: each document is answered by those of the other folds."""
+    docs = X.document_task(spark, sf_dir).withColumn("y", F.col("quality"))
+    own = docs.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+    splits = own.select(F.lit("docs_quality").alias("dataset"), "fold", "row_id", (F.col("row_id") % 5 != F.col("fold")).alias("is_train"))
+    out = L.predict_folds([L.FoldedTask("docs_quality", "classification", docs, ["n_chars", "n_words", "lang"])], splits)
+    n = out.groupBy("dataset", "fold").agg(F.count("*").alias("n"))
+    return M.accuracy(out, ["dataset", "fold"]).join(n, ["dataset", "fold"]).withColumn("accuracy", r6("accuracy"))
+
+
 @query("e10_evaluation_log", "SELECT 'toy' AS run, e AS epoch, round(avg(value) FILTER (metric = 'roc_auc'), 4) AS roc_auc, round(avg(value) FILTER (metric = 'accuracy'), 4) AS accuracy FROM metric CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (2)) v(e) GROUP BY e", (EV, ZTT, VOTES, AUC, ALL))
 def e10(spark, sf_dir):
     """The same predictor scored after each of two epochs, logged, and viewed by name."""
