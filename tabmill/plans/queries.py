@@ -862,6 +862,33 @@ def t1(spark, sf_dir):
     return got.groupBy("dataset_id").agg(F.count("*").alias("n_rows"), F.round(F.sum(F.get("x", F.lit(0))), 4).alias("x0_sum"))
 
 
+@query("t1_ordered_replay", "SELECT dataset_pos // 8 AS batch_no, dataset_pos // 24 AS micro_batch, dataset_id, count(*) AS n_rows, round(sum(x0), 4) AS x0_sum, any_value(split_index) AS split_index FROM tt GROUP BY dataset_pos, dataset_id", (EV,))
+def t1_ordered(spark, sf_dir):
+    """A stored collection replayed in its order, three batches a micro-batch, stopped after the first half and resumed."""
+    rows, datasets = X.event_tables(spark, sf_dir)
+    path, out, state = scratch(spark, "collection"), scratch(spark, "replayed"), scratch(spark, "state")
+    C.write_collection(rows.select("dataset_id", "row_idx", "x", "y"), datasets, path, "classification", 5, BATCH, block_tables=24)
+    steps = -(-C.open_collection(spark, path).n_tables // BATCH)
+
+    class Stopped(Exception):
+        pass
+
+    def half(df, no):
+        if no >= max(1, steps // 6):
+            raise Stopped
+        R.to_table(out)(df, no)
+
+    try:
+        R.replay_batches(spark, path, half, state, BATCH, steps, each=3)
+    except Exception as e:
+        if "Stopped" not in str(e):
+            raise
+    R.replay_batches(spark, path, R.to_table(out), state, BATCH, steps, each=3)
+    got = spark.read.option("basePath", out).parquet(f"{out}/*")
+    got = got.groupBy("batch_no", "micro_batch", "dataset_id").agg(F.count("*").alias("n_rows"), F.round(F.sum(F.get("x", F.lit(0))), 4).alias("x0_sum"), F.first("split_index").alias("split_index"))
+    return got.withColumn("micro_batch", F.col("micro_batch").cast("long"))
+
+
 @query("t2_stream_scoring", "SELECT row_id, y_pred AS prediction FROM pred", (EMB,))
 def t2(spark, sf_dir):
     names = [f"f{k}" for k in range(64)]
@@ -879,9 +906,9 @@ def t3(spark, sf_dir):
     source, out = scratch(spark, "losses"), scratch(spark, "metrics")
     batch_losses(spark, sf_dir).withColumn("run", F.lit("stream")).repartition(3, "batch_no").write.parquet(source)
     stream = R.replay(spark, source, "batch_no long, loss double, run string")
-    # each micro-batch of a complete table replaces the one before
-    R.run_once(R.running_losses(stream, 4), lambda df, no: df.write.mode("overwrite").parquet(out), scratch(spark, "state"), "complete")
-    return spark.read.schema("run string, epoch long, n_batches long, mean_loss double").parquet(out).withColumn("mean_loss", r6("mean_loss"))
+    R.run_once(R.running_losses(stream, 4), R.to_metrics(out, "losses"), scratch(spark, "state"), "update")
+    d = T.metrics_view(spark, out, ["n_batches", "mean_loss"])
+    return d.select("run", "epoch", F.col("n_batches").cast("long").alias("n_batches"), r6("mean_loss").alias("mean_loss"))
 
 
 @query("u2_epoch_hook", "SELECT 'stream' AS run, batch_no // 4 AS epoch, count(*) AS n_batches, round(sum(loss) / 4, 6) AS mean_loss FROM losses GROUP BY 2", (EV, LOSSES))

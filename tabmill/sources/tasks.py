@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabmill.sources.log import CommitLog
 
 # fixed values: the public task numbers of the built-in suites
 TOY_REGRESSION = (362443,)
@@ -45,11 +48,48 @@ def load_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return {r.name: np.array(r.data).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
 
 
-def log_metrics(metrics: DataFrame, path: str) -> None:
-    """Appends rows of run, epoch, name, value; one folder per run."""
-    metrics.select("run", "epoch", "name", F.col("value").cast("double").alias("value")).write.mode("append").partitionBy("run").parquet(path)
+def log_metrics(metrics: DataFrame, path: str, source: str | None = None, batch: int | None = None) -> bool:
+    """Commits rows of run, epoch, name, value to a log of metrics; of each (run, epoch, name), the latest commit's value counts.
+
+    source and batch name a commit: what is written again under the same two (a micro-batch that is run again) changes nothing,
+    and False is returned. A write that fails leaves nothing. Rows that share run, epoch and name within a commit are an error.
+    """
+    spark = metrics.sparkSession
+    log = CommitLog(spark, f"{path}/commits")
+    known = lambda entries: source is not None and any((e["source"], e["batch"]) == (source, batch) for e in entries)
+    before = log.entries()
+    if known(before):
+        return False
+    folder = uuid.uuid4().hex
+    made = f"{path}/values/commit={folder}"
+    metrics.select("run", "epoch", "name", F.col("value").cast("double").alias("value")).write.partitionBy("run").parquet(made)
+    again = _values(spark, path, [folder]).groupBy("run", "epoch", "name").count().where("count > 1").limit(1).collect()
+    if again:
+        log.delete(made)
+        raise ValueError(f"more than one value of {again[0].run}, {again[0].epoch}, {again[0]['name']}")
+    while not log.put(before[-1]["no"] + 1 if before else 0, {"folder": folder, "source": source, "batch": batch}):
+        before = log.entries()  # another writer came first
+        if known(before):
+            log.delete(made)
+            return False
+    return True
+
+
+def _values(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
+    kinds = "epoch long, name string, value double, commit string, run string"
+    if not folders:
+        return spark.createDataFrame([], kinds)
+    return spark.read.schema(kinds).option("basePath", f"{path}/values").parquet(*(f"{path}/values/commit={f}" for f in folders))
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """run, epoch, name, value: one row each, of the latest commit that has it."""
+    entries = CommitLog(spark, f"{path}/commits").entries()
+    order = F.broadcast(spark.createDataFrame([(e["folder"], e["no"]) for e in entries], "commit string, no long"))
+    d = _values(spark, path, [e["folder"] for e in entries]).join(order, "commit")
+    return d.groupBy("run", "epoch", "name").agg(F.max_by("value", "no").alias("value"))
 
 
 def metrics_view(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """run, epoch, and a column per name."""
-    return spark.read.schema("epoch long, name string, value double, run string").parquet(path).groupBy("run", "epoch").pivot("name", names).agg(F.first("value"))
+    return read_metrics(spark, path).groupBy("run", "epoch").pivot("name", names).agg(F.first("value"))

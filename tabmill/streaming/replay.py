@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tabmill.sources.collections import open_collection, scan_batches
+from tabmill.sources.datasource import register
+from tabmill.sources.tasks import log_metrics
+
 
 def replay(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """A stream of a stored table's rows, some files a micro-batch. Files come by age; inside one, order isn't kept, so what
@@ -15,6 +19,36 @@ def replay(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def replay_batches(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, batch_size: int, num_steps: int, epochs: int = 1, start: int = 0, each: int = 1) -> int:
+    """Replays a stored collection in its order, `each` batches a micro-batch, and hands their rows (with batch_no and split_index)
+    to sink. Goes on from the checkpoint's next batch, if there is one. Of the collection, the blocks that a micro-batch needs are
+    read. Returns the number of micro-batches run."""
+    register(spark)
+    c = open_collection(spark, path)
+    numbers = {"n_tables": c.n_tables, "batch_size": batch_size, "num_steps": num_steps, "epochs": epochs, "start": start, "batches_per_trigger": each}
+    stream = spark.readStream.format("tabmill_batches").options(**{k: str(v) for k, v in numbers.items()}).load()
+    ran = 0
+
+    def one(plan: DataFrame, no: int) -> None:
+        nonlocal ran
+        places = plan.select("batch_no", "dataset_pos").collect()  # each * batch_size rows at most
+        if not places:
+            return
+        ran += 1
+        at = sorted({r.dataset_pos for r in places})
+        edges = [k for k in range(len(at)) if not k or at[k] != at[k - 1] + 1]
+        ranges = [(at[a], at[b - 1] + 1) for a, b in zip(edges, [*edges[1:], len(at)], strict=True)]
+        own = spark.createDataFrame(places, "batch_no long, dataset_pos long")
+        sink(scan_batches(c.rows(ranges), c.datasets(ranges), own), no)
+
+    q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return ran
+
+
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Runs a stream over what there is now, handing each micro-batch to sink; waits for its end."""
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -38,6 +72,18 @@ def running_losses(scored: DataFrame, num_steps: int) -> DataFrame:
     return scored.groupBy("run", epoch).agg(F.count("*").alias("n_batches"), (F.sum("loss") / num_steps).alias("mean_loss"))
 
 
+def to_metrics(path: str, source: str, keys: tuple[str, ...] = ("run", "epoch")) -> Callable[[DataFrame, int], None]:
+    """A sink that logs each micro-batch's columns beside keys as metrics, once: a micro-batch that is run again under the same
+    source is left as it is, and a later one's value of a (run, epoch, name) takes the place of an earlier one's."""
+
+    def sink(df: DataFrame, no: int) -> None:
+        names = [c for c in df.columns if c not in keys]
+        if not log_metrics(df.select(*keys, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(list(keys), names, "name", "value"), path, source, no):
+            df.write.format("noop").mode("overwrite").save()  # a stream's state is committed by reading the micro-batch whole
+
+    return sink
+
+
 def at_epoch_end(hook: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A sink that hands a user's function each micro-batch's metrics."""
     return lambda df, no: hook(df)
