@@ -3,14 +3,16 @@
 Each curve takes the vectors, made unit length, through its own random projection to a few coordinates, spreads and shifts
 these, and numbers the cell they fall in along a Hilbert curve. Spark range-partitions the rows by that number (then by id, so
 that equal vectors don't make one partition large) and gives each its place along the curve. A curve's places are cut into
-blocks of half a window; a query is compared with its own block and the two beside it, and what the curves find for a query
-is merged and ranked. Rows and queries are dealt once a curve, so shuffles grow with the rows.
+blocks; a query is compared with its own block and some on both sides, and what the curves find for a query is merged and ranked.
 
-The projections are drawn, not fitted, so nothing depends on a sample. With the parameters below the windows' recall of the
-true five is 0.99 among 50,000 vectors at random in 64 dimensions, where nearly all rows must be looked at for that, and more
-where vectors are in clusters. `exact` adds a check after the windows: each query's k-th best cosine is a bound, the first
-curve's order is cut into cells with a centre and a reach, and a query is compared with the cells that could still hold
-something nearer. On vectors without any structure few cells can be ruled out; on clustered ones most are.
+How many curves are followed, and how many blocks on both sides, is measured: of a bounded sample of queries (SAMPLE, by hash)
+the true neighbours are found among all rows, in one pass, and the cheapest numbers are taken with which the windows hold
+TARGET of these. At least two curves are followed. Vectors in clusters need few blocks, whatever their number; of vectors at
+random in many dimensions nearly all rows must be looked at, and are. The projections are drawn, not fitted.
+
+`exact` adds a check after the windows: each query's k-th best cosine is a bound, the first curve's order is cut into cells with
+a centre and a reach, and a query is compared with the cells that could still hold something nearer. On vectors without any
+structure few cells can be ruled out; on clustered ones most are.
 
 Each comparison ranks in single precision first, and scores whatever lies within the error of that of the k-th best in double
 precision, on the original vectors, before it cuts to k. So near copies, however many, can't push each other out. Of identical
@@ -39,8 +41,10 @@ K = 5
 CURVES = 6
 #: Coordinates and bits of each along a curve; their product is at most 62.
 COORDS, BITS = 3, 12
-#: Rows of a window. A query sees its half of one and the halves on both sides.
-WINDOW = 16_384
+#: Least and most rows of a block of a curve, and about how many blocks there are between.
+LEAST, MOST, BLOCKS = 512, 8192, 64
+#: Queries whose true neighbours are found to measure windows by, and what share of these the windows must hold.
+SAMPLE, TARGET = 256, 0.97
 CELL = 256
 #: Rows in a block of the exact check, and queries that are held against it at once.
 BLOCK, QUERIES = 16_384, 8192
@@ -162,26 +166,78 @@ def _compare(query: np.ndarray, qid: np.ndarray, q: np.ndarray, uid: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(some[i], pa.int64()), pa.array(qid[a : a + 256][i], pa.int64()), pa.array(uid[j], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(score[first])], schema=_FOUND)
 
 
-def along_curves(d: DataFrame, curves: int, kind: str) -> DataFrame:
-    """dim, curve, uid, id, u (the vector's bytes, of this numpy kind), place: every row's place along each curve of its length.
-    d: usable(), written."""
+def stored(d: DataFrame, kind: str) -> DataFrame:
+    """dim, uid, id, u (the vector's bytes, of this numpy kind) of usable(). Written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v")
+            sizes, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(zero_copy_only=False).astype(kind)
+            ends = np.cumsum(sizes)
+            u = pa.array([flat[z - n : z].tobytes() for n, z in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32)), b.column("uid"), b.column("id"), u], names=["dim", "uid", "id", "u"])
+
+    return shared_table(d.select("uid", "id", "v").mapInArrow(run, "dim int, uid long, id long, u binary"), "vectors")
+
+
+def _by_length(b: pa.RecordBatch, kind: str) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    dims = b.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        some = b.filter(pa.array(dims == dim))
+        yield dim, some, _matrix(some, kind, dim)
+
+
+def along_curves(vectors: DataFrame, curves: int, kind: str) -> DataFrame:
+    """dim, curve, uid, id, place: every row's place along each curve of its length. Written; without the vectors, so that what is
+    sorted is thin. vectors: stored()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = np.diff(b.column("v").offsets.to_numpy())
-            for dim in np.unique(sizes):
-                some = b.filter(pa.array(sizes == dim))
-                v = some.column("v").flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, dim)
-                u = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
-                v = _unit(v / np.abs(v).max(1, keepdims=True))  # so that very large or small numbers stay finite
+            for dim, some, v in _by_length(b, kind):
+                unit = _unit(v)
                 for c in range(curves):
                     whole = [pa.array(np.full(some.num_rows, x, np.int32)) for x in (dim, c)]
-                    yield pa.RecordBatch.from_arrays([*whole, pa.array(curve_keys(v, c)), some.column("uid"), some.column("id"), u], names=["dim", "curve", "key", "uid", "id", "u"])
+                    yield pa.RecordBatch.from_arrays([*whole, pa.array(curve_keys(unit, c)), some.column("uid"), some.column("id")], names=["dim", "curve", "key", "uid", "id"])
 
-    rows = d.select("uid", "id", "v").mapInArrow(run, "dim int, curve int, key long, uid long, id long, u binary")
-    ranked = shared_table(global_rank(rows, ["dim", "curve", "key", "id", "uid"], "place"), "curves")
+    rows = vectors.mapInArrow(run, "dim int, curve int, key long, uid long, id long")
+    ranked = global_rank(rows, ["dim", "curve", "key", "id", "uid"], "place")
     first = ranked.groupBy("dim", "curve").agg(F.min("place").alias("_first"))  # a row for each length and curve
-    return ranked.join(first, ["dim", "curve"]).withColumn("place", F.col("place") - F.col("_first")).drop("_first", "key")
+    return shared_table(ranked.join(first, ["dim", "curve"]).withColumn("place", F.col("place") - F.col("_first")).drop("_first", "key"), "curves")
+
+
+def true_neighbours(vectors: DataFrame, is_query: Column, k: int, kind: str, sample: int) -> DataFrame:
+    """FOUND of at most `sample` queries, chosen by hash, against all rows: one pass, the sample in every task."""
+    some = vectors.where(is_query).orderBy(F.xxhash64(F.lit(5), "uid"), "uid").limit(sample).toArrow()
+    by = {dim: (t.column("uid").to_numpy(), t.column("id").to_numpy(), m) for dim, t, m in (x for b in some.combine_chunks().to_batches() for x in _by_length(b, kind))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, rows, x in _by_length(b, kind):
+                if dim in by:
+                    query, qid, q = by[dim]
+                    for a in range(0, len(x), MOST):
+                        part = slice(a, a + MOST)
+                        yield from _compare(query, qid, q, rows.column("uid").to_numpy()[part], rows.column("id").to_numpy()[part], x[part], k)
+
+    return merged(vectors.mapInArrow(run, FOUND), k)
+
+
+def windows(placed: DataFrame, truth: DataFrame, size: int, curves: int, target: float, blocks: int) -> tuple[int, int]:
+    """How many curves to follow and how many blocks to look at on each side, so that `target` of the true neighbours are seen at
+    the least cost. Only the sample's places reach the driver."""
+    pairs = truth.select("query", "uid").collect()
+    if not pairs:
+        return min(2, curves), 0
+    spark = placed.sparkSession
+    uids = spark.createDataFrame([(u,) for u in sorted({x for p in pairs for x in (p.query, p.uid)})], "uid long")
+    at = {(r.uid, r.curve): r.place // size for r in placed.join(F.broadcast(uids), "uid").select("uid", "curve", "place").collect()}
+    apart = np.array([[abs(at[p.query, c] - at[p.uid, c]) for c in range(curves)] for p in pairs])
+    choices = []
+    for n in range(min(2, curves), curves + 1):
+        least = np.sort(apart[:, :n].min(1))
+        reach = int(least[min(len(least) - 1, int(np.ceil(target * len(least))) - 1)])
+        choices.append((n * min(2 * reach + 1, blocks), n, reach))
+    return min(choices)[1:]
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:
@@ -191,16 +247,29 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     return every.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVES, window: int = WINDOW, exact: bool = True) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest other rows. is_query: a condition on `id`."""
+def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVES, window: int | None = None, exact: bool = True, target: float = TARGET) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k nearest other rows. is_query: a condition on `id`. window: rows of windows
+    along all curves, instead of measured ones."""
     kind = "<f4" if vectors.select("embedding").schema[0].dataType == ArrayType(FloatType()) else "<f8"
-    placed = along_curves(shared_table(usable(vectors), "vectors"), curves, kind)
-    half = max(1, window // 2)
-    rows = placed.withColumn("block", F.floor(F.col("place") / half))
-    beside = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
-    queries = rows.where(is_query).select("dim", "curve", beside, "uid", "id", "u")
+    own = stored(usable(vectors), kind)
+    placed = along_curves(own, curves, kind)
+    n, n_queries = own.agg(F.count("*"), F.count_if(is_query)).first()
+    if window is None:
+        size = min(MOST, max(LEAST, -(-n // BLOCKS)))
+        curves, reach = windows(placed, true_neighbours(own, is_query, k, kind, SAMPLE), size, curves, target, -(-n // size))
+    else:
+        size, reach = max(1, window // 2), 1
+    # a block's rows meet the queries that see it in sets of a bounded size
+    sets = max(1, -(-min(n_queries, n_queries * (2 * reach + 1) * size // max(n, 1)) // (8 * QUERIES)))
+    vector = own.select("uid", "u")
+    rows = placed.where(F.col("curve") < curves).withColumn("block", F.floor(F.col("place") / size)).drop("place").join(vector, "uid")
+    every = F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))
+    last = placed.groupBy("dim").agg(F.floor(F.max("place") / size).alias("_last"))  # a row for each length
+    beside = F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.col("_last")))).alias("block")
+    queries = rows.where(is_query).join(last, "dim").select("dim", "curve", beside, F.pmod(F.xxhash64("uid"), F.lit(sets)).cast("int").alias("set"), "uid", "id", "u")
     queries = queries.toDF(*queries.columns)  # columns of their own: both sides come from one table
-    keys = ["dim", "curve", "block"]
+    rows = rows.withColumn("set", every) if sets > 1 else rows.withColumn("set", F.lit(0))
+    keys = ["dim", "curve", "block", "set"]
 
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -209,10 +278,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVE
         x, q = _matrix(a, kind, dim), _matrix(b, kind, dim)
         return pa.Table.from_batches(_compare(b.column("uid").to_numpy(), b.column("id").to_numpy(), q, a.column("uid").to_numpy(), a.column("id").to_numpy(), x, k), _FOUND)
 
-    found = rows.drop("place").groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(near, FOUND)
+    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(near, FOUND)
     if exact:
         found = shared_table(merged(found, k), "windows")
-        found = found.drop("rank").unionByName(checked(placed.where("curve = 0"), is_query, found, k, kind))
+        found = found.drop("rank").unionByName(checked(placed.where("curve = 0").join(vector, "uid"), is_query, found, k, kind))
     return merged(found, k).select("query_id", "rank", F.col("id").alias("vec_id"), F.col("near").alias("score"))
 
 
