@@ -230,6 +230,17 @@ def s12(spark, sf_dir):
     return A.score_collection(rows, A.model_scorer(T.load_weights(spark, path))).select("dataset_id", "row_idx", argmax(F.col("output")).alias("prediction"))
 
 
+@query("s12_saved_arrays", "SELECT CAST(label AS INTEGER) AS label, CAST(k AS INTEGER) AS k, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) GROUP BY label, k")
+def s12_arrays(spark, sf_dir):
+    """Named arrays, the labels' mean vectors, written as weights and read back."""
+    e = X.read(spark, sf_dir, "embeddings").where("label is not null").select(F.col("label").cast("int").alias("label"), F.posexplode("embedding").alias("k", "v"))
+    by = e.groupBy("label", "k").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("c"))
+    path = scratch(spark, "weights")
+    T.save_weights(spark, {f"label.{r.label}": np.array([c.m for c in r.c]) for r in by.collect()}, path)
+    back = [(int(name.removeprefix("label.")), k, float(v)) for name, w in T.load_weights(spark, path).items() for k, v in enumerate(w)]
+    return spark.createDataFrame(back, "label int, k int, mean double").withColumn("mean", r6("mean"))
+
+
 EDGES = """
 zz AS (SELECT e.dataset_id, dataset_pos, row_idx, (value - m) / (s + 1e-8) AS z FROM ev e JOIN datasets USING (dataset_id) JOIN (SELECT dataset_id, avg(value) AS m, stddev_samp(value) AS s FROM ev GROUP BY dataset_id) USING (dataset_id)),
 cut AS (SELECT z FROM zz QUALIFY row_number() OVER (ORDER BY dataset_pos, row_idx) <= (SELECT count(*) - count(*) % 10 FROM zz)),

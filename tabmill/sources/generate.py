@@ -170,11 +170,16 @@ def shuffle_classes(rows: DataFrame, counts: DataFrame, seed: int, ordered_share
 
 def categorical_features(rows: DataFrame, seed: int, share: float = 0.15, levels: int = 5) -> DataFrame:
     """rows with a drawn share of (table, feature) made categorical: equal parts of the table's own order, as 0, 1, ..."""
-    long = rows.select("dataset_id", "row_idx", "y", F.posexplode("x").alias("k", "v"))
+    ds = F.col("dataset_id")
+    # cells of chosen features alone are ranked; the others stay where they are
+    cells = F.filter(F.transform("x", lambda v, k: F.struct(k.alias("k"), v.alias("v"))), lambda c: uniform(seed, "categorical", ds, c.k) < share)
+    long = rows.select("dataset_id", "row_idx", F.explode(cells).alias("c")).select("dataset_id", "row_idx", "c.k", "c.v")
     w = Window.partitionBy("dataset_id", "k").orderBy("v", "row_idx")
-    chosen = uniform(seed, "categorical", F.col("dataset_id"), F.col("k")) < share
-    long = long.withColumn("v", F.when(chosen, (F.ntile(levels).over(w) - 1).cast("double")).otherwise(F.col("v")))
-    return long.groupBy("dataset_id", "row_idx", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.struct("v").alias("s")))), lambda p: p.s.v).alias("x")).select("dataset_id", "row_idx", "x", "y")
+    long = long.withColumn("level", (F.ntile(levels).over(w) - 1).cast("double"))
+    own = long.groupBy("dataset_id", "row_idx").agg(F.collect_list(F.struct("k", "level")).alias("_levels"))
+    d = rows.join(own, ["dataset_id", "row_idx"], "left")
+    new = lambda v, k: F.coalesce(F.get(F.filter("_levels", lambda c: c.k == k), F.lit(0)).level, v)
+    return d.select("dataset_id", "row_idx", F.when(F.col("_levels").isNull(), F.col("x")).otherwise(F.transform("x", new)).alias("x"), "y")
 
 
 def missing_values(rows: DataFrame, seed: int, p: float = 0.05, p_reason: float = 0.03, p_set: float = 0.9) -> DataFrame:
