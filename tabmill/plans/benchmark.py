@@ -1,4 +1,4 @@
-"""Benchmarks: tasks chosen on their facts, predicted one plan each, scored together."""
+"""Benchmarks: tasks chosen on their facts, predicted together or one plan each, scored together."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabmill.operators import metrics as M
 from tabmill.operators.estimators import InContextClassifier, InContextRegressor
+from tabmill.plans.folds import FoldedTask, predict_folds
 from tabmill.sources.storage import written
 
 PREDICTIONS = "dataset string, fold int, row_id long, y_true double, y_pred double, proba array<double>"
@@ -76,11 +77,22 @@ def score_regression(predictions: DataFrame) -> DataFrame:
 
 
 def run_benchmark(tasks: list[Task]) -> DataFrame:
-    """dataset, metric, value, with each metric's mean over the datasets. Tasks of both types may be mixed."""
+    """dataset, metric, value, with each metric's mean over the datasets. Tasks of both types may be mixed; all are predicted as one
+    job (predict_folds())."""
+    if not tasks:
+        raise ValueError("no tasks")
+    # numbers stand for names meanwhile: a name may have several tasks, one a fold
+    own = [FoldedTask(str(k), t.task_type, t.table, t.columns) for k, t in enumerate(tasks)]
+    splits = None
+    for k, t in enumerate(tasks):
+        part = t.table.select(F.lit(str(k)).alias("dataset"), F.lit(t.fold).alias("fold"), "row_id", F.col("is_context").alias("is_train"))
+        splits = part if splits is None else splits.unionByName(part)
+    names = F.broadcast(tasks[0].table.sparkSession.createDataFrame([(str(k), t.name, t.task_type) for k, t in enumerate(tasks)], "dataset string, name string, task_type string"))
+    found = written(predict_folds(own, splits).join(names, "dataset"), "predictions")
     parts = []
     for kind, score in (("classification", score_classification), ("regression", score_regression)):
-        if own := [t for t in tasks if t.task_type == kind]:
-            parts.append(score(predict_all(own)))
+        if any(t.task_type == kind for t in tasks):
+            parts.append(score(found.where(F.col("task_type") == kind).select(F.col("name").alias("dataset"), "fold", "row_id", "y_true", "y_pred", "proba")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -93,14 +93,13 @@ def predict_folds(tasks: list[FoldedTask], splits: DataFrame, max_context: int =
     if not tasks:
         raise ValueError("no tasks")
     rows = long_rows(tasks).join(splits.select("dataset", F.col("fold").cast("int").alias("fold"), F.col("row_id").cast("long").alias("row_id"), "is_train"), ["dataset", "row_id"])
-    rows = rows.withColumn("group", F.col("task_no") * F.lit(1 << 32) + F.col("fold"))
-    model = written(fit_all(rows, max_categories), "preprocessors")
+    rows = written(rows.withColumn("group", F.col("task_no") * F.lit(1 << 32) + F.col("fold")), "folds")
+    model = fit_all(rows, max_categories)
     known = F.when(F.col("is_train"), F.col("y"))
     sizes = rows.groupBy("group").agg(F.avg(known).alias("mean"), F.stddev_samp(known).alias("std"), (F.max(known) + 1).cast("int").alias("n_classes"))
     d = rows.join(model, "group").select("group", "dataset", "fold", "task_no", "row_id", "y", "is_train", features(F.col("cells"), F.col("columns")).alias("x"))
     sizes = written(sizes.withColumn("std", F.coalesce("std", F.lit(0.0)) + EPSILON), "targets")
-    d = written(d, "folds")
-    names = d.where("not is_train").select("group", "dataset", "fold", "row_id", F.col("y").alias("y_true"))
+    names = rows.where("not is_train").select("group", "dataset", "fold", "row_id", F.col("y").alias("y_true"))
     out = None
     for kind in ("classification", "regression"):
         own = [no for no, t in enumerate(tasks) if t.task_type == kind]
