@@ -109,3 +109,24 @@ def test_recall_of_the_curves_alone(spark, tmp_path):
         recall = np.mean([len(found[50 * k] & set(b.tolist())) / 5 for k, b in enumerate(best)])
         assert recall >= 0.9, (name, recall)
         print(name, "recall", recall)
+
+
+def test_curves_decide_among_two_thousand_rows(spark, monkeypatch):
+    chosen, windows = [], ann.windows
+    monkeypatch.setattr(ann, "windows", lambda *a: chosen.append((windows(*a), a[5])) or chosen[-1][0])
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.search(e, F.col("id") % 50 == 0, exact=False).collect()
+    t = e.toPandas()
+    want = plain(t.vec_id.tolist(), np.array(t.embedding.tolist(), float))
+    assert sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in got) / (5 * len(want)) >= 0.9
+    (curves, reach), blocks = chosen[0]
+    assert curves >= 2 and reach < blocks - 1  # a curve doesn't show a query at its end all blocks
+    # clusters need few blocks
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 0.01
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumn("place", F.lit(0)).withColumn("curve", F.lit("a"))
+    got = ann.search(d, F.col("id") % 50 == 0, exact=False).collect()
+    want = plain(range(6000), x)
+    assert sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in got) / (5 * len(want)) >= 0.9
+    (curves, reach), blocks = chosen[1]
+    assert blocks == 12 and 2 * reach + 1 < blocks
