@@ -178,24 +178,27 @@ def train(model: dict[str, np.ndarray], square: dict[str, np.ndarray], target: n
         down = np.divide(-1, wrong, out=wrong)
         back = down @ qn[:, :WIDTH]
         back += up[:, None] * qy[:, :WIDTH]
-        gq = _sums(y, up[:, None] * g, len(q))
+        gq = np.zeros_like(q)
+        some, sums = _sums(y, up[:, None] * g)
+        gq[some] = sums
         np.add.at(gq, noise, down.T @ g)
         gp = np.einsum("ktd,td->kd", before, back)
         # a context vector's gradient is the sum of `back` over where it stands, by place; most don't occur in a batch
         parts = np.multiply(back[None], place[:, None], out=spread[: len(h)].reshape(CONTEXT, n, WIDTH)).reshape(-1, WIDTH)
-        at = np.flatnonzero(np.bincount(h, minlength=len(r)))
-        gr = _sums(h, parts, len(r))[at]
+        at, gr = _sums(h, parts)
         for name, on, grad in (("q", slice(None), gq), ("place", slice(None), gp), ("r", at, gr)):
             grad /= n
             square[name][on] += grad * grad
             model[name][on] += RATE * grad / np.sqrt(square[name][on] + 1e-8)
 
 
-def _sums(at: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
-    """(most, width): the sum of the rows of each number in at. One count over flat places is faster than sorting rows of so few numbers."""
-    width = rows.shape[1]
-    flat = at.astype(np.int64)[:, None] * width + np.arange(width)
-    return np.bincount(flat.ravel(), rows.ravel(), most * width).reshape(most, width).astype("f4")
+def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in at, below 2^16, and the sum of the rows of each. Numbers of 16 bits are sorted by their digits."""
+    short = at.astype(np.uint16)
+    order = np.argsort(short, kind="stable")
+    short = short[order]
+    first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+    return short[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 def log_probabilities(model: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, rows: int = 1024) -> np.ndarray:
