@@ -72,7 +72,8 @@ def bucket_edges(rows: DataFrame, n_buckets: int, max_y: int = 5_000_000) -> Dat
         raise ValueError(f"{n} targets are too few for {n_buckets} buckets")
     if rest := n % n_buckets:  # fewer rows than buckets: the first of them, from the end, is where the used ones stop
         stop = z.orderBy(F.desc("dataset_pos"), F.desc("row_idx")).limit(rest).agg(F.min(F.struct("dataset_pos", "row_idx")).alias("at")).first()["at"]
-        z = z.where(F.struct("dataset_pos", "row_idx") < F.struct(F.lit(stop["dataset_pos"]), F.lit(stop["row_idx"])))
+        place, row = F.col("dataset_pos"), F.col("row_idx")
+        z = z.where((place < stop["dataset_pos"]) | ((place == stop["dataset_pos"]) & (row < stop["row_idx"])))
     m = n // n_buckets
     beside = sorted({0, n - rest - 1} | {k * m - j for k in range(1, n_buckets) for j in (0, 1)})
     at = values_at(z.select("z"), "z", beside)
