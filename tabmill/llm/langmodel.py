@@ -4,10 +4,10 @@ Words are counted over all training documents (partial counts in tasks, then a s
 the most frequent words and, for all others, `cells` groups by ending; a word of a group has its smoothed count's share of it,
 each unseen word that of a count of 0. Contexts are finer: a word that is no class of its own has one of HASHED vectors, by its
 hash. A class's score in a context is the product of its vector with the sum of the last `context` words' vectors, each scaled
-by its place, plus a bias. Training: a bounded sample gives a common start; then each input partition trains on all its
-documents from there, with noise classes drawn from the counts and shared by a batch, and the parameters are averaged by
-tokens (so how the input is partitioned has a small part in them). Scoring: batched matrix products give all classes' scores,
-normalised exactly.
+by its place, plus a bias. Training: a bounded sample gives a common start; then documents are dealt by hash to shards of about
+SHARD words, each shard trains on all its documents from there, in the hashes' order, with noise classes drawn from the counts
+and shared by a batch, and the parameters are averaged by tokens. So the model doesn't depend on how the input is partitioned,
+but for rounding. Scoring: batched matrix products give all classes' scores, normalised exactly.
 
 The counts of the words that are most frequent in all documents, learned from or not, go to every task, a bounded table; a
 document's other words are joined with the counts by word. None of these is frequent: one outside a table of HEAD words occurs
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabmill.llm.text import shared_table
+from tabmill.llm.text import row_hash, shared_table
 
 #: Words that are target classes of their own, and groups of all others.
 OWN, CELLS = 256, 64
@@ -43,6 +43,8 @@ NOISE, BATCH = 64, 4096
 #: Documents that the start is trained on, how often, and in what batches.
 START_DOCS, START_PASSES, START_BATCH = 2000, 5, 1024
 RATE = 0.1
+#: Words that a shard of the training documents has on average.
+SHARD = 1_000_000
 #: The end token among the words; no word is empty.
 END = b""
 #: Most distinct words that a task counts before it hands them on.
@@ -243,11 +245,13 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def fit(docs: DataFrame, learn: Column | None = None) -> tuple[dict[str, np.ndarray], Words, DataFrame]:
-    """The model, the head of the counts, and all counts (word, cell, c, every). docs: text; rows of `learn`, or all, are learned from."""
+    """The model, the head of the counts, and all counts (word, cell, c, every). docs: text, and doc_id if copies of
+    a text are to be dealt apart; rows of `learn`, or all, are learned from."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("text").cast("binary").alias("text"), (F.lit(True) if learn is None else learn).alias("learn"))
+    deal = row_hash(*(F.col(c) for c in docs.columns if c in ("doc_id", "text"))).alias("deal")
+    docs = docs.select(F.col("text").cast("binary").alias("text"), (F.lit(True) if learn is None else learn).alias("learn"), deal)
     counts = shared_table(word_counts(docs), "words")
-    docs = docs.where("learn").select("text")
+    docs = docs.where("learn").select("text", "deal")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     head = frequent(counts, HEAD)
     tail = counts.where("c > 0").join(F.broadcast(spark.createDataFrame([(w,) for w, c in head[:OWN] if c], "word binary")), "word", "left_anti")
@@ -289,8 +293,9 @@ def fit(docs: DataFrame, learn: Column | None = None) -> tuple[dict[str, np.ndar
     h = F.xxhash64("text")
     some = docs.select(h.alias("h")).distinct().orderBy("h").limit(START_DOCS)
     few = docs.join(F.broadcast(some), h == F.col("h"), "left_semi").dropDuplicates(["text"])
-    model = averaged(few.coalesce(1), model, START_PASSES, START_BATCH)
-    return averaged(docs, model, 1, BATCH), words, counts
+    model = averaged(few.coalesce(1).sortWithinPartitions("text"), model, START_PASSES, START_BATCH)
+    dealt = docs.repartition(-(-n // SHARD), "deal").sortWithinPartitions("deal")
+    return averaged(dealt, model, 1, BATCH), words, counts
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], words: Words, counts: DataFrame) -> DataFrame:

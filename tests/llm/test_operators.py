@@ -209,6 +209,16 @@ def test_language_model_scores_are_the_plain_ones(spark, sf, docs, monkeypatch):
             assert math.isclose(r.score, plain_score(texts[r.doc_id], model, by, own), rel_tol=1e-4, abs_tol=1e-3), r
 
 
+def test_language_model_does_not_depend_on_partitions(spark, sf, docs, monkeypatch):
+    monkeypatch.setattr(langmodel, "SHARD", 20_000)
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    one, many = ({r.doc_id: r for r in langmodel.fit_and_score(x, held).collect()} for x in (d.coalesce(1), d.repartition(16)))
+    assert one.keys() == many.keys() and one[next(iter(one))].train_tokens > 3 * langmodel.SHARD
+    for k, r in one.items():
+        assert abs(r.score - many[k].score) <= 1e-4 * r.n_tokens
+
+
 def test_language_model_odd_joins(spark):
     """A word that only held-out rows have, in a hundred thousand of them, is in the head that goes to all tasks."""
     d = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 2, "onlyhere onlyhere").otherwise("a b").alias("text"))
