@@ -7,7 +7,8 @@ hash. A class's score in a context is the product of its vector with the sum of
 by its place, plus a bias. Training: a bounded sample gives a common start; then documents are dealt by hash to shards of about
 SHARD words, each shard trains on all its documents from there, in the hashes' order, with noise classes drawn from the counts
 and shared by a batch, and the parameters are averaged by tokens. So the model doesn't depend on how the input is partitioned,
-but for rounding. Scoring: batched matrix products give all classes' scores, normalised exactly.
+but for rounding. Scoring: matrix products give every context vector's scores of all classes by place, once a task; a context's
+scores are their sums, normalised exactly.
 
 The counts of the words that are most frequent in all documents, learned from or not, go to every task, a bounded table; a
 document's other words are joined with the counts by word. None of these is frequent: one outside a table of HEAD words occurs
@@ -161,6 +162,7 @@ def train(model: dict[str, np.ndarray], square: dict[str, np.ndarray], target: n
     log_noise = np.log(NOISE * share).astype("f4")
     edge = np.cumsum(share)
     r, q, place = model["r"], model["q"], model["place"]
+    classes = np.arange(len(q))[:, None]
     batch = min(batch, max(1, len(target)))
     seen, spread = np.empty((CONTEXT * batch, WIDTH), "f4"), np.empty((CONTEXT * batch, WIDTH), "f4")
     guess, table = np.ones((batch, WIDTH + 1), "f4"), np.empty((batch, NOISE), "f4")
@@ -170,28 +172,29 @@ def train(model: dict[str, np.ndarray], square: dict[str, np.ndarray], target: n
         noise = np.minimum(np.searchsorted(edge, rng.random(NOISE)), len(share) - 1)
         before = np.take(r, h, axis=0, out=seen[: len(h)], mode="clip").reshape(CONTEXT, n, WIDTH)
         np.einsum("ktd,kd->td", before, place, out=guess[:n, :WIDTH])
-        g, wrong, qy, qn = guess[:n], table[:n], q[y], q[noise]
+        g, wrong, qy, qn = guess[:n], table[:n], np.take(q, y, axis=0), q[noise]
         right = np.einsum("td,td->t", g, qy) - log_noise[y]
         np.matmul(g, qn.T, out=wrong)
         np.subtract(log_noise[noise], wrong, out=wrong)
-        up = 1 / (1 + np.exp(np.clip(right, -30, 30)))
-        np.exp(np.clip(wrong, -30, 30, out=wrong), out=wrong)
+        with np.errstate(over="ignore"):  # an overflow is a gradient of 0
+            up = 1 / (1 + np.exp(right))
+            np.exp(wrong, out=wrong)
         wrong += 1
         down = np.divide(-1, wrong, out=wrong)
         back = down @ qn[:, :WIDTH]
         back += up[:, None] * qy[:, :WIDTH]
-        gq = np.zeros_like(q)
+        gq = (noise == classes).astype("f4") @ (down.T @ g)
         some, sums = _sums(y, up[:, None] * g)
-        gq[some] = sums
-        np.add.at(gq, noise, down.T @ g)
+        gq[some] += sums
         gp = np.einsum("ktd,td->kd", before, back)
         # a context vector's gradient is the sum of `back` over where it stands, by place; most don't occur in a batch
         parts = np.multiply(back[None], place[:, None], out=spread[: len(h)].reshape(CONTEXT, n, WIDTH)).reshape(-1, WIDTH)
         at, gr = _sums(h, parts)
         for name, on, grad in (("q", slice(None), gq), ("place", slice(None), gp), ("r", at, gr)):
             grad /= n
-            square[name][on] += grad * grad
-            model[name][on] += RATE * grad / np.sqrt(square[name][on] + 1e-8)
+            total = square[name][on] + grad * grad
+            square[name][on] = total
+            model[name][on] += RATE * grad / np.sqrt(total + 1e-8)
 
 
 def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,28 +203,43 @@ def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(short, kind="stable")
     short = short[order]
     first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-    return short[first], np.add.reduceat(rows[order], first, axis=0)
-
-
-def log_probabilities(model: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, rows: int = 1024) -> np.ndarray:
-    """Natural logs of the targets' normalised probabilities."""
-    r, place = model["r"], model["place"]
-    q, one = np.ascontiguousarray(model["q"].T), np.ones(len(model["q"]), "f4")
-    longest = np.sqrt((q * q).sum(0).max())
-    out = np.empty(len(target))
-    seen, guess, scores = np.empty((CONTEXT * rows, WIDTH), "f4"), np.ones((rows, WIDTH + 1), "f4"), np.empty((rows, len(one)), "f4")
-    for a in range(0, len(target), rows):
-        y, h = target[a : a + rows], context[a : a + rows].T.ravel()
-        n = len(y)
-        before = np.take(r, h, axis=0, out=seen[: len(h)], mode="clip").reshape(CONTEXT, n, WIDTH)
-        np.einsum("ktd,kd->td", before, place, out=guess[:n, :WIDTH])
-        s = np.matmul(guess[:n], q, out=scores[:n])
-        if np.sqrt(np.einsum("td,td->t", guess[:n], guess[:n]).max()) * longest > 60:  # else no exponential overflows
-            s -= s.max(1, keepdims=True)
-        own = s[np.arange(n), y].astype(float)
-        np.exp(s, out=s)
-        out[a : a + rows] = own - np.log(s @ one)
-    return out
+    return short[first], np.add.reduceat(np.take(rows, order, axis=0), first, axis=0)
+
+
+class Normalised:
+    """A model ready to score. A class's exponential is the product of its bias' and of one for each place of the context, so
+    these come from tables by matrix products, exponentiated once: tables[k][context vector, class]."""
+
+    def __init__(self, model: dict[str, np.ndarray]):
+        q, bias = model["q"][:, :-1], model["q"][:, -1].astype(float)
+        self.bias = bias
+        self.start = np.exp(bias - bias.max()).astype("f4")
+        self.tables = [(model["r"] * p) @ q.T for p in model["place"]]
+        # tables are exponentiated if no product of theirs can leave a float's range
+        self.safe = sum(float(np.abs(x).max()) for x in self.tables) + float(np.ptp(bias)) < 80
+        if self.safe:
+            for x in self.tables:
+                np.exp(x, out=x)
+
+    def logs(self, target: np.ndarray, context: np.ndarray, rows: int = 512) -> np.ndarray:
+        """Natural logs of the targets' normalised probabilities."""
+        out = np.empty(len(target))
+        whole, part = (np.empty((rows, len(self.bias)), "f4") for _ in range(2))
+        join = np.multiply if self.safe else np.add
+        for a in range(0, len(target), rows):
+            y, h = target[a : a + rows], context[a : a + rows]
+            n = len(y)
+            s = np.take(self.tables[0], h[:, 0], axis=0, out=whole[:n], mode="clip")
+            for k in range(1, len(self.tables)):
+                join(s, np.take(self.tables[k], h[:, k], axis=0, out=part[:n], mode="clip"), out=s)
+            own = s[np.arange(n), y].astype(float)
+            if self.safe:
+                out[a : a + rows] = np.log(own) + self.bias[y] - self.bias.max() - np.log(s @ self.start)
+            else:
+                s = s + self.bias
+                top = s.max(1)
+                out[a : a + rows] = own + self.bias[y] - top - np.log(np.exp(s - top[:, None]).sum(1))
+        return out
 
 
 def _rows(model: dict[str, np.ndarray], weight: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -306,10 +324,11 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], words: Words, counts: D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = sent.value
+        ready = Normalised(model)
         for b in batches:
             for first, part in chunks(b.column("text").to_pylist()):
                 at, cls, ctx, size = words.classes(part)
-                logs = log_probabilities(model, cls, contexts(ctx, size)) / np.log(10)
+                logs = ready.logs(cls, contexts(ctx, size)) / np.log(10)
                 seen = at >= 0
                 known = seen & words.known[at] if len(words.known) else seen
                 base = np.where(seen, words.base[at], 0.0) if len(words.base) else np.zeros(len(at))

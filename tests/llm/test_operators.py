@@ -156,7 +156,8 @@ def test_language_model_is_normalised_and_joins_the_tail(spark, monkeypatch):
     model, words, counts = langmodel.fit(d.where("doc_id % 7 <> 6").select("text"))
     n = langmodel.OWN + langmodel.CELLS
     h = np.random.default_rng(0).integers(0, langmodel.OWN + langmodel.HASHED + 1, (3, langmodel.CONTEXT))
-    total = sum(np.exp(langmodel.log_probabilities(model, np.full(3, k), h)) for k in range(n))
+    ready = langmodel.Normalised(model)
+    total = sum(np.exp(ready.logs(np.full(3, k), h)) for k in range(n))
     assert np.allclose(total, 1, atol=1e-5)
     # each group's words and its unseen share sum to one
     c = np.array([r.c for r in counts.collect()])
@@ -193,6 +194,20 @@ def plain_score(text, model, by, own):
     return total
 
 
+@pytest.mark.parametrize("scale", [1.0, 30.0])
+def test_normalised_is_the_softmax(scale):
+    """Products of exponentials, or sums where they could overflow, against a softmax in double precision."""
+    rng, L = np.random.default_rng(1), langmodel
+    model = {k: (x + rng.normal(0, 0.3, x.shape)).astype("f4") * np.float32(scale if k == "q" else 1) for k, x in L.fresh(np.full(L.OWN + L.CELLS, 1 / 320)).items()}
+    h, y = rng.integers(0, L.OWN + L.HASHED + 1, (700, L.CONTEXT)), rng.integers(0, L.OWN + L.CELLS, 700)
+    wide = {k: x.astype(float) for k, x in model.items()}
+    s = sum(wide["r"][h[:, k]] * wide["place"][k] for k in range(L.CONTEXT)) @ wide["q"][:, :-1].T + wide["q"][:, -1]
+    s -= s.max(1, keepdims=True)
+    ready = L.Normalised(model)
+    assert ready.safe == (scale == 1)
+    assert np.allclose(ready.logs(y, h), s[np.arange(700), y] - np.log(np.exp(s).sum(1)), rtol=1e-4, atol=1e-3)
+
+
 def test_language_model_scores_are_the_plain_ones(spark, sf, docs, monkeypatch):
     """Every document's score against a word-by-word sum under the same model; words by the head and by join alike."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(2)
