@@ -19,19 +19,26 @@ def replay(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def replay_batches(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, batch_size: int, num_steps: int, epochs: int = 1, start: int = 0, each: int = 1) -> int:
-    """Replays a stored collection in its order, `each` batches a micro-batch, and hands their rows (with batch_no and split_index)
-    to sink. Goes on from the checkpoint's next batch, if there is one. Of the collection, the blocks that a micro-batch needs are
-    read. Returns the number of micro-batches run."""
+#: Tables that a trigger of a replay may hand on at once: their places go through the driver, their rows don't.
+TRIGGER_TABLES = 8192
+
+
+def replay_batches(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, batch_size: int, num_steps: int, epochs: int = 1, start: int = 0, each: int = 1, at_once: int = 1) -> int:
+    """Replays a stored collection in its order, `each` batches a micro-batch, and hands their rows (with batch_no, micro_batch and
+    split_index) to sink. Goes on from the checkpoint's next batch, if there is one. Of the collection, the blocks that a trigger
+    needs are read.
+
+    A trigger takes `at_once` micro-batches in order, and sink gets its number: a trigger costs about a second whatever it holds,
+    so a long replay is handed on in sets of micro-batches (TRIGGER_TABLES). Returns the number of triggers run."""
     register(spark)
     c = open_collection(spark, path)
-    numbers = {"n_tables": c.n_tables, "batch_size": batch_size, "num_steps": num_steps, "epochs": epochs, "start": start, "batches_per_trigger": each}
+    numbers = {"n_tables": c.n_tables, "batch_size": batch_size, "num_steps": num_steps, "epochs": epochs, "start": start, "batches_per_trigger": each * at_once}
     stream = spark.readStream.format("tabmill_batches").options(**{k: str(v) for k, v in numbers.items()}).load()
     ran = 0
 
     def one(plan: DataFrame, no: int) -> None:
         nonlocal ran
-        places = plan.select("batch_no", "dataset_pos").collect()  # each * batch_size rows at most
+        places = plan.select("batch_no", "dataset_pos").collect()  # at_once * each * batch_size rows at most
         if not places:
             return
         ran += 1
@@ -39,7 +46,7 @@ def replay_batches(spark: SparkSession, path: str, sink: Callable[[DataFrame, in
         edges = [k for k in range(len(at)) if not k or at[k] != at[k - 1] + 1]
         ranges = [(at[a], at[b - 1] + 1) for a, b in zip(edges, [*edges[1:], len(at)], strict=True)]
         own = spark.createDataFrame(places, "batch_no long, dataset_pos long")
-        sink(scan_batches(c.rows(ranges), c.datasets(ranges), own), no)
+        sink(scan_batches(c.rows(ranges), c.datasets(ranges), own).withColumn("micro_batch", F.floor(F.col("batch_no") / each)), no)
 
     q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
     try:
@@ -61,9 +68,9 @@ def score_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame],
     return run_once(stream, lambda df, no: sink(transform(df), no), checkpoint)
 
 
-def to_table(path: str, mode: str = "append") -> Callable[[DataFrame, int], None]:
+def to_table(path: str, mode: str = "append", name: str = "micro_batch") -> Callable[[DataFrame, int], None]:
     """A sink whose micro-batches are folders named by number, so that one that is run again replaces itself."""
-    return lambda df, no: df.write.mode("overwrite").parquet(f"{path}/micro_batch={no}")
+    return lambda df, no: df.write.mode("overwrite").parquet(f"{path}/{name}={no}")
 
 
 def running_losses(scored: DataFrame, num_steps: int) -> DataFrame:

@@ -49,6 +49,23 @@ def test_replay_keeps_order_and_resumes_at_any_batch(spark, tmp_path):
     assert R.replay_batches(spark, path, sink, str(tmp_path / "state"), 3, 6, start=4) == 0
 
 
+def test_a_trigger_takes_many_micro_batches_and_reads_its_blocks(spark, tmp_path):
+    path = str(tmp_path / "c")
+    append(spark, path, range(40), "overwrite", block_tables=2)
+    append(spark, path, range(40, 45), block_tables=2)
+    seen, files = [], []
+
+    def sink(df, no):
+        seen.append(sorted({(r.micro_batch, r.batch_no, r.dataset_id) for r in df.collect()}))
+        files.append({f.split("commit=")[1].split("/part")[0] for f in df.inputFiles() if "/rows/" in f})
+
+    for steps, triggers in ((6, 1), (15, 2)):  # stopped after six batches, then gone on to the end
+        assert R.replay_batches(spark, path, sink, str(tmp_path / "state"), 3, steps, each=2, at_once=3) == triggers
+    assert seen == [[(d // 6, d // 3, d) for d in range(a, min(a + 18, 45))] for a in (0, 18, 36)]
+    first, last = (c["folder"] for c in C.open_collection(spark, path).commits)
+    assert files[0] == {f"{first}/block={b}" for b in range(0, 18, 2)} and files[2] == {f"{first}/block={b}" for b in (36, 38)} | {f"{last}/block={b}" for b in (40, 42, 44)}
+
+
 def test_a_function_as_a_source(spark, tmp_path):
     def batch(size, longest, width):
         return {"x": np.arange(size * longest * width).reshape(size, longest, width), "y": np.arange(size * longest).reshape(size, longest), "train_test_split_index": 1}
