@@ -84,3 +84,14 @@ def test_no_context_and_missing_numbers(spark):
     got = {r.row_id: r.output for r in A.attend_table(holes.where("is_context"), holes.where("not is_context"), 8).collect()}
     want = plain(d, 4)
     assert np.isnan(got[31]).all() and all(np.allclose(got[k], want[k]) for k in want if k != 31)
+
+
+def test_stream_scoring_has_no_largest_context(spark, tmp_path):
+    from tabmill.plans import queries as plans
+
+    rng = np.random.default_rng(2)
+    n, d = 2 * A.MAX_CONTEXT + 400, str(tmp_path)
+    rows = [(i, v.tolist(), int(v[0] > 0)) for i, v in enumerate(rng.normal(size=(n, 64)).astype("f4"))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    got = {r.row_id: r.prediction for r in plans.QUERIES["t2_stream_scoring"](spark, d).collect()}
+    assert len(got) == n // 2 and got == {r.row_id: r.prediction for r in plans.QUERIES["a7_classifier"](spark, d).collect()}
