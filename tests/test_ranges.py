@@ -80,3 +80,30 @@ def test_codes_of_many_values_and_several_columns(spark):
     for c, values in (("a", {f"v{k}" for k in range(50_000)}), ("b", {f"w{k}" for k in range(7)})):
         assert {r.value: r.code for r in rows if r.column == c} == {v: float(k) for k, v in enumerate(sorted(values))}
     assert {r.column: r.code for r in P.most_frequent(codes).collect()} == {"a": 0.0, "b": 1.0}
+
+
+def test_edges_of_the_first_tables_are_the_sql(spark, sf):
+    from tabmill.operators import normalize as N
+    from tabmill.plans import fixtures as X
+    from tabmill.plans.queries import ORACLES
+    from tests.oracle import connect
+
+    rows = X.event_tables(spark, sf)[0].select("dataset_id", "dataset_pos", "row_idx", F.col("value").alias("y"))
+    for most in (N.MAX_Y, 400):
+        sql = ORACLES["n6_bucket_edges"]
+        assert str(N.MAX_Y) in sql
+        want = connect(sf).execute(sql.replace(str(N.MAX_Y), str(most))).fetchall()
+        got = [(r.bucket, round(r.lo, 6), round(r.hi, 6)) for r in N.bucket_edges(rows, 10, most).orderBy("bucket").collect()]
+        assert got == sorted(want)
+
+
+def test_equal_targets_fall_into_one_bucket(spark):
+    """Copies of a table whose rows come in other orders have other last digits of their means and deviations."""
+    from tabmill.operators import normalize as N
+
+    rng = np.random.default_rng(4)
+    y = np.round(rng.gamma(1.0, 50.0, 70), 2)
+    rows = [(t, t, k, float(v)) for t in range(40) for k, v in enumerate(rng.permutation(y))]
+    d = spark.createDataFrame(rows, "dataset_id long, dataset_pos long, row_idx int, y double")
+    z = N.bucketize(N.scaled_targets(d), N.bucket_edges(d, 10), "z")
+    assert z.groupBy("y").agg(F.count_distinct("z", "bucket").alias("n")).where("n > 1").count() == 0
