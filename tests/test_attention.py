@@ -95,3 +95,14 @@ def test_stream_scoring_has_no_largest_context(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     got = {r.row_id: r.prediction for r in plans.QUERIES["t2_stream_scoring"](spark, d).collect()}
     assert len(got) == n // 2 and got == {r.row_id: r.prediction for r in plans.QUERIES["a7_classifier"](spark, d).collect()}
+
+
+def test_tables_together_are_what_each_gives_alone():
+    """Tables of other sizes and widths, without context or queries, and with a missing number."""
+    rng = np.random.default_rng(5)
+    score = A.model_scorer(kernel.random_weights(2, 2, 8, 16, 4))
+    tables = [(rng.normal(size=(c, w)), rng.normal(size=c), rng.normal(size=(q, w))) for c, q, w in zip(rng.integers(1, 60, 50), rng.integers(1, 40, 50), rng.integers(2, 4, 50), strict=True)]
+    tables += [(np.zeros((0, 3)), np.zeros(0), np.ones((2, 3))), (np.ones((2, 3)), np.ones(2), np.zeros((0, 3))), (rng.normal(size=(300, 3)), rng.normal(size=300), rng.normal(size=(9, 3)))]
+    tables[3][2][0, 0] = np.nan
+    for t, got in zip(tables, score.many(tables), strict=True):
+        assert got.shape == (len(t[2]), 4) and np.allclose(got, score(*t), atol=1e-11, equal_nan=True)
