@@ -106,3 +106,50 @@ def test_tables_together_are_what_each_gives_alone():
     tables[3][2][0, 0] = np.nan
     for t, got in zip(tables, score.many(tables), strict=True):
         assert got.shape == (len(t[2]), 4) and np.allclose(got, score(*t), atol=1e-11, equal_nan=True)
+
+
+def skewed(spark, n_context, n_query, width):
+    """drawn(), with a long tail in the first feature and far values in few rows, and few values in the last."""
+    d = drawn(spark, n_context, n_query, 3, width)
+    far = F.when(F.col("row_id") % 97 == 0, 40.0).when(F.col("row_id") % 89 == 0, -15.0).otherwise(1.0)
+    x = [F.get("x", F.lit(k)) for k in range(width)]
+    x[-1] = F.floor(x[-1]).cast("double")
+    return d.withColumn("x", F.array(F.exp(2 * F.get("x", F.lit(0))) * far, *x[1:]))
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_sums_by_cells_give_what_all_pairs_do(spark, width):
+    d = skewed(spark, 12_000, 900, width)
+    for n in (3, None):
+        c, q = (d.where(w).withColumn("table", F.lit("t")) for w in ("is_context", "not is_context"))
+        stored = A.store_context(c.withColumn("y", F.col("target")) if n is None else c, n)
+        levels = spark.createDataFrame([("t", 0), ("t", 1)], "table string, level int")
+        assert A.summed(stored, levels).where("w is not null").groupBy("level").count().count() == 2
+        got = {r.row_id: r.output for r in A.attend(stored, q, worth=1).collect()}
+        want = plain(d, n)
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-11, atol=1e-12) for k in want)
+
+
+def test_missing_numbers_beside_sums_by_cells(spark):
+    """A query row's own, and a context row's, which all answers of its table miss; tables of other widths."""
+    hole = F.array(F.lit(None).cast("double"), F.lit(1.0))
+    one, two = skewed(spark, 3000, 50, 2), drawn(spark, 40, 10, 3, 6)
+    one = one.withColumn("x", F.when(F.col("row_id") == 3007, hole).otherwise(F.col("x")))
+    bad = one.withColumn("x", F.when(F.col("row_id") == 5, hole).otherwise(F.col("x")))
+    d = one.withColumn("table", F.lit(0)).unionByName(two.withColumn("table", F.lit(1))).unionByName(bad.withColumn("table", F.lit(2)))
+    got = {(r.table, r.row_id): r.output for r in A.attend(A.store_context(d.where("is_context"), 3), d.where("not is_context"), worth=1).collect()}
+    assert len(got) == 110 and all(np.isnan(got[2, k]).all() for k in range(3000, 3050)) and np.isnan(got[0, 3007]).all()
+    for t, own in ((0, one.where("row_id <> 3007")), (1, two)):
+        assert all(np.allclose(got[t, k], w, rtol=1e-11, atol=1e-12) for k, w in plain(own, 3).items())
+
+
+def test_what_meets_query_rows_does_not_grow_with_a_narrow_context(spark):
+    """Four times the context of one shape: the rows and cells that a level's query rows meet stay about as many."""
+    levels, met = spark.createDataFrame([(0, 0), (0, 1), (0, 2)], "table int, level int"), []
+    for n in (20_000, 80_000):
+        stored = A.store_context(drawn(spark, n, 0, 2, 2).withColumn("table", F.lit(0)), 2)
+        got = A.summed(stored, levels).cache()
+        met.append(got.count())
+        rows = got.groupBy("level").agg(F.sum(F.coalesce(F.get("w", F.lit(2 * 153)), F.lit(1.0))).alias("n")).collect()
+        assert {r.level: round(r.n) for r in rows} == {0: n, 1: n, 2: n}
+    assert met[0] < 2000 and met[1] < 1.2 * met[0]
