@@ -107,3 +107,21 @@ def test_equal_targets_fall_into_one_bucket(spark):
     d = spark.createDataFrame(rows, "dataset_id long, dataset_pos long, row_idx int, y double")
     z = N.bucketize(N.scaled_targets(d), N.bucket_edges(d, 10), "z")
     assert z.groupBy("y").agg(F.count_distinct("z", "bucket").alias("n")).where("n > 1").count() == 0
+
+
+def test_values_at_an_edge_before_and_after_rounding(spark):
+    """Edges are those of rounded values: the middle of two unrounded ones is at the edge, rounded values next to it are not."""
+    from tabmill.operators import normalize as N
+
+    def bucket(edges, values):
+        e = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))], "bucket int, lo double, hi double")
+        d = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, z double").coalesce(1)
+        return [r.bucket for r in N.bucketize(d, e, "z").orderBy("k").collect()]
+
+    a, b = 0.12345678961, 0.22345678964  # rounded to 0.123456790 and 0.223456790
+    edge = (round(a, 9) + round(b, 9)) / 2
+    assert (a + b) / 2 < edge
+    assert bucket([-1.0, edge, 1.0], [(a + b) / 2, edge, a, b, None]) == [1, 1, 0, 1, None]
+    for at in (0.25, -3.1, 1234.5):  # an edge between two neighbouring decimals, and one at a decimal
+        for middle, below in ((at + 0.5e-9, at), (at, at - 1e-9)):
+            assert bucket([-9.0, middle, 9999.0], [round(below, 9), round(below + 1e-9, 9)]) == [0, 1]
